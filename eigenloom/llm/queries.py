@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eigenloom.llm.packing import pack
+from eigenloom.llm.sharding import shard
+from eigenloom.llm.simhash import near_duplicates
 
 
 def tokenizer_path() -> str:
@@ -25,8 +27,19 @@ def op1_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op3_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(table(spark, sf_dir, "documents"))
+
+
+def op9_simhash_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_cost_balanced_packing": op1_cost_balanced_packing,
+    "op3_sampled_splitters": op3_sampled_splitters,
+    "op9_simhash_blocks": op9_simhash_blocks,
 }
 
 ORACLES: dict[str, str] = {}
