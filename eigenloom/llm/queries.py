@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eigenloom.llm.packing import pack
+from eigenloom.llm.quality import fit_rules, quality_scores
 from eigenloom.llm.sharding import shard
 from eigenloom.llm.simhash import near_duplicates
 
@@ -31,6 +32,16 @@ def op3_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"))
 
 
+def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+
+
+def op7_likelihood_ratio_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = quality_scores(docs, fit_rules(docs, trusted_ids(spark, sf_dir)))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
+
+
 def op9_simhash_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -39,6 +50,7 @@ def op9_simhash_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_cost_balanced_packing": op1_cost_balanced_packing,
     "op3_sampled_splitters": op3_sampled_splitters,
+    "op7_likelihood_ratio_rules": op7_likelihood_ratio_rules,
     "op9_simhash_blocks": op9_simhash_blocks,
 }
 
