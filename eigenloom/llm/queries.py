@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from eigenloom.llm.packing import pack
 from eigenloom.llm.quality import fit_rules, quality_scores
+from eigenloom.llm.scoring import lm_scores
 from eigenloom.llm.sharding import shard
 from eigenloom.llm.simhash import near_duplicates
 
@@ -47,11 +48,16 @@ def op9_simhash_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op10_byte_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_cost_balanced_packing": op1_cost_balanced_packing,
     "op3_sampled_splitters": op3_sampled_splitters,
     "op7_likelihood_ratio_rules": op7_likelihood_ratio_rules,
     "op9_simhash_blocks": op9_simhash_blocks,
+    "op10_byte_ppm": op10_byte_ppm,
 }
 
 ORACLES: dict[str, str] = {}

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from eigenloom.llm._common import drop_stash, stash
+from eigenloom.llm._common import stash
 
 
 def constants(values: list[int]) -> Column:
