@@ -12,6 +12,7 @@ from eigenloom.llm.quality import fit_rules, quality_scores
 from eigenloom.llm.scoring import lm_scores
 from eigenloom.llm.sharding import shard
 from eigenloom.llm.simhash import near_duplicates
+from eigenloom.llm.toxicity import fit_toxicity, toxicity_scores
 
 
 def tokenizer_path() -> str:
@@ -33,6 +34,11 @@ def op3_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"))
 
 
+def op6_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity_scores(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
 def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
 
@@ -55,6 +61,7 @@ def op10_byte_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_cost_balanced_packing": op1_cost_balanced_packing,
     "op3_sampled_splitters": op3_sampled_splitters,
+    "op6_weak_supervision": op6_weak_supervision,
     "op7_likelihood_ratio_rules": op7_likelihood_ratio_rules,
     "op9_simhash_blocks": op9_simhash_blocks,
     "op10_byte_ppm": op10_byte_ppm,
