@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eigenloom.llm import licenses
 from eigenloom.llm.packing import pack
 from eigenloom.llm.quality import fit_rules, quality_scores
 from eigenloom.llm.scoring import lm_scores
@@ -34,6 +35,10 @@ def op3_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"))
 
 
+def op4_sentence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).select("doc_id", "n_sentences", "n_matches", "licences")
+
+
 def op6_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity_scores(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
@@ -61,10 +66,11 @@ def op10_byte_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_cost_balanced_packing": op1_cost_balanced_packing,
     "op3_sampled_splitters": op3_sampled_splitters,
+    "op4_sentence_rules": op4_sentence_rules,
     "op6_weak_supervision": op6_weak_supervision,
     "op7_likelihood_ratio_rules": op7_likelihood_ratio_rules,
     "op9_simhash_blocks": op9_simhash_blocks,
     "op10_byte_ppm": op10_byte_ppm,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_sentence_rules": licenses.oracle_sql()}
