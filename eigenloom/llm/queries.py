@@ -13,6 +13,7 @@ from eigenloom.llm.quality import fit_rules, quality_scores
 from eigenloom.llm.scoring import lm_scores
 from eigenloom.llm.sharding import shard
 from eigenloom.llm.simhash import near_duplicates
+from eigenloom.llm.topk import top_k
 from eigenloom.llm.toxicity import fit_toxicity, toxicity_scores
 
 
@@ -39,6 +40,10 @@ def op4_sentence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).select("doc_id", "n_sentences", "n_matches", "licences")
 
 
+def op5_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
 def op6_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity_scores(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
@@ -67,10 +72,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_cost_balanced_packing": op1_cost_balanced_packing,
     "op3_sampled_splitters": op3_sampled_splitters,
     "op4_sentence_rules": op4_sentence_rules,
+    "op5_ball_tree": op5_ball_tree,
     "op6_weak_supervision": op6_weak_supervision,
     "op7_likelihood_ratio_rules": op7_likelihood_ratio_rules,
     "op9_simhash_blocks": op9_simhash_blocks,
     "op10_byte_ppm": op10_byte_ppm,
 }
 
-ORACLES: dict[str, str] = {"op4_sentence_rules": licenses.oracle_sql()}
+ORACLES: dict[str, str] = {
+    "op4_sentence_rules": licenses.oracle_sql(),
+    "op5_ball_tree": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+)
+SELECT query_id, rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored
+) WHERE rank <= 5
+""",
+}
