@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eigenloom.llm import licenses
+from eigenloom.llm._common import scratch_path
 from eigenloom.llm.packing import pack
 from eigenloom.llm.quality import fit_rules, quality_scores
+from eigenloom.llm.rans import read_ids, write_ids
 from eigenloom.llm.scoring import lm_scores
 from eigenloom.llm.sharding import shard
 from eigenloom.llm.simhash import near_duplicates
+from eigenloom.llm.tokenization import encode_decode
 from eigenloom.llm.topk import top_k
 from eigenloom.llm.toxicity import fit_toxicity, toxicity_scores
 
@@ -32,6 +35,11 @@ def op1_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = encode_decode(table(spark, sf_dir, "documents"), tokenizer_path())
+    return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+
+
 def op3_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"))
 
@@ -59,6 +67,12 @@ def op7_likelihood_ratio_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
 
 
+def op8_static_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "token-files")
+    write_ids(table(spark, sf_dir, "documents"), path, tokenizer_path())
+    return read_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op9_simhash_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -70,11 +84,13 @@ def op10_byte_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_cost_balanced_packing": op1_cost_balanced_packing,
+    "op2_transducer_bpe": op2_transducer_bpe,
     "op3_sampled_splitters": op3_sampled_splitters,
     "op4_sentence_rules": op4_sentence_rules,
     "op5_ball_tree": op5_ball_tree,
     "op6_weak_supervision": op6_weak_supervision,
     "op7_likelihood_ratio_rules": op7_likelihood_ratio_rules,
+    "op8_static_rans": op8_static_rans,
     "op9_simhash_blocks": op9_simhash_blocks,
     "op10_byte_ppm": op10_byte_ppm,
 }

@@ -8,12 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from eigenloom.llm._common import stash
-
-
-def constants(values: list[int]) -> Column:
-    """A constant array; the optimizer folds it, so plans stay small."""
-    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<long>") if values else F.array().cast("array<long>")
+from eigenloom.llm._common import constants, stash
 
 
 def rank_in(bounds: list[int], key: Column) -> Column:
