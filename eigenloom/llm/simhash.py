@@ -122,3 +122,15 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, blocks:
     smallest = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     named = grouped.join(smallest, "root").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, words: int = 3, distance: int = 2, blocks: int = 5) -> DataFrame:
+    """The documents without near-duplicates of a smaller doc_id: one of each component, with all its columns.
+
+    Of rows that repeat a kept doc_id, one stays. Rows with a null doc_id cannot be named as a component's
+    document and all stay. The join is a merge at every size, since what is kept grows with the corpus.
+    """
+    ids = near_duplicates(docs, words, distance, blocks).where("component_id is not null").select(F.col("component_id").alias("_kept")).distinct()
+    named = docs.where("doc_id is not null")
+    kept = named.join(ids.hint("merge"), named["doc_id"].cast("long") == ids["_kept"], "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id is null"))
