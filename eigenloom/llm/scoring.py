@@ -19,6 +19,8 @@ from eigenloom.llm._common import map_arrow, stash
 BEFORE, END = 0xFE, 0xFF
 #: Bytes that one lane of the automaton reads.
 SPAN = 512
+#: Contexts that have a full row: these take most of the memory, at most some hundreds of megabytes.
+DENSE_STATES = 220_000
 
 
 def streams(raw: list[bytes], order: int) -> np.ndarray:
@@ -51,87 +53,166 @@ def tally(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarra
 
 
 class Trie:
-    """A pretrained context trie compiled to an automaton whose state is the longest known context.
+    """A pretrained context trie: states are contexts, and known symbols lie in one hash table.
 
     From {order: (grams, counts)}, grams of order + 1 bytes whose counts reach one bound for all orders, so a
     context's known symbols are known to its suffix as well. In a context with `total` predictions and `kinds`
     known symbols, a known symbol has count / (total + kinds) and what is left escapes to the suffix, where the
-    symbols known above are excluded; past the shortest context all other bytes are equally likely. A row
-    gives the log10 probability of every byte and the next state.
+    symbols known above are excluded; past the shortest context all other bytes are equally likely. What
+    exclusion takes from a suffix depends on the context above alone, so it is summed beforehand. The contexts
+    used most have full rows as well, so that a byte takes one look-up. Memory is proportional to the grams.
     """
 
     def __init__(self, kept: dict[int, tuple[np.ndarray, np.ndarray]], texts: int, order: int):
         self.order = order
-        zero = kept.get(0, (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
-        known = zero[0].astype(np.int64)
-        wide = len(known) + 1  # the last class: bytes unknown everywhere
-        self.classes = np.full(256, wide - 1, np.int64)
-        self.classes[known] = np.arange(len(known))
-        contexts: list[np.ndarray] = []  # of each length
-        first = [0]  # number of the first context of each length
-        for j in range(order + 1):
-            grams_j = kept.get(j, zero)[0]
-            c = np.unique(grams_j >> np.uint64(8)) if j else np.zeros(1, np.uint64)
-            if not len(c) and j:
-                break
-            contexts.append(c)
-            first.append(first[-1] + len(c))
-        states = first[-1]
-        count = np.zeros((states, wide))
-        total = np.zeros(states)
-        for j, c in enumerate(contexts):
-            g, n = kept.get(j, zero)
-            rows = first[j] + np.searchsorted(c, g >> np.uint64(8))
-            count[rows, self.classes[(g & np.uint64(255)).astype(np.int64)]] = n
-            if j == 0:
-                total[0] = zero[1].sum() if len(zero[1]) else 0
-                continue
-            shorter_g, shorter_n = kept[j - 1]
-            at = np.minimum(np.searchsorted(shorter_g, c), len(shorter_g) - 1)
-            total[first[j] : first[j + 1]] = np.where(shorter_g[at] == c, shorter_n[at], texts)  # only contexts of BEFORE alone are not predicted
-        total = np.maximum(total, count.sum(axis=1))
-        kinds = (count > 0).sum(axis=1)
-        spare = 256 - len(known)
-        logp = np.zeros((states, wide))
-        after = np.zeros((states, wide), np.int64)
-        escape = np.zeros(states)
-        with np.errstate(divide="ignore"):
-            for j, c in enumerate(contexts):
+        none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        levels = [kept.get(j, none) for j in range(order + 1)]
+        contexts = [np.unique(g >> np.uint64(8)) if j else np.zeros(1, np.uint64) for j, (g, _) in enumerate(levels)]
+        first = np.concatenate(([0], np.cumsum([len(c) for c in contexts])))
+        states = int(first[-1])
+        find = lambda keys, asked: np.minimum(np.searchsorted(keys, asked), max(0, len(keys) - 1))
+        low = lambda j: np.uint64((1 << 8 * j) - 1)
+        self.suffix = np.zeros(states, np.int64)
+        total, kinds, known = np.zeros(states), np.zeros(states), np.zeros(states)  # known: summed counts of known symbols
+        gone, gone_kinds = np.zeros(states), np.zeros(states)  # what a context excludes from its suffix
+        keys, counts, onward = [], [], []
+        for j, (g, n) in enumerate(levels):
+            node = first[j] + (np.searchsorted(contexts[j], g >> np.uint64(8)) if j else np.zeros(len(g), np.int64))
+            np.add.at(kinds, node, 1)
+            np.add.at(known, node, n)
+            if j:
                 own = slice(first[j], first[j + 1])
-                n, t, d = count[own], total[own], kinds[own]
-                escape[own] = np.where(t + d > 0, np.log10(np.maximum(t - n.sum(axis=1) + d, 1e-300) / np.maximum(t + d, 1e-300)), 0.0)
-                if j == 0:
-                    lower = np.full(n.shape, -math.log10(max(spare, 1)))
-                    onward = np.zeros(n.shape, np.int64)
-                else:
-                    short = first[j - 1] + np.searchsorted(contexts[j - 1], c & np.uint64((1 << 8 * (j - 1)) - 1)) if j > 1 else np.zeros(len(c), np.int64)
-                    below, mine = count[short], n > 0
-                    t2 = total[short] - (below * mine).sum(axis=1)
-                    d2 = kinds[short] - mine.sum(axis=1)
-                    n2 = (below * ~mine).sum(axis=1)
-                    size = np.maximum(t2 + d2, 1e-300)
-                    drop = np.where(t2 + d2 > 0, np.log10(np.maximum(t2 - n2 + d2, 1e-300) / size), 0.0)
-                    lower = np.where(below > 0, np.log10(np.maximum(below, 1e-300) / size[:, None]), logp[short] - escape[short][:, None] + drop[:, None])
-                    onward = after[short]
-                logp[own] = np.where(n > 0, np.log10(np.maximum(n, 1e-300) / np.maximum(t + d, 1e-300)[:, None]), escape[own][:, None] + lower)
-                after[own] = onward
-                if j + 1 < len(contexts):  # contexts that are longer by a symbol
-                    longer = contexts[j + 1]
-                    last = (longer & np.uint64(255)).astype(np.int64)
-                    rows = np.searchsorted(c, longer >> np.uint64(8)) if j else np.zeros(len(longer), np.int64)
-                    held = (last != BEFORE) & (rows < len(c))
-                    held[held] &= c[rows[held]] == longer[held] >> np.uint64(8) if j else True
-                    after[first[j] + rows[held], self.classes[last[held]]] = first[j + 1] + np.flatnonzero(held)
+                self.suffix[own] = first[j - 1] + (np.searchsorted(contexts[j - 1], contexts[j] & low(j - 1)) if j > 1 else 0)
+                shorter, less = levels[j - 1]
+                at = find(shorter, contexts[j])
+                # a context occurs as often as it is predicted; one of BEFORE alone, once in each text
+                total[own] = np.where(shorter[at] == contexts[j], less[at], texts) if len(shorter) else texts
+                at = np.searchsorted(shorter, g & low(j))  # the same symbol in the suffix
+                np.add.at(gone, node, less[at])
+                np.add.at(gone_kinds, node, 1)
+                after = onward[j - 1][at].copy()
+            else:
+                after = np.zeros(len(g), np.int64)
+            if j < order and len(contexts[j + 1]):
+                at = find(contexts[j + 1], g)
+                longer = contexts[j + 1][at] == g
+                after[longer] = first[j + 1] + at[longer]
+            keys.append(node * 256 + (g & np.uint64(255)).astype(np.int64))
+            counts.append(n)
+            onward.append(after)
+        total[0] = known[0]
+        total = np.maximum(total, known)
+        log = lambda x: np.log10(np.maximum(x, 1e-300))
+        size = total + kinds
+        self.size = log(size)
+        self.escape = np.where(size > 0, log(total - known + kinds) - self.size, 0.0)
+        up = self.suffix
+        size = total[up] + kinds[up] - gone - gone_kinds
+        self.size_below = log(size)
+        self.escape_below = np.where(size > 0, log(total[up] - known[up] + kinds[up] - gone_kinds) - self.size_below, 0.0)
+        self.rest = -math.log10(max(1, 256 - len(levels[0][0])))
         self.start = 0
         for j, c in enumerate(contexts):
-            lead = int.from_bytes(bytes([BEFORE]) * j, "big") if j else 0
-            at = int(np.searchsorted(c, np.uint64(lead)))
-            if at < len(c) and int(c[at]) == lead:
-                self.start = first[j] + at
-        self.states, self.wide = states, wide + 1  # one more class that stays and costs nothing
-        self.logp = np.ascontiguousarray(np.concatenate((logp, np.zeros((states, 1))), axis=1).astype(np.float32)).ravel()
-        stay = np.arange(states)[:, None]
-        self.after = np.ascontiguousarray(np.concatenate((after, stay), axis=1).astype(np.int32) * self.wide).ravel()
+            lead = np.uint64(int.from_bytes(bytes([BEFORE]) * j, "big"))
+            if j and len(c) and c[at := int(find(c, lead))] == lead:
+                self.start = int(first[j]) + at
+        self.states = states
+        keys, onward = np.concatenate(keys), np.concatenate(onward)
+        by = np.argsort(-total[1:], kind="stable") + 1  # often used contexts get low numbers; the empty one stays 0
+        by = np.concatenate(([0], by))
+        number = np.empty(states, np.int64)
+        number[by] = np.arange(states)
+        self.start = int(number[self.start])
+        self.suffix = number[self.suffix[by]]
+        for name in ("size", "escape", "size_below", "escape_below"):
+            setattr(self, name, getattr(self, name)[by])
+        self._hash(number[keys >> 8] * 256 + (keys & 255), log(np.concatenate(counts)).astype(np.float32), number[onward].astype(np.int32))
+        level = np.repeat(np.arange(order + 1), np.diff(first))[by]
+        self._rows((levels[0][0] & np.uint64(255)).astype(np.int64), level, min(states, DENSE_STATES))
+
+    def _rows(self, known: np.ndarray, level: np.ndarray, states: int) -> None:
+        """Full rows of the first states, whose suffixes are among them: each from its suffix's row."""
+        self.wide = len(known) + 1  # bytes unknown everywhere share a class
+        self.classes = np.full(256, self.wide - 1, np.int64)
+        self.classes[known] = np.arange(len(known))
+        held = np.flatnonzero((self.keys >= 0) & (self.keys < states * 256))
+        node, symbol = self.keys[held] >> 8, self.classes[self.keys[held] & 255]
+        mask = np.zeros((states, self.wide), bool)
+        mask[node, symbol] = True
+        gain, after = np.zeros((states, self.wide), np.float32), np.zeros((states, self.wide), np.int32)
+        gain[0] = self.escape[0] + self.rest
+        for j in range(int(level[:states].max()) + 1):
+            here = np.flatnonzero(level[:states] == j)
+            for a in range(0, len(here) if j else 0, 8192):
+                x = here[a : a + 8192]
+                up = self.suffix[x]
+                seen = gain[up] + (self.size[up] - self.size_below[x])[:, None]
+                unseen = gain[up] + (self.escape_below[x] - self.escape[up])[:, None]
+                gain[x], after[x] = np.where(mask[up], seen, unseen) + self.escape[x][:, None], after[up]
+            own = level[node] == j
+            gain[node[own], symbol[own]] = self.gain[held[own]] - self.size[node[own]]
+            after[node[own], symbol[own]] = self.after[held[own]]
+        self.dense, self.dense_gain, self.dense_after = states, gain.ravel(), after.ravel()
+
+    def _hash(self, keys: np.ndarray, gain: np.ndarray, after: np.ndarray) -> None:
+        """Open addressing at a load of a half at most; a key's place is looked for from its hash on."""
+        bits = max(4, int(2 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.gain, self.after = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.float32), np.zeros(1 << bits, np.int32)
+        left, slot = np.arange(len(keys)), self._slot(keys)
+        while len(left):
+            free = self.keys[slot] < 0
+            self.keys[slot[free]] = keys[left[free]]
+            put = self.keys[slot] == keys[left]
+            self.gain[slot[put]], self.after[slot[put]] = gain[left[put]], after[left[put]]
+            left, slot = left[~put], (slot[~put] + 1) & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def lookup(self, keys: np.ndarray) -> np.ndarray:
+        """Slot of each key, -1 where it is not known."""
+        slot = self._slot(keys)
+        found = self.keys[slot]
+        open_ = np.flatnonzero((found != keys) & (found >= 0))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & self.mask
+            found[open_] = self.keys[slot[open_]]
+            open_ = open_[(found[open_] != keys[open_]) & (found[open_] >= 0)]
+        slot[found < 0] = -1
+        return slot
+
+    def advance(self, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """`step`, from the full rows where there are any."""
+        rare = np.flatnonzero(state >= self.dense)
+        key = state * self.wide + self.classes[symbol]
+        if len(rare):
+            key[rare] = 0
+        gain, after = self.dense_gain[key], self.dense_after[key]
+        if len(rare):
+            gain[rare], after[rare] = self.step(state[rare], symbol[rare])
+        return gain, after
+
+    def step(self, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 probability of each symbol in its state, and the next states."""
+        slot = self.lookup(state * 256 + symbol)
+        hit = slot >= 0
+        gain = np.where(hit, self.gain[slot] - self.size[state], self.escape[state])
+        after = np.where(hit, self.after[slot], 0).astype(np.int64)
+        lost = np.flatnonzero(~hit)
+        above = state[lost]
+        while len(lost):
+            ended = above == 0
+            gain[lost[ended]] += self.rest
+            lost, above = lost[~ended], above[~ended]
+            node = self.suffix[above]
+            slot = self.lookup(node * 256 + symbol[lost])
+            hit = slot >= 0
+            gain[lost[hit]] += self.gain[slot[hit]] - self.size_below[above[hit]]
+            after[lost[hit]] = self.after[slot[hit]]
+            gain[lost[~hit]] += self.escape_below[above[~hit]]
+            lost, above = lost[~hit], node[~hit]
+        return gain, after
 
     def score(self, raw: list[bytes]) -> np.ndarray:
         """log10 probability of each text and its end. Texts are cut into spans, all read at the same pace.
@@ -143,21 +224,18 @@ class Trie:
         lanes = int(spans.sum())
         if not lanes:
             return np.zeros(0)
-        data = self.classes[np.frombuffer(b"".join(x for r in raw for x in (r, bytes([END]))), np.uint8)]
+        data = np.frombuffer(b"".join(x for r in raw for x in (r, bytes([END]))), np.uint8).astype(np.int64)
         text_of = np.repeat(np.arange(len(raw)), spans)
         nth = np.arange(lanes) - np.repeat(np.cumsum(spans) - spans, spans)
         begin = np.repeat(np.cumsum(size) - size, spans) + nth * SPAN
         until = np.repeat(np.cumsum(size), spans)
         out = np.zeros(lanes)
-        state = np.where(nth == 0, self.start, 0).astype(np.int64) * self.wide
-        order, wide = self.order, self.wide
-        for at in range(-order, SPAN):
-            place = begin + at
-            ok = place < until if at >= 0 else nth > 0
-            key = state + np.where(ok, data[np.minimum(np.maximum(place, 0), len(data) - 1)], wide - 1)
+        state = np.where(nth == 0, self.start, 0).astype(np.int64)
+        for at in range(-self.order, SPAN):
+            on = np.flatnonzero(begin + at < until if at >= 0 else nth > 0)
+            gain, state[on] = self.advance(state[on], data[begin[on] + at])
             if at >= 0:
-                out += self.logp[key]
-            state = self.after[key].astype(np.int64)
+                out[on] += gain
         return np.bincount(text_of, out, minlength=len(raw))
 
 
@@ -232,7 +310,7 @@ def kept_grams(counts: DataFrame, order: int, share: float) -> tuple[dict[int, t
 _tries: dict[int, Trie] = {}
 
 
-def lm_scores(docs: DataFrame, order: int = 5, share: float = 5e-6, word_share: float = 2e-6, held_fold: int = 1, folds: int = 5) -> DataFrame:
+def lm_scores(docs: DataFrame, order: int = 6, share: float = 1e-6, word_share: float = 2e-6, held_fold: int = 1, folds: int = 5) -> DataFrame:
     """Score each document (doc_id, text) by a byte trie and a unigram base, both learned from the other folds.
 
     Training documents are those whose crc32(doc_id as text) modulo `folds` is not `held_fold`; every one of

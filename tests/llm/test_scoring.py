@@ -4,8 +4,9 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 
-from eigenloom.llm.scoring import BEFORE, END, SPAN, Trie, grams, lm_scores, streams, tally
+from eigenloom.llm.scoring import BEFORE, DENSE_STATES, END, SPAN, Trie, grams, lm_scores, streams, tally
 
 
 def kept_of(raw, order, least):
@@ -56,14 +57,19 @@ def brute_ppm(raw, order, least, text):
     return out
 
 
-def test_trie_against_brute_force():
+@pytest.mark.parametrize("dense", [DENSE_STATES, 5])
+def test_trie_against_brute_force(dense, monkeypatch):
+    monkeypatch.setattr("eigenloom.llm.scoring.DENSE_STATES", dense)
     rng = random.Random(3)
     raw = ["".join(rng.choices(["ab", "c", " ", "dé", "ba"], k=rng.randrange(0, 60))).encode() for _ in range(50)]
     for order, least in ((2, 3), (3, 5), (4, 2), (1, 1)):
         trie = Trie(kept_of(raw, order, least), len(raw), order)
-        rows = 10.0 ** trie.logp.reshape(trie.states, trie.wide)[:, :-1].astype(float)
-        whole = rows[:, :-1].sum(axis=1) + rows[:, -1] * (trie.classes == trie.wide - 2).sum()
-        assert np.allclose(whole, 1, atol=1e-5)
+        assert trie.dense == min(dense, trie.states)
+        for state in range(trie.states):
+            gain, after = trie.step(np.full(256, state), np.arange(256))
+            again, then = trie.advance(np.full(256, state), np.arange(256))
+            assert np.allclose(gain, again, atol=1e-5) and (after == then).all()
+            assert abs((10.0**gain).sum() - 1) < 1e-5
         asked = raw[:10] + [b"", b"zz ab", "中 ab".encode(), raw[1] * 200]
         assert len(asked[-1]) > 2 * SPAN or not raw[1]
         assert np.allclose(trie.score(asked), [brute_ppm(raw, order, least, t) for t in asked], rtol=1e-5, atol=1e-4)
