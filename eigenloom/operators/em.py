@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from eigenloom.operators.matrix import batch_of, column_of, map_rows, rows_of, sum_arrays
 from eigenloom.operators.normalize import centred
+from eigenloom.operators.variants import with_each
 from eigenloom.operators.pca import PCAModel, decompose, dimensions, flip_signs, mev
 
 #: Individual frequencies are kept this far from 0 and 1.
@@ -117,7 +118,7 @@ def impute(rows: DataFrame, model: PCAModel) -> DataFrame:
 def scale_rows(rows: DataFrame, ploidy: int = 2) -> DataFrame:
     """Divide `x` by the binomial deviation of af."""
     sd = F.sqrt(F.col("af") * (1 - F.col("af")))
-    return rows.withColumn("_s", F.when(sd > 1e-9, F.sqrt(F.lit(float(ploidy))) / sd).otherwise(1.0)).withColumn("x", F.transform("x", lambda v: v * F.col("_s"))).drop("_s")
+    return rows.withColumn("x", with_each(F.col("x"), F.when(sd > 1e-9, F.sqrt(F.lit(float(ploidy))) / sd).otherwise(1.0), lambda v, s: v * s))
 
 
 def emu(geno: DataFrame, k: int, method: str = "auto", max_iter: int = 100, tol: float = 1e-5, **options) -> PCAModel:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from eigenloom.operators.matrix import column_of, rows_of
+from eigenloom.operators.variants import with_each
 
 #: Samples whose part of a dot product one task takes.
 SAMPLE_BLOCK = 8192
@@ -21,10 +22,9 @@ def unit_rows(rows: DataFrame, column: str) -> DataFrame:
     """Rows centred over samples and divided by their length, so that r is a dot product; null without variance."""
     n = F.size(column)
     mean = F.aggregate(column, F.lit(0.0), lambda a, x: a + x) / n
-    centred = rows.withColumn("_mean", mean).withColumn("_c", F.transform(column, lambda x: x - F.col("_mean")))
-    length = F.sqrt(F.aggregate("_c", F.lit(0.0), lambda a, x: a + x * x))
-    out = centred.withColumn("_len", length).withColumn("unit", F.when(F.col("_len") > 0, F.transform("_c", lambda x: x / F.col("_len"))))
-    return out.drop("_mean", "_c", "_len")
+    centred = with_each(F.col(column), mean, lambda x, m: x - m)
+    length = F.sqrt(F.aggregate(centred, F.lit(0.0), lambda a, x: a + x * x))
+    return rows.withColumn("unit", with_each(centred, F.when(length > 0, length), lambda x, n: x / n)).withColumn("unit", F.when(F.get("unit", F.lit(0)).isNotNull(), F.col("unit")))
 
 
 def r2_pairs(rows: DataFrame, variants: DataFrame, window_bp: int = 1_000_000, column: str = "r", n_samples: int | None = None) -> DataFrame:

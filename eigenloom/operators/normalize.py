@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eigenloom.operators.variants import with_frequency
+from eigenloom.operators.variants import with_each, with_frequency
 
 EPSILON_GENETIC, EPSILON_FEATURE = 1e-9, 1e-10
 
 
 def centre(g: Column, af: Column) -> Column:
     """g - af, and 0 where g is missing."""
-    return F.transform(g, lambda x: F.coalesce(x - af, F.lit(0.0)))
+    return with_each(g, af, lambda x, a: F.coalesce(x - a, F.lit(0.0)))
 
 
 def genetic_scale(af: Column, ploidy: int = 2) -> Column:
@@ -30,7 +30,7 @@ def centred(geno: DataFrame) -> DataFrame:
 def standardized(geno: DataFrame, ploidy: int = 2) -> DataFrame:
     """Add `af` and `x`, centred and divided by the binomial deviation."""
     scale = genetic_scale(F.col("af"), ploidy)
-    return centred(geno).withColumn("scale", scale).withColumn("x", F.transform("x", lambda v: v * F.col("scale"))).drop("scale")
+    return centred(geno).withColumn("x", with_each(F.col("x"), scale, lambda v, s: v * s))
 
 
 def library_size(counts: DataFrame) -> DataFrame:

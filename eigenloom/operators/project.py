@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from eigenloom.operators.em import EDGE, posterior_dosage
 from eigenloom.operators.matrix import rows_of, sum_arrays
 from eigenloom.operators.normalize import genetic_scale
+from eigenloom.operators.variants import with_each
 
 
 def matched_rows(geno: DataFrame, matches: DataFrame, reference: DataFrame, standardize: bool = True, ploidy: int = 2) -> DataFrame:
@@ -24,8 +25,8 @@ def matched_rows(geno: DataFrame, matches: DataFrame, reference: DataFrame, stan
     rows = geno.join(matches, "variant_idx").join(ref, "ref_idx")
     af = F.when(F.col("flip"), 1 - F.col("ref_af")).otherwise(F.col("ref_af"))
     rows = rows.withColumn("af", af).withColumn("v", F.when(F.col("flip"), F.transform("ref_v", lambda x: -x)).otherwise(F.col("ref_v")))
-    rows = rows.withColumn("_s", genetic_scale(F.col("af"), ploidy) if standardize else F.lit(1.0))
-    values = [F.transform("g", lambda x: (x - F.col("af")) * F.col("_s")).alias("x")] if "g" in geno.columns else [F.col("p0"), F.col("p1")]
+    scale = genetic_scale(F.col("af"), ploidy) if standardize else F.lit(1.0)
+    values = [with_each(with_each(F.col("g"), F.col("af"), lambda x, a: x - a), scale, lambda x, s: x * s).alias("x")] if "g" in geno.columns else [F.col("p0"), F.col("p1")]
     return rows.select("variant_idx", "af", "v", *values)
 
 

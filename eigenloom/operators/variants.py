@@ -18,6 +18,11 @@ def frequency(g: Column) -> Column:
     return F.when(observed(g) > 0, total / observed(g)).otherwise(F.lit(0.0))
 
 
+def with_each(array: Column, scalar: Column, fn) -> Column:
+    """fn(element, scalar) of each element. The scalar is computed once for a row, not in the lambda for each element."""
+    return F.zip_with(array, F.array_repeat(scalar, F.size(array)), fn)
+
+
 def maf(af: Column) -> Column:
     """Minor allele frequency."""
     return F.least(af, F.lit(1.0) - af)
