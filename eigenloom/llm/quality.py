@@ -99,9 +99,12 @@ def word_chars(text: str | None) -> int:
 
 
 def ngram_counts(docs: DataFrame, trusted: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of hashed words and word pairs over all documents, and over those whose doc_id `trusted` lists."""
+    """Counts of hashed words and word pairs over all documents, and over those whose doc_id `trusted` lists.
+
+    The join is a merge at every size: the list of trusted ids grows with the corpus, so it is never broadcast.
+    """
     marks = trusted.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(True).alias("trusted")).where("doc_id is not null").distinct()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(marks, "doc_id", "left").select("text", "trusted")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(marks.hint("merge"), "doc_id", "left").select("text", "trusted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, size), np.int64)
