@@ -1 +1 @@
-
+"""Empty on purpose: every analysis reads finite tables, and none has an incremental counterpart."""

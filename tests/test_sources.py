@@ -103,3 +103,25 @@ def test_writers_read_back(spark, tmp_path):
     clumps = ld.clump(pairs.fillna(0.0), v.drop("af"), spark.createDataFrame([("1", 0, 1e-5, "a"), ("1", 10, 1e-3, "b"), ("1", 20, 1e-3, "c")], "chr string, bp long, p double, line string"))
     sinks.write_clumps(clumps, str(tmp_path / "c"), "L")
     assert sorted(r.value for r in spark.read.text(str(tmp_path / "c")).collect()) == ["L\tSP2", "a\t10"]
+
+
+@pytest.mark.parametrize("codec", [0, 1, 2])
+def test_bgen(spark, tmp_path, codec):
+    import struct
+    import zlib
+
+    from eigenloom.sources.bgen import read_bgen
+
+    p = np.array([[[255, 0], [0, 255], [0, 0], [51, 204]], [[0, 0], [0, 0], [0, 255], [0, 0]]], np.uint8)
+    name = lambda s, k="<H": struct.pack(k, len(s)) + s.encode()
+    body = b""
+    for i, q in enumerate(p):
+        block = struct.pack("<IHBB", 4, 2, 2, 2) + bytes([2, 2, 2, 0x82]) + bytes([0, 8]) + q.tobytes()
+        packed = {0: block, 1: struct.pack("<I", len(block)) + zlib.compress(block), 2: struct.pack("<I", len(block)) + zstandard.compress(block)}[codec]
+        body += name("") + name(f"rs{i}") + name("1") + struct.pack("<IH", 10 + i, 2) + name("A", "<I") + name("G", "<I") + struct.pack("<I", len(packed)) + packed
+    (tmp_path / "a.bgen").write_bytes(struct.pack("<4I", 20, 20, 2, 4) + b"bgen" + struct.pack("<I", codec | 2 << 2) + body)
+    a, b = read_bgen(spark, str(tmp_path / "a.bgen")).orderBy("variant_idx").collect()
+    assert a.g == [0.0, 0.5, 1.0, None] and (a.id, a.bp, a.a1, a.a2) == ("rs0", 10, "G", "A")
+    assert b.g == [0.0, 0.0, 0.5, None] and b.a1 == "A"
+    r = read_bgen(spark, str(tmp_path / "a.bgen"), probabilities=True).where("variant_idx = 0").first()
+    assert r.p0 == [1.0, 0.0, 0.0, None] and r.p1 == [0.0, 1.0, 0.0, None]
