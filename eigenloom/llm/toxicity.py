@@ -136,30 +136,41 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = 10_000, max
     pool = [r.term for r in often.where(F.col("n") >= least_rows).orderBy(F.desc("n"), "term").limit(candidates).collect()]
     at = spark.sparkContext.broadcast({t: i for i, t in enumerate(pool)})
 
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros((2, len(at.value) + 1), np.int64)  # the last column counts texts
+        for batch in batches:
+            for text, toxic in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                own = seen[int(toxic == 1)]
+                own[[at.value[t] for t in terms(text) & at.value.keys()]] += 1
+                own[-1] += 1
+        toxic, term = np.nonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(toxic), pa.array(term), pa.array(seen[toxic, term])], ["toxic", "term", "n"])
+
+    seen = np.zeros((2, len(pool) + 1))
+    for r in map_arrow(sample, tally, "toxic long, term long, n long").groupBy("toxic", "term").agg(F.sum("n").alias("n")).collect():
+        seen[r.toxic, r.term] = r.n
+    well, sick = seen[:, -1]
+    prior = float(np.log((sick + 0.5) / (well + 0.5)))
+    ratio = np.log((seen[1, :-1] + 0.5) / (sick + 1)) - np.log((seen[0, :-1] + 0.5) / (well + 1))
+    telling = np.where(ratio >= np.log(least_ratio), seen[1, :-1] * ratio - seen[0, :-1], -np.inf)
+    voters = [int(v) for v in np.argsort(-telling, kind="stable")[:max_voters] if telling[v] > 0]
+    if not voters:
+        drop_stash(sample)
+        return Toxicity({}, 0.0, prior)
+    place = {v: k for k, v in enumerate(voters)}
+    column = spark.sparkContext.broadcast({pool[v]: k for v, k in place.items()})
+
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hits = [sorted(at.value[t] for t in terms(x) & at.value.keys()) for x in batch.column(1).to_pylist()]
+            hits = [sorted(column.value[t] for t in terms(x) & column.value.keys()) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(hits, pa.list_(pa.int32()))], ["doc_id", "toxic", "hits"])
 
     rows = sorted(map_arrow(sample, mark, "doc_id long, toxic int, hits array<int>").collect(), key=lambda r: (r.doc_id, r.hits))
     drop_stash(sample)
     y = np.array([r.toxic for r in rows], np.int64)
-    sick, well = int((y == 1).sum()), int((y == 0).sum())
-    prior = float(np.log((sick + 0.5) / (well + 0.5)))
-    if not sick or not pool:
-        return Toxicity({}, 0.0, prior)
-    seen = np.zeros((2, len(pool)))
-    for r in rows:
-        seen[int(r.toxic == 1), r.hits] += 1
-    ratio = np.log((seen[1] + 0.5) / (sick + 1)) - np.log((seen[0] + 0.5) / (well + 1))
-    telling = np.where(ratio >= np.log(least_ratio), seen[1] * ratio - seen[0], -np.inf)
-    voters = [int(v) for v in np.argsort(-telling, kind="stable")[:max_voters] if telling[v] > 0]
-    place = {v: k for k, v in enumerate(voters)}
     votes = np.zeros((len(rows), len(voters)))
     for i, r in enumerate(rows):
-        votes[i, [place[h] for h in r.hits if h in place]] = 1
-    if not voters:
-        return Toxicity({}, 0.0, prior)
+        votes[i, r.hits] = 1
     post, _, _ = label_model(votes, y)
     w = fit_linear(np.column_stack((votes, np.log1p(votes.sum(axis=1)))), post)
     return Toxicity({pool[v]: float(w[k]) for v, k in place.items()}, float(w[-2]), float(w[-1]))
