@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch between the JVM and Python; few, since one text may hold megabytes.
+#: Rows of one Arrow batch between the JVM and Python; few, since one text may hold megabytes. Spark also ends a
+#: batch at 64 MB (spark.sql.execution.arrow.maxBytesPerBatch).
 BATCH_ROWS = 256
 
 

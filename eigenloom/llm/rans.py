@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eigenloom.llm._common import batch_rows, constants, map_arrow
+from eigenloom.llm._common import constants, map_arrow
 from eigenloom.llm.bpe import worker_encoder
 from eigenloom.llm.tokenization import read_vocabulary
 
@@ -240,7 +240,4 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
                     )
 
     placed = files.select((F.get(constants(starts), F.col("part")) + F.col("start_in_part")).alias("start"), "payload")
-    with batch_rows(spark, 2):
-        out = placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
-        out._jdf.queryExecution().executedPlan()  # the plan takes the batch size when it is made
-    return out
+    return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
