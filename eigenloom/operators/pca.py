@@ -45,8 +45,8 @@ class PCAModel:
         return self.s**2 / self.n_variants
 
     def scores(self) -> DataFrame:
-        rows = [(i, pc + 1, float(self.u[i, pc])) for i in range(self.n_samples) for pc in range(self.k)]
-        return self.spark.createDataFrame(rows, "sample_idx int, pc int, u double")
+        n, k = self.u.shape
+        return self.spark.createDataFrame(pa.table({"sample_idx": np.repeat(np.arange(n, dtype=np.int32), k), "pc": np.tile(np.arange(1, k + 1, dtype=np.int32), n), "u": self.u.ravel()}))
 
     def loadings(self) -> DataFrame:
         return self.packed_loadings.select("variant_idx", F.posexplode("v").alias("pc", "v")).select("variant_idx", (F.col("pc") + 1).cast("int").alias("pc"), "v")

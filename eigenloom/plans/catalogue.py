@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,7 +37,7 @@ def r6(c: Column | str) -> Column:
 
 
 def from_numpy(spark: SparkSession, **columns) -> DataFrame:
-    return spark.createDataFrame(pd.DataFrame(columns))
+    return spark.createDataFrame(pa.table(columns))
 
 
 def long_form(rows: DataFrame, column: str, name: str = "x") -> DataFrame:
