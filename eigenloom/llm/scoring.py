@@ -20,7 +20,7 @@ BEFORE, END = 0xFE, 0xFF
 #: Bytes that one lane of the automaton reads.
 SPAN = 512
 #: Contexts that have a full row: these take most of the memory, at most some hundreds of megabytes.
-DENSE_STATES = 220_000
+DENSE_STATES = 120_000
 
 
 def streams(raw: list[bytes], order: int) -> np.ndarray:
@@ -239,7 +239,7 @@ class Trie:
         return np.bincount(text_of, out, minlength=len(raw))
 
 
-def corpus_counts(docs: DataFrame, order: int, hold_words: int = 300_000, hold_grams: int = 1_000_000) -> DataFrame:
+def corpus_counts(docs: DataFrame, order: int, hold_words: int = 300_000, hold_grams: int = 500_000) -> DataFrame:
     """Counts over all texts, each word lower-cased (`word`; the end of a text is the empty word) or gram (`gram`).
 
     A task sends what it holds on once it holds over the given numbers, so its memory is bounded.
@@ -273,7 +273,7 @@ def corpus_counts(docs: DataFrame, order: int, hold_words: int = 300_000, hold_g
             if len(words) > hold_words:
                 yield of_words()
             waiting.append(grams(streams(raw, order), order))
-            if sum(map(len, waiting)) > 4_000_000:
+            if sum(map(len, waiting)) > 1_000_000:
                 gather()
             if len(keys) > hold_grams:
                 yield of_grams()
@@ -310,7 +310,7 @@ def kept_grams(counts: DataFrame, order: int, share: float) -> tuple[dict[int, t
 _tries: dict[int, Trie] = {}
 
 
-def lm_scores(docs: DataFrame, order: int = 6, share: float = 1e-6, word_share: float = 2e-6, held_fold: int = 1, folds: int = 5) -> DataFrame:
+def lm_scores(docs: DataFrame, order: int = 5, share: float = 1e-6, word_share: float = 2e-6, held_fold: int = 1, folds: int = 5) -> DataFrame:
     """Score each document (doc_id, text) by a byte trie and a unigram base, both learned from the other folds.
 
     Training documents are those whose crc32(doc_id as text) modulo `folds` is not `held_fold`; every one of
