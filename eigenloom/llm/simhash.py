@@ -130,7 +130,12 @@ def keep_one(docs: DataFrame, words: int = 3, distance: int = 2, blocks: int = 5
     Of rows that repeat a kept doc_id, one stays. Rows with a null doc_id cannot be named as a component's
     document and all stay. The join is a merge at every size, since what is kept grows with the corpus.
     """
-    ids = near_duplicates(docs, words, distance, blocks).where("component_id is not null").select(F.col("component_id").alias("_kept")).distinct()
+    return keep_named(docs, near_duplicates(docs, words, distance, blocks))
+
+
+def keep_named(docs: DataFrame, components_of: DataFrame) -> DataFrame:
+    """The documents that the component_id of `components_of` names, and those with a null doc_id."""
+    ids = components_of.where("component_id is not null").select(F.col("component_id").alias("_kept")).distinct()
     named = docs.where("doc_id is not null")
     kept = named.join(ids.hint("merge"), named["doc_id"].cast("long") == ids["_kept"], "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where("doc_id is null"))
