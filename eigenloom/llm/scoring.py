@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eigenloom.llm._common import map_arrow, stash
+from eigenloom.llm._common import drop_stash, map_arrow, stash
 
 #: Bytes that no UTF-8 text holds: what stands before a text, and its end.
 BEFORE, END = 0xFE, 0xFF
@@ -21,6 +21,12 @@ BEFORE, END = 0xFE, 0xFF
 SPAN = 512
 #: Contexts that have a full row: these take most of the memory, at most some hundreds of megabytes.
 DENSE_STATES = 120_000
+#: Bytes of text whose distinct grams are asked for together.
+PIECE = 8 << 20
+#: Levels up to this one are sent to all tasks: at most 2**24 grams of three bytes, however large the corpus.
+NEAR = 2
+#: Rows of `corpus_counts`.
+COUNTS = pa.schema([("word", pa.binary()), ("gram", pa.int64()), ("n", pa.int64()), ("shard", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary())])
 
 
 def streams(raw: list[bytes], order: int) -> np.ndarray:
@@ -53,7 +59,9 @@ def tally(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarra
 
 
 class Trie:
-    """A pretrained context trie: states are contexts, and known symbols lie in one hash table.
+    """A pretrained context trie in one memory: states are contexts, and known symbols lie in one hash table.
+
+    `lm_scores` gets the same chances from a sharded table (`Level`, `chances`), whose size no worker bounds.
 
     From {order: (grams, counts)}, grams of order + 1 bytes whose counts reach one bound for all orders, so a
     context's known symbols are known to its suffix as well. In a context with `total` predictions and `kinds`
@@ -239,25 +247,68 @@ class Trie:
         return np.bincount(text_of, out, minlength=len(raw))
 
 
-def corpus_counts(docs: DataFrame, order: int, hold_words: int = 300_000, hold_grams: int = 500_000) -> DataFrame:
-    """Counts over all texts, each word lower-cased (`word`; the end of a text is the empty word) or gram (`gram`).
+def shard_of(gram: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of a gram, from the three bytes before its last: all its contexts of three bytes or more are there."""
+    mixed = (gram >> np.uint64(8) & np.uint64(0xFFFFFF)) * np.uint64(2654435761) & np.uint64(0xFFFFFFFF)
+    return (mixed >> np.uint64(12)) % np.uint64(shards)
+
+
+def planes(values: np.ndarray) -> bytes:
+    """Numbers as their number and their byte planes, compressed."""
+    data = values.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    return len(values).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    raw = pa.decompress(data[8:], decompressed_size=8 * n, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8")[:, 0]
+
+
+def packed(keys: np.ndarray) -> bytes:
+    """Ascending keys by their differences."""
+    return planes(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(from_planes(data), dtype=np.uint64)
+
+
+def by_shard(keys: np.ndarray, shards: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The shards of ascending keys, and where each one's keys lie, in ascending order."""
+    of = shard_of(keys, shards).astype(np.int64)
+    by = np.argsort(of, kind="stable")
+    ids, first = np.unique(of[by], return_index=True)
+    return ids, np.split(by, first[1:]) if len(ids) else []
 
-    A task sends what it holds on once it holds over the given numbers, so its memory is bounded.
+
+def corpus_counts(docs: DataFrame, order: int, shards: int, hold_words: int = 300_000, hold_grams: int = 2_000_000) -> DataFrame:
+    """Partial counts over all texts, of three kinds of row.
+
+    Each word lower-cased (`word` and `n`; the end of a text is the empty word), each gram of up to NEAR + 1 bytes
+    (`gram` and `n`), and the grams of a shard (`shard`, `grams` and `counts`, packed). A task sends what it holds
+    on once it holds over the given numbers, so its memory is bounded.
     """
+    short = np.uint64((1 << 8 * (min(order, NEAR) + 1)) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter[bytes] = Counter()
         keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         waiting: list[np.ndarray] = []
 
+        def of(rows: int, **columns: pa.Array) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(rows, f.type)) for f in COUNTS], schema=COUNTS)
+
         def of_words() -> pa.RecordBatch:
-            n = len(words)
-            out = pa.RecordBatch.from_arrays([pa.array(list(words), pa.binary()), pa.nulls(n, pa.int64()), pa.array(list(words.values()), pa.int64())], ["word", "gram", "n"])
+            out = of(len(words), word=pa.array(list(words), pa.binary()), n=pa.array(list(words.values()), pa.int64()))
             words.clear()
             return out
 
-        def of_grams() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.nulls(len(keys), pa.binary()), pa.array(keys.astype(np.int64)), pa.array(counts)], ["word", "gram", "n"])
+        def of_grams() -> Iterator[pa.RecordBatch]:
+            near, n = tally(keys & short, counts)
+            yield of(len(near), gram=pa.array(near.astype(np.int64)), n=pa.array(n))
+            ids, at = by_shard(keys, shards)
+            yield of(len(ids), shard=pa.array(ids, pa.int32()), grams=pa.array([packed(keys[i]) for i in at], pa.binary()), counts=pa.array([planes(counts[i]) for i in at], pa.binary()))
 
         def gather() -> None:
             nonlocal keys, counts
@@ -276,15 +327,15 @@ def corpus_counts(docs: DataFrame, order: int, hold_words: int = 300_000, hold_g
             if sum(map(len, waiting)) > 1_000_000:
                 gather()
             if len(keys) > hold_grams:
-                yield of_grams()
+                yield from of_grams()
                 keys, counts = keys[:0], counts[:0]
         gather()
         if words:
             yield of_words()
         if len(keys):
-            yield of_grams()
+            yield from of_grams()
 
-    return map_arrow(docs.select(F.col("text").cast("string")), run, "word binary, gram long, n long").groupBy("word", "gram").agg(F.sum("n").alias("n"))
+    return map_arrow(docs.select(F.col("text").cast("string")), run, "word binary, gram long, n long, shard int, grams binary, counts binary")
 
 
 def fold_of(doc_id: Column, folds: int = 5) -> Column:
@@ -292,62 +343,128 @@ def fold_of(doc_id: Column, folds: int = 5) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def kept_grams(counts: DataFrame, order: int, share: float) -> tuple[dict[int, tuple[np.ndarray, np.ndarray]], int]:
-    """Grams of each order that hold at least `share` of all predicted bytes: 1 / share of them at most."""
-    top = counts.where("gram is not null")
-    total = top.agg(F.sum("n")).first()[0] or 0
-    masks = [(j, (1 << 8 * (j + 1)) - 1) for j in range(order + 1)]
-    each = top.select("n", F.explode(F.array(*(F.struct(F.lit(j).alias("j"), F.col("gram").bitwiseAND(F.lit(m)).alias("g")) for j, m in masks))).alias("e"))
-    rows = each.groupBy("e.j", "e.g").agg(F.sum("n").alias("n")).where(F.col("n") >= max(1.0, share * total)).collect()
-    out = {}
-    for j, _ in masks:
-        mine = sorted((r.g, r.n) for r in rows if r.j == j)
-        if mine:
-            out[j] = (np.array([g for g, _ in mine], np.uint64), np.array([n for _, n in mine], np.int64))
-    return out, total
-
-
-_tries: dict[int, Trie] = {}
-
-
-def lm_scores(docs: DataFrame, order: int = 5, share: float = 1e-6, word_share: float = 2e-6, held_fold: int = 1, folds: int = 5) -> DataFrame:
-    """Score each document (doc_id, text) by a byte trie and a unigram base, both learned from the other folds.
+class Level:
+    """Contexts of one length: all their predictions, and their known symbols, those counted `least` times or more."""
+
+    def __init__(self, length: int, keys: np.ndarray, counts: np.ndarray, least: float, shorter: Level | None):
+        mask = np.uint64((1 << 8 * (length + 1)) - 1)
+        grams_, n = tally(keys & mask, counts)
+        held = n >= least
+        self.grams, self.n = grams_[held], n[held]
+        self.contexts = np.unique(self.grams >> np.uint64(8))
+        size = len(self.contexts)
+        node = np.searchsorted(self.contexts, self.grams >> np.uint64(8))
+        sums = lambda at, x=None: np.bincount(at, x, minlength=size).astype(float)
+        self.kinds, self.known = sums(node), sums(node, self.n)
+        at, found = self._find(self.contexts, grams_ >> np.uint64(8))
+        self.total = sums(at[found], n[found]) if length else self.known
+        self.gone = np.zeros(size)  # what a context excludes from its suffix
+        if shorter is not None and len(self.grams):
+            at, _ = self._find(shorter.grams, self.grams & mask >> np.uint64(8))
+            self.gone = sums(node, shorter.n[at])
+        self.mask = mask
+
+    @staticmethod
+    def _find(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(keys):
+            return np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
+        at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+        return at, keys[at] == asked
+
+
+def levels_of(keys: np.ndarray, counts: np.ndarray, least: float, lengths: range, below: list[Level]) -> list[Level]:
+    """`below`, and a level for each further length from the counts of grams at least as long."""
+    out = list(below)
+    for j in lengths:
+        out.append(Level(j, keys, counts, least, out[-1] if out else None))
+    return out
+
+
+def chances(levels: list[Level], asked: np.ndarray) -> np.ndarray:
+    """log10 probability of each gram's last byte after the others: that of `Trie`, from its levels' counts alone."""
+    out = np.zeros(len(asked))
+    open_, above = np.arange(len(asked)), np.full(len(asked), -1)
+    for j in range(len(levels) - 1, -1, -1):
+        level, g = levels[j], asked[open_] & levels[j].mask
+        node, there = level._find(level.contexts, g >> np.uint64(8))
+        at, hit = level._find(level.grams, g)
+        if there.any():
+            c, up = node[there], above[there]
+            longer = levels[j + 1] if j + 1 < len(levels) else None
+            less, kinds = (np.where(up >= 0, x[up], 0.0) if longer is not None and len(x) else np.zeros(len(up)) for x in ((longer.gone, longer.kinds) if longer else (np.zeros(0), np.zeros(0))))
+            size = level.total[c] + level.kinds[c] - less - kinds
+            left = level.total[c] - level.known[c] + level.kinds[c] - kinds
+            share = np.where(hit[there], level.n[at[there]], left)
+            out[open_[there]] += np.where(size > 0, np.log10(np.maximum(share, 1e-300)) - np.log10(np.maximum(size, 1e-300)), 0.0)
+        above = np.where(there, node, -1)[~hit]
+        open_ = open_[~hit]
+    out[open_] -= math.log10(max(1, 256 - len(levels[0].grams)))
+    return out
+
+
+#: Columns of a text as a piece holds it.
+TEXTS = pa.schema(
+    [("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_head", pa.int64()), ("head_score", pa.float64()), ("rare", pa.list_(pa.struct([("word", pa.binary()), ("tf", pa.int64())]))), ("raw", pa.binary())]
+)
+
+_near: dict[int, list[Level]] = {}
+
+
+def lm_scores(docs: DataFrame, order: int = 5, share: float = 0.0, word_share: float = 2e-6, held_fold: int = 1, folds: int = 5) -> DataFrame:
+    """Score each document (doc_id, text) by contexts of bytes and a unigram base, both learned from the other folds.
 
     Training documents are those whose crc32(doc_id as text) modulo `folds` is not `held_fold`; every one of
-    them is counted whole. The trie keeps contexts that hold at least `share` of the training bytes, hence at
-    most 1 / share for each length; words with at least `word_share` of the training tokens, at most
-    1 / word_share, are sent to the workers. Counts of all other words stay in a table, which rarer words of a
-    text are joined to.
+    them is counted whole, and every gram of theirs is in the model (with a `share` over 0, those that hold so
+    much of the training bytes). The model is a table sharded by the three bytes before the predicted one, where
+    all longer contexts of a byte lie together; only grams of up to three bytes are sent to all tasks. Texts are
+    read in pieces of PIECE bytes: each piece asks every shard for its distinct grams once, and adds up the answers.
+    Words with at least `word_share` of the training tokens, at most 1 / word_share, are sent to the workers.
+    Counts of all other words stay in a table, which rarer words of a text are joined to.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. Tokens are words (runs
-    without ASCII white space, A-Z lower-cased) and one end. score is the trie's log10 probability of the
+    without ASCII white space, A-Z lower-cased) and one end. score is the model's log10 probability of the
     text's bytes and its end. Null texts count as empty; they and empty ones have the end alone. Repeated rows
     are counted and scored each; a null doc_id counts as empty text for the fold. Without training documents
     train_tokens and n_known are 0, every base probability is 1 and every byte has probability 1/256. An empty
     table gives no rows. Other columns are not read.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    counts = stash(corpus_counts(rows.where(fold_of(F.col("doc_id"), folds) != held_fold).select("text"), order), "lm-counts")
-    words = counts.where("word is not null").select("word", "n")
-    total, kinds, texts = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.length("word") == 0, F.col("n"))), F.lit(0))).first()
+    shards = max(64, 2 * docs.rdd.getNumPartitions())
+    counts = stash(corpus_counts(rows.where(fold_of(F.col("doc_id"), folds) != held_fold).select("text"), order, shards), "lm-counts")
+    words = stash(counts.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
+    total, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     head = {bytes(r.word): r.n for r in words.where(F.col("n") >= max(1.0, word_share * total)).collect()}
-    kept, _ = kept_grams(counts, order, share)
-    model = docs.sparkSession.sparkContext.broadcast((kept, texts, head))
+    spark = docs.sparkSession
+    short = counts.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+    least = max(1.0, share * sum(short["n"].to_pylist()))
+    model = spark.sparkContext.broadcast((short["gram"].to_numpy().astype(np.uint64), short["n"].to_numpy().astype(np.int64)))
+    heads = spark.sparkContext.broadcast(head)
     size = total + 0.5 * (kinds + 1)
     name = id(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, texts, head = model.value
-        if name not in _tries:
-            _tries.clear()
-            _tries[name] = Trie(kept, texts, order)
-        trie = _tries[name]
-        gain = {w: math.log10((n + 0.5) / size) for w, n in head.items()}
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gain = {w: math.log10((n + 0.5) / size) for w, n in heads.value.items()}
         row = TaskContext.get().partitionId() << 33
+        piece, held_bytes, waiting, texts = row, 0, [], []
+
+        def wanted() -> pa.RecordBatch:
+            keys, _ = tally(np.concatenate(waiting))
+            ids, at = by_shard(keys, shards)
+            buffer = pa.BufferOutputStream()
+            with pa.ipc.new_stream(buffer, TEXTS, options=pa.ipc.IpcWriteOptions(compression=None)) as out:
+                for x in texts:
+                    out.write_batch(x)
+            data = buffer.getvalue()
+            blob = data.size.to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+            waiting.clear()
+            texts.clear()
+            n = len(ids)
+            return pa.RecordBatch.from_arrays([pa.array([piece] * (n + 1), pa.int64()), pa.array([*ids.tolist(), None], pa.int32()), pa.array([*(packed(keys[i]) for i in at), blob], pa.binary())], ["piece", "shard", "data"])
+
         for batch in batches:
             ids = batch.column(0).to_pylist()
             raw = [(t or "").encode() for t in batch.column(1).to_pylist()]
-            cols: list[list] = [[] for _ in range(4)]
+            cols: list[list] = [[] for _ in range(5)]
             for r in raw:
                 tokens = r.lower().split()
                 found = [gain[w] for w in tokens if w in gain]
@@ -357,23 +474,50 @@ def lm_scores(docs: DataFrame, order: int = 5, share: float = 1e-6, word_share:
                 cols[1].append(len(found) + end)
                 cols[2].append(math.fsum(found) + (gain[b""] if end else 0.0))
                 cols[3].append([{"word": w, "tf": n} for w, n in rare.items()] + ([] if end else [{"word": b"", "tf": 1}]))
-            held = [zlib.crc32(b"" if i is None else str(i).encode()) % folds == held_fold for i in ids]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(range(row, row + len(ids)), pa.int64()),
-                    batch.column(0),
-                    pa.array(held),
-                    pa.array(cols[0], pa.int64()),
-                    pa.array(cols[1], pa.int64()),
-                    pa.array(cols[2], pa.float64()),
-                    pa.array(trie.score(raw)),
-                    pa.array(cols[3], pa.list_(pa.struct([("word", pa.binary()), ("tf", pa.int64())]))),
-                ],
-                ["row", "doc_id", "held_out", "n_tokens", "n_head", "head_score", "score", "rare"],
-            )
-            row += len(ids)
-
-    scored = stash(map_arrow(rows, run, "row long, doc_id long, held_out boolean, n_tokens long, n_head long, head_score double, score double, rare array<struct<word:binary,tf:long>>"), "lm-scored")
+                cols[4].append(zlib.crc32(b"" if ids[len(cols[4])] is None else str(ids[len(cols[4])]).encode()) % folds == held_fold)
+            n = len(ids)
+            if not n:
+                continue
+            values = [range(row, row + n), ids, cols[4], cols[0], cols[1], cols[2], cols[3], raw]
+            texts.append(pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(values, TEXTS, strict=True)], schema=TEXTS))
+            row += n
+            waiting.append(tally(grams(streams(raw, order), order))[0])
+            held_bytes += sum(map(len, raw))
+            if held_bytes > PIECE:
+                yield wanted()
+                piece, held_bytes = row, 0
+        if waiting:
+            yield wanted()
+
+    def answer(mine: pa.Table, asks: pa.Table) -> pa.Table:
+        if name not in _near:
+            _near.clear()
+            _near[name] = levels_of(*model.value, least, range(min(order, NEAR) + 1), [])
+        none = np.zeros(0, np.uint64)
+        keys = np.concatenate([none, *map(unpacked, mine["grams"].to_pylist())])
+        counts = np.concatenate([none, *map(from_planes, mine["counts"].to_pylist())]).astype(np.int64)
+        levels = levels_of(*tally(keys, counts), least, range(NEAR + 1, order + 1), _near[name])
+        logs = [chances(levels, unpacked(g)).astype("<f4").tobytes() for g in asks["data"].to_pylist()]
+        return pa.table({"piece": asks["piece"], "shard": asks["shard"], "logs": pa.array(logs, pa.binary())})
+
+    def add_up(piece: pa.Table, answers: pa.Table) -> pa.Table:
+        blob = piece["data"][0].as_py()
+        texts = pa.ipc.open_stream(pa.decompress(blob[8:], decompressed_size=int.from_bytes(blob[:8], "little"), codec="zstd")).read_all()
+        raw = texts["raw"].to_pylist()
+        keys, place = np.unique(grams(streams(raw, order), order), return_inverse=True)
+        ids, at = by_shard(keys, shards)
+        given, logs = dict(zip(answers["shard"].to_pylist(), answers["logs"].to_pylist(), strict=True)), np.zeros(len(keys))
+        for i, where in zip(ids.tolist(), at, strict=True):
+            logs[where] = np.frombuffer(given[i], "<f4")
+        text_of = np.repeat(np.arange(len(raw)), [len(r) + 1 for r in raw])
+        return texts.drop_columns(["raw"]).append_column("score", pa.array(np.bincount(text_of, logs[place], minlength=len(raw))))
+
+    asked = stash(map_arrow(rows, ask, "piece long, shard int, data binary"), "lm-asked")
+    model_rows = counts.where("shard is not null").select("shard", "grams", "counts").groupBy("shard")
+    answers = model_rows.cogroup(asked.where("shard is not null").groupBy("shard")).applyInArrow(answer, "piece long, shard int, logs binary")
+    scored = stash(asked.where("shard is null").select("piece", "data").groupBy("piece").cogroup(answers.groupBy("piece")).applyInArrow(add_up, "row long, doc_id long, held_out boolean, n_tokens long, n_head long, head_score double, rare array<struct<word:binary,tf:long>>, score double"), "lm-scored")
+    for done in (counts, asked):
+        drop_stash(done)
     rare = scored.where("size(rare) > 0").select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.tf")
     c = F.coalesce("n", F.lit(0))
     base = F.log10((c + 0.5) / F.lit(float(size)))

@@ -104,3 +104,14 @@ def test_empty_and_untrained(spark):
     d = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 5 == 1)
     r = lm_scores(spark.createDataFrame([(d, "ab")], schema)).first()
     assert r.held_out and r.train_tokens == 0 and r.n_known == 0 and abs(r.score + 3 * math.log10(256)) < 1e-5
+
+
+def test_rare_contexts_are_kept_at_every_size(spark):
+    held = lambda d: zlib.crc32(str(d).encode()) % 5 == 1
+    train = [d for d in range(400) if not held(d)]
+    once, asked = next(d for d in range(400, 500) if not held(d)), next(d for d in range(400, 500) if held(d))
+    rows = [(d, "the cat sat on a mat. " * 300) for d in train] + [(once, "Qzxj vwkp"), (asked, "Qzxj vwkp")]
+    raw = [t.encode() for d, t in rows if d != asked]
+    assert 1e-6 * sum(len(r) + 1 for r in raw) > 1  # a share of 1e-6 leaves out what occurs once
+    got = next(r.score for r in lm_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.doc_id == asked)
+    assert abs(got - brute_ppm(raw, 5, 1, b"Qzxj vwkp")) < 1e-3
