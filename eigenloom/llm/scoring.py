@@ -410,7 +410,7 @@ TEXTS = pa.schema(
 _near: dict[int, list[Level]] = {}
 
 
-def lm_scores(docs: DataFrame, order: int = 5, share: float = 0.0, word_share: float = 2e-6, held_fold: int = 1, folds: int = 5) -> DataFrame:
+def lm_scores(docs: DataFrame, order: int = 6, share: float = 0.0, word_share: float = 2e-6, held_fold: int = 1, folds: int = 5) -> DataFrame:
     """Score each document (doc_id, text) by contexts of bytes and a unigram base, both learned from the other folds.
 
     Training documents are those whose crc32(doc_id as text) modulo `folds` is not `held_fold`; every one of

@@ -115,3 +115,13 @@ def test_rare_contexts_are_kept_at_every_size(spark):
     assert 1e-6 * sum(len(r) + 1 for r in raw) > 1  # a share of 1e-6 leaves out what occurs once
     got = next(r.score for r in lm_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.doc_id == asked)
     assert abs(got - brute_ppm(raw, 5, 1, b"Qzxj vwkp")) < 1e-3
+
+
+def test_contexts_of_six_bytes_by_default(spark):
+    rng = random.Random(9)
+    held = lambda d: zlib.crc32(str(d).encode()) % 5 == 1
+    rows = [(d, " ".join(rng.choices(["banana", "bananas", "ananab", "nan"], k=12))) for d in range(60)]
+    raw = [t.encode() for d, t in rows if not held(d)]
+    got = {r.doc_id: r.score for r in lm_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(abs(got[d] - brute_ppm(raw, 6, 1, t.encode())) < 1e-3 for d, t in rows)
+    assert any(abs(got[d] - brute_ppm(raw, 5, 1, t.encode())) > 1e-2 for d, t in rows)
