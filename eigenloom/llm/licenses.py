@@ -46,18 +46,10 @@ RULES = (
     Rule("CC0-1.0", ("To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",)),
 )
 
-#: A sentence ends at a line's end, or at . ! ? before white space.
-SENTENCE_END = r"[.!?]+[\t\x0b\f\r ]+|\n"
 #: What normalising turns into one space: all but ASCII letters and digits.
 FILLER = "[^a-z0-9]+"
 
 
-def normalised(sentence: Column) -> Column:
-    """ASCII letters in lower case and digits, with one space for each run of other characters between them."""
-    lower = F.translate(sentence, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.trim(F.regexp_replace(lower, FILLER, " "))
-
-
 def _normalised(sentence: str) -> str:
     import re
 
@@ -73,33 +65,48 @@ def known_sentences(rules: tuple[Rule, ...]) -> dict[str, int]:
     return found
 
 
+def marked(text: Column) -> Column:
+    """Normalised sentences, each after `|`, or after `/` where only a line's end without . ! ? parts it from the last."""
+    lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ|/", "abcdefghijklmnopqrstuvwxyz--")
+    ends = F.translate(F.regexp_replace(lower, r"[.!?]+[\t\x0b\f\r ]+|[.!?]+(?=\n)", "|"), "\n", "/")
+    words = F.regexp_replace(ends, "[^a-z0-9|/]+", " ")
+    runs = F.regexp_replace(F.regexp_replace(words, r"[ /]*\|[ |/]*", "|"), " ?/[ /]*", "/")
+    inner = F.trim(runs, F.lit(" |/"))
+    return F.when(inner == "", "").otherwise(F.concat(F.lit("|"), inner))
+
+
+def _pattern(rule: Rule) -> str:
+    """A rule's sentences after a mark, each over as many lines as it takes."""
+    return "[|/](?=" + "[|/]".join("[ /]".join(_normalised(s).split()) for s in rule.sentences) + "(?:[|/]|$))"
+
+
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Licences of each document (doc_id, text), found over whole texts.
 
-    A text is split into sentences; normalised sentences that the rules know become identifiers, all others
-    are gone, but a rule's sentences must be neighbours among all sentences with a letter or digit. Each rule is
-    tried at each place; a document's matches are listed by place, then rule. A text's own sentences never
-    leave its row, so nothing is shuffled and no group can be hot; the rules are a bounded constant.
+    A text is split into sentences at each line's end and at . ! ? before white space. A rule's sentence may
+    go over several lines, blank ones and comment leaders of signs included, where no . ! ? ends one of them; it
+    begins and ends with a line or sentence. A rule's sentences must be neighbours among all sentences with a
+    letter or digit. Each rule is tried at each place; a document's matches are listed by place, then rule. A
+    text's own sentences never leave its row, so nothing is shuffled and no group can be hot; the rules are a
+    bounded constant.
 
     Returns doc_id, n_sentences (with a letter or digit), n_matches, licences (distinct, in ascending order,
     joined by commas; empty if none) and matches (array of structs sentence, licence: place of the match's
-    first sentence among these sentences, from 0). Null and empty texts have none. Repeated rows and null
+    first sentence or line among these sentences, from 0). Null and empty texts have none. Repeated rows and null
     doc_ids are scanned like others. An empty table gives no rows. Other columns are not read.
     """
-    known = known_sentences(rules)
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    sentences = F.filter(F.transform(F.split(text, SENTENCE_END), normalised), lambda s: s != "")
-    table = F.array(*(F.lit(s) for s in known))
-    ids = F.transform(F.col("sentences"), lambda s: (F.array_position(table, s) - 1).cast("int"))
-    sequences = [(r.licence, [known[_normalised(s)] for s in r.sentences]) for r in rules]
-
-    def at(i: Column) -> Column:
-        hits = [F.when(F.slice(F.col("ids"), i + 1, len(seq)) == F.array(*map(F.lit, seq)), F.struct(i.cast("long").alias("sentence"), F.lit(name).alias("licence"))) for name, seq in sequences]
-        return F.array_compact(F.array(*hits))
-
-    places = F.filter(F.sequence(F.lit(0), F.greatest(F.size("ids") - 1, F.lit(0))), lambda i: F.get(F.col("ids"), i) >= 0)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), sentences.alias("sentences")).withColumn("ids", ids)
-    found = rows.select("doc_id", F.size("sentences").cast("long").alias("n_sentences"), F.flatten(F.transform(places, at)).alias("matches"))
+    marks = lambda c: F.length(c) - F.length(F.translate(c, "|/", ""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), marked(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("marked"))
+
+    def places(nth: int, rule: Rule) -> Column:
+        parts = F.transform(F.split("marked", _pattern(rule)), marks)  # each but the last ends before a match
+        ahead = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.aggregate(F.slice(parts, 1, i), F.lit(0), lambda x, y: x + y) + i - 1)
+        hits = F.transform(ahead, lambda i: F.struct(i.cast("long").alias("sentence"), F.lit(nth).alias("rule"), F.lit(rule.licence).alias("licence")))
+        return F.when(F.size(parts) > 1, hits).otherwise(F.array().cast("array<struct<sentence:long,rule:int,licence:string>>"))
+
+    none = F.array().cast("array<struct<sentence:long,rule:int,licence:string>>")
+    hits = F.when(F.col("marked").rlike("|".join(map(_pattern, rules))), F.array_sort(F.concat(*(places(n, r) for n, r in enumerate(rules))))).otherwise(none)
+    found = rows.select("doc_id", marks(F.col("marked")).cast("long").alias("n_sentences"), F.transform(hits, lambda m: F.struct(m["sentence"].alias("sentence"), m["licence"].alias("licence"))).alias("matches"))
     return found.select(
         "doc_id",
         "n_sentences",
@@ -110,7 +117,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def oracle_sql(rules: tuple[Rule, ...] = RULES) -> str:
-    """The digest columns of `scan` in DuckDB SQL over `documents`."""
+    """The digest columns of `scan` in DuckDB SQL over `documents`, for texts that wrap no known sentence over lines."""
     known = known_sentences(rules)
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     values = ", ".join(f"({quote(s)}, {i})" for s, i in known.items())

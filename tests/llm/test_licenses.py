@@ -46,3 +46,47 @@ def test_own_rules_and_empty_table(spark):
     docs = spark.createDataFrame([(1, "a B. c d"), (2, "a b. x. c d"), (3, "c d")], "doc_id long, text string")
     assert {r.doc_id: r.licences for r in scan(docs, rules).collect()} == {1: "One,Two", 2: "One", 3: "One"}
     assert scan(docs.limit(0)).count() == 0
+
+
+APACHE = """# Copyright 2020 Someone
+#
+# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS.
+"""
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS"
+"""
+GPL = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+"""
+CC0 = "To the extent possible under law, the author has waived all copyright\nand related or neighboring rights to this work.\n"
+
+
+def test_wrapped_published_headers(spark):
+    texts = [APACHE, MIT, GPL, CC0, APACHE.replace("\n", "\r\n"), "Licensed under the Apache License.\nVersion 2.0", "x licensed under CC\nBY-NC 4.0", GPL.replace("any later version", "a later version")]
+    rows = scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    found = {r.doc_id: (r.n_sentences, [(m.sentence, m.licence) for m in r.matches]) for r in rows}
+    assert all(found[i][0] == brute(t)[0] for i, t in enumerate(texts))
+    assert [found[i][1] for i in range(8)] == [[(1, "Apache-2.0")], [(0, "MIT")], [(0, "GPL-3.0-or-later")], [(0, "CC0-1.0")], [(1, "Apache-2.0")], [], [], []]
