@@ -158,6 +158,17 @@ def test_selection_scan(geno, g):
         assert gif == pytest.approx(np.median(stat) / stats.qchisq(0.5, 2)) and scan.where("p < 0 or p > 1").count() == 0
 
 
+def test_selection_scan_of_many_variants_is_exact(geno, monkeypatch):
+    rows = normalize.standardized(geno).persist()
+    model = pca.decompose(rows, 2, "full")
+    scan, gif = selection.pcadapt(rows, model.u, model.eigenvalues)
+    want = {r.variant_idx: (r.stat, r.chi2, r.p) for r in scan.collect()}
+    monkeypatch.setattr(selection, "DRIVER_ROWS", M // 2)
+    scan, again = selection.pcadapt(rows, model.u, model.eigenvalues)
+    assert again == pytest.approx(gif, rel=1e-12)
+    assert all(np.allclose((r.stat, r.chi2, r.p), want[r.variant_idx], rtol=1e-9) for r in scan.collect())
+
+
 def test_statistics():
     assert float(stats.pchisq(3.841458820694124, 1, False)) == pytest.approx(0.05, rel=1e-9)
     assert stats.qchisq(0.95, 3) == pytest.approx(7.814727903251179, rel=1e-9)
