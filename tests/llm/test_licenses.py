@@ -3,6 +3,7 @@ import re
 
 import duckdb
 import pandas as pd
+import pytest
 
 from eigenloom.llm.licenses import RULES, Rule, known_sentences, oracle_sql, scan
 
@@ -46,6 +47,24 @@ def test_own_rules_and_empty_table(spark):
     docs = spark.createDataFrame([(1, "a B. c d"), (2, "a b. x. c d"), (3, "c d")], "doc_id long, text string")
     assert {r.doc_id: r.licences for r in scan(docs, rules).collect()} == {1: "One,Two", 2: "One", 3: "One"}
     assert scan(docs.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        scan(docs, (Rule("Short", ("word",)),))
+
+
+def test_a_known_sentence_that_overlaps_itself_and_long_rules(spark):
+    rules = (Rule("Again", ("x y x y",)), Rule("Long", ("a b", "c d", "a b", "c d")), Rule("Quote's", ("a b",)))
+    docs = spark.createDataFrame([(1, "x y\nx y\nx y"), (2, "a b. c d. a b. c d. a b. c d"), (3, "a b. c d\n\na b\n# c d")], "doc_id long, text string")
+    found = {r.doc_id: [(m.sentence, m.licence) for m in r.matches] for r in scan(docs, rules).collect()}
+    assert found == {
+        1: [(0, "Again"), (1, "Again")],
+        2: [(0, "Long"), (0, "Quote's"), (2, "Long"), (2, "Quote's"), (4, "Quote's")],
+        3: [(0, "Long"), (0, "Quote's"), (2, "Quote's")],
+    }
+
+
+def test_the_plan_has_no_python(spark):
+    plan = scan(spark.range(3).selectExpr("id AS doc_id", "'a' AS text"))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
 APACHE = """# Copyright 2020 Someone
@@ -81,12 +100,26 @@ GPL = """    This program is free software: you can redistribute it and/or modif
     MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
     GNU General Public License for more details.
 """
+BSD = """# Redistribution and use in source and binary forms, with or without
+# modification, are permitted provided that the following conditions are met:
+#
+# 1. Redistributions of source code must retain the above copyright notice, this
+#    list of conditions and the following disclaimer.
+#
+# 3. Neither the name of the copyright holder nor the names of its contributors may
+#    be used to endorse or promote products derived from this software without
+#    specific prior written permission.
+"""
+MPL = """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://mozilla.org/MPL/2.0/. */
+"""
 CC0 = "To the extent possible under law, the author has waived all copyright\nand related or neighboring rights to this work.\n"
 
 
 def test_wrapped_published_headers(spark):
-    texts = [APACHE, MIT, GPL, CC0, APACHE.replace("\n", "\r\n"), "Licensed under the Apache License.\nVersion 2.0", "x licensed under CC\nBY-NC 4.0", GPL.replace("any later version", "a later version")]
+    texts = [APACHE, MIT, GPL, CC0, APACHE.replace("\n", "\r\n"), "Licensed under the Apache License.\nVersion 2.0", "x licensed under CC\nBY-NC 4.0", GPL.replace("any later version", "a later version"), BSD, MPL]
     rows = scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     found = {r.doc_id: (r.n_sentences, [(m.sentence, m.licence) for m in r.matches]) for r in rows}
     assert all(found[i][0] == brute(t)[0] for i, t in enumerate(texts))
-    assert [found[i][1] for i in range(8)] == [[(1, "Apache-2.0")], [(0, "MIT")], [(0, "GPL-3.0-or-later")], [(0, "CC0-1.0")], [(1, "Apache-2.0")], [], [], []]
+    assert [found[i][1] for i in range(10)] == [[(1, "Apache-2.0")], [(0, "MIT")], [(0, "GPL-3.0-or-later")], [(0, "CC0-1.0")], [(1, "Apache-2.0")], [], [], [], [(0, "BSD"), (6, "BSD-3-Clause")], [(0, "MPL-2.0")]]
