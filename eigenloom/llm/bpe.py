@@ -1,7 +1,7 @@
 """Byte-level BPE, exact to the published vocabulary file, with a compiled lexicon of frequent words.
 
 The lexicon is a minimal acyclic transducer: words that end alike share their states, and numbers on the
-arcs add up to a word's row in a table of id sequences. It is one block of bytes that workers memory-map.
+arcs add up to a word's row in a table of id sequences. It is one file, which all workers of an executor map.
 Words that it lacks are merged by the vocabulary's ranks. A text's words come from a pattern whose character
 classes are spelled out for code points below `SAFE_END`; texts with any other character are split by the
 tokenizers library itself, so the words never depend on a Unicode version of ours.
@@ -15,9 +15,9 @@ import mmap
 import os
 import re
 import struct
-import tempfile
 import unicodedata
 from collections.abc import Iterable
+from itertools import chain
 
 import numpy as np
 
@@ -140,7 +140,7 @@ class Lexicon:
     def __init__(self, block: bytes | mmap.mmap):
         if block[:8] != self.MAGIC:
             raise ValueError("not a lexicon block")
-        states, arcs, words, ids = struct.unpack_from("<4I", block, 8)
+        states, arcs, words, _ = struct.unpack_from("<4I", block, 8)
         at = 24
 
         def take(kind: str, n: int) -> np.ndarray:
@@ -151,7 +151,7 @@ class Lexicon:
 
         self.first, self.label, self.target = take("<u4", states + 1), take("u1", arcs), take("<u4", arcs)
         self.output, self.final = take("<u4", arcs), take("u1", states)
-        self.start, self.ids = take("<u4", words + 1), take("<u4", ids)
+        self.start, self._ids_at, self._block = take("<u4", words + 1), at, block
         source = np.repeat(np.arange(states, dtype=np.int64), np.diff(self.first.astype(np.int64)))
         self._keys = source * 256 + self.label  # ascending: arcs are stored by state, then label
         self.words, self.states = words, states
@@ -206,11 +206,9 @@ class Lexicon:
         return head + u4(first) + u1(label) + u4(target) + u4(output) + u1(final) + u4(start) + u4(ids)
 
     @classmethod
-    def mapped(cls, block: bytes) -> Lexicon:
-        """Put the block into a file of this process's own, map it, and unlink it: the pages stay while mapped."""
-        with tempfile.TemporaryFile() as f:
-            f.write(block)
-            f.flush()
+    def mapped(cls, path: str) -> Lexicon:
+        """Map a block's file; processes that map the same file share its pages."""
+        with open(path, "rb") as f:
             return cls(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
 
     def find(self, words: list[bytes]) -> np.ndarray:
@@ -240,22 +238,25 @@ class Lexicon:
             step += 1
         return rows
 
-    def sequence(self, row: int) -> bytes:
-        """The ids of a row as little-endian 32-bit integers."""
-        return self.ids[self.start[row] : self.start[row + 1]].tobytes()
+    def sequences(self, rows: np.ndarray) -> list[bytes]:
+        """The ids of each row as little-endian 32-bit integers."""
+        begin, end = self._ids_at + 4 * self.start[rows].astype(np.int64), self._ids_at + 4 * self.start[rows + 1].astype(np.int64)
+        block = self._block
+        return [block[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
 
 
 class Encoder:
-    """Encodes texts to ids as little-endian 32-bit integers, and decodes them.
+    """Encodes texts to ids as little-endian 32-bit integers.
 
-    `memo_words` bounds the words whose ids a worker keeps; when it is reached the memo starts afresh.
+    With a lexicon, the distinct words of a batch of texts are looked up in it together, and only the words that
+    it lacks are merged. The ids of up to `memo_words` merged words are kept; beyond that they start afresh.
     """
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None, memo_words: int = 800_000):
         self.vocabulary, self.lexicon, self.memo_words = vocabulary, lexicon, memo_words
         self.memo: dict[str, bytes] = {}
         self.special = re.compile("|".join(map(re.escape, sorted(vocabulary.added, key=len, reverse=True)))) if vocabulary.added else None
-        self.merged = 0
+        self.asked = self.found = self.merged = 0
 
     def split(self, text: str) -> list[str]:
         """The words of a text without added tokens."""
@@ -265,26 +266,50 @@ class Encoder:
         return [text[a:b] for a, b in spans]
 
     def learn(self, words: Iterable[str]) -> None:
-        """Put words that the memo lacks into it, from the lexicon if it has them, else merged."""
+        """Merge those of the words that the memo lacks."""
         new = [w for w in set(words) if w not in self.memo]
-        if not new:
-            return
         if len(self.memo) + len(new) > self.memo_words:
             self.memo.clear()
             new = list(set(words))
-        raw = [w.encode() for w in new]
-        rows = self.lexicon.find(raw).tolist() if self.lexicon else [-1] * len(new)
         memo, merge, pack = self.memo, self.vocabulary.merger(), struct.pack
-        for w, b, row in zip(new, raw, rows, strict=True):
-            if row >= 0:
-                memo[w] = self.lexicon.sequence(row)
-            else:
-                ids = merge(b)
-                memo[w] = pack(f"<{len(ids)}I", *ids)
-                self.merged += 1
+        for w in new:
+            ids = merge(w.encode())
+            memo[w] = pack(f"<{len(ids)}I", *ids)
+        self.merged += len(new)
+
+    def look_up(self, words: Iterable[str]) -> dict[str, bytes]:
+        """Ids of each distinct word: from the lexicon where it has the word, else merged."""
+        distinct = list(dict.fromkeys(words))
+        rows = self.lexicon.find([w.encode() for w in distinct])
+        held = np.flatnonzero(rows >= 0)
+        out = dict(zip([distinct[i] for i in held.tolist()], self.lexicon.sequences(rows[held]), strict=True))
+        rare = [w for w in distinct if w not in out]
+        self.learn(rare)
+        out.update((w, self.memo[w]) for w in rare)
+        self.asked, self.found = self.asked + len(distinct), self.found + len(held)
+        return out
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each whole text, by the lexicon."""
+        cut = [self._cut(t) for t in texts]
+        ids = self.look_up(chain.from_iterable(part for parts in cut for part in parts if not isinstance(part, bytes)))
+        return [b"".join(chain.from_iterable((part,) if isinstance(part, bytes) else map(ids.__getitem__, part) for part in parts)) for parts in cut]
+
+    def _cut(self, text: str) -> list[list[str] | bytes]:
+        """Words of the stretches between added tokens, and the added tokens' ids."""
+        if self.special is None or not (m := self.special.search(text)):
+            return [self.split(text)]
+        out, at = [], 0
+        while m:
+            out += [self.split(text[at : m.start()]), struct.pack("<I", self.vocabulary.added[m[0]])]
+            at = m.end()
+            m = self.special.search(text, at)
+        return [*out, self.split(text[at:])]
 
     def _plain(self, text: str) -> bytes:
-        words = self.split(text)
+        return self._words(self.split(text))
+
+    def _words(self, words: list[str]) -> bytes:
         try:
             return b"".join(map(self.memo.__getitem__, words))
         except KeyError:
@@ -292,24 +317,19 @@ class Encoder:
             return b"".join(map(self.memo.__getitem__, words))
 
     def encode(self, text: str) -> bytes:
-        """Ids of a whole text; strings of added tokens become their ids, as in the library."""
-        if self.special is None or not (m := self.special.search(text)):
+        """Ids of a whole text, without a lexicon; strings of added tokens become their ids, as in the library."""
+        if self.special is None or not self.special.search(text):
             return self._plain(text)
-        out, at = [], 0
-        while m:
-            out += [self._plain(text[at : m.start()]), struct.pack("<I", self.vocabulary.added[m[0]])]
-            at = m.end()
-            m = self.special.search(text, at)
-        return b"".join([*out, self._plain(text[at:])])
+        return b"".join(part if isinstance(part, bytes) else self._words(part) for part in self._cut(text))
 
 
-_made: dict[tuple[int, int], Encoder] = {}
+_made: dict[tuple[int, str | None], Encoder] = {}
 
 
-def worker_encoder(source: str, block: bytes | None = None) -> Encoder:
-    """The encoder of this Python worker; made once for a vocabulary and lexicon."""
-    key = (hash(source), hash(block))
+def worker_encoder(source: str, lexicon: str | None = None) -> Encoder:
+    """The encoder of this Python worker; made once for a vocabulary and the path of a lexicon."""
+    key = (hash(source), lexicon)
     if key not in _made:
         _made.clear()
-        _made[key] = Encoder(Vocabulary(source), Lexicon.mapped(block) if block else None)
+        _made[key] = Encoder(Vocabulary(source), Lexicon.mapped(lexicon) if lexicon else None)
     return _made[key]

@@ -7,11 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark import Broadcast, SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eigenloom.llm._common import map_arrow
+from eigenloom.llm._common import drop_stash, map_arrow, scratch_path, stash
 from eigenloom.llm.bpe import Lexicon, Vocabulary, worker_encoder
 
 SCHEMA = "doc_id long, n_tokens long, ids binary, decoded string"
@@ -46,36 +46,50 @@ def word_counts(docs: DataFrame, source: Broadcast, hold: int = 400_000) -> Data
     return map_arrow(docs.select(F.col("text").cast("string")), run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def build_lexicon(docs: DataFrame, source: Broadcast, share: float = 1e-5) -> bytes:
-    """Compile the words that hold at least `share` of all words' occurrences, so 1 / share words at most."""
-    counts = word_counts(docs, source).persist()
+def build_lexicon(docs: DataFrame, source: Broadcast, share: float = 3e-6) -> bytes:
+    """Compile the words that hold at least `share` of all words' occurrences, and two at least: 1 / share words at most."""
+    counts = stash(word_counts(docs, source).where("n > 1"), "lexicon-words")
     total = counts.agg(F.sum("n")).first()[0] or 0
     words = [r.word for r in counts.where(F.col("n") >= max(2.0, share * total)).select("word").collect()]
-    counts.unpersist()
+    drop_stash(counts)
     merge = Vocabulary(source.value).merger()
     raw = {w.encode() for w in words}
     return Lexicon.build((w, merge(w)) for w in raw)
 
 
-def encode_decode(docs: DataFrame, tokenizer_path: str, share: float = 1e-5) -> DataFrame:
+def publish(spark: SparkSession, block: bytes, name: str) -> str:
+    """Write a block to the shared folder and have Spark fetch it to each executor once; the name to ask SparkFiles for."""
+    path = scratch_path(spark, name)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at)
+    try:
+        out.write(bytearray(block))
+    finally:
+        out.close()
+    spark.sparkContext.addFile(path)
+    return path.rsplit("/", 1)[1]
+
+
+def encode_decode(docs: DataFrame, tokenizer_path: str, share: float = 3e-6) -> DataFrame:
     """Encode every whole text of documents (doc_id, text), and decode its ids.
 
-    Frequent words, counted over all texts, are compiled into a minimal acyclic transducer; workers memory-map
-    it and merge all other words exactly. Ids equal the tokenizers library's for the vocabulary file, without
-    added special tokens; strings of the vocabulary's own added tokens become their ids.
+    Frequent words, counted over all texts, are compiled into a minimal acyclic transducer; its file is mapped
+    by all workers of an executor together. Each batch's distinct words are looked up there, and words that it
+    lacks are merged exactly. Ids equal the tokenizers library's for the vocabulary file, without added special
+    tokens; strings of the vocabulary's own added tokens become their ids.
 
     Returns SCHEMA; `ids` holds little-endian 32-bit integers. Null texts count as empty, which have no ids.
     Repeated rows and null doc_ids are encoded like others. An empty table gives no rows. Other columns are
     not read.
     """
     source = read_vocabulary(docs, tokenizer_path)
-    block = docs.sparkSession.sparkContext.broadcast(build_lexicon(docs, source, share))
+    name = publish(docs.sparkSession, build_lexicon(docs, source, share), "lexicon")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_encoder(source.value, block.value)
+        encoder = worker_encoder(source.value, SparkFiles.get(name))
         tokens = encoder.vocabulary.tokens
         for batch in batches:
-            ids = [encoder.encode(t or "") for t in batch.column(1).to_pylist()]
+            ids = encoder.encode_all([t or "" for t in batch.column(1).to_pylist()])
             decoded = [b"".join(map(tokens.__getitem__, np.frombuffer(i, "<u4").tolist())).decode("utf-8", "replace") for i in ids]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
 

@@ -34,19 +34,32 @@ def test_encoder_is_the_library(library, compiled):
         assert np.frombuffer(encoder.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
-def test_lexicon_finds_exactly_its_words():
+def test_lexicon_finds_exactly_its_words(tmp_path):
     rng = random.Random(5)
     words = {bytes(rng.choices(b"abc", k=rng.randrange(1, 7))): [rng.randrange(9)] for _ in range(400)} | {b"": [7]}
-    lexicon = Lexicon.mapped(Lexicon.build(words.items()))
+    (tmp_path / "lexicon").write_bytes(Lexicon.build(words.items()))
+    lexicon = Lexicon.mapped(str(tmp_path / "lexicon"))
     asked = [*words, b"zz", b"abcabcabcabc", b"ab\xff"]
     rows = lexicon.find(asked).tolist()
     for word, row in zip(asked, rows, strict=True):
         assert (row >= 0) == (word in words)
         if row >= 0:
-            assert np.frombuffer(lexicon.sequence(row), "<u4").tolist() == words[word]
+            assert np.frombuffer(lexicon.sequences(np.array([row]))[0], "<u4").tolist() == words[word]
     assert lexicon.states < sum(map(len, words))
 
 
+def test_encoder_with_a_lexicon_is_the_library(library):
+    vocabulary = Vocabulary(SOURCE)
+    sample = texts(400)
+    words = {w for t in sample[::2] for part in Encoder(vocabulary)._cut(t) if not isinstance(part, bytes) for w in part}
+    encoder = Encoder(vocabulary, Lexicon(Lexicon.build((w.encode(), vocabulary.merge(w.encode())) for w in words)), memo_words=300)
+    for a in range(0, len(sample), 50):
+        got = [np.frombuffer(x, "<u4").tolist() for x in encoder.encode_all(sample[a : a + 50])]
+        assert got == [library.encode(t, add_special_tokens=False).ids for t in sample[a : a + 50]]
+    assert encoder.found > encoder.asked / 3 and encoder.merged <= encoder.asked - encoder.found
+    assert Encoder(vocabulary, Lexicon(Lexicon.build([]))).encode_all(["a b", ""]) == [np.array(library.encode("a b", add_special_tokens=False).ids, "<u4").tobytes(), b""]
+
+
 def test_assign_fills_every_sequence():
     rng = random.Random(2)
     for _ in range(60):
