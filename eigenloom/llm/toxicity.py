@@ -33,17 +33,22 @@ def terms(text: str | None) -> set[str]:
     return set(chain.from_iterable(map(voters_of, set(LETTERS.findall(text.lower()))))) if text else set()
 
 
-def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 6) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Posterior of each row, each voter's rates of firing on toxic and clean rows, and its share of evidence.
-
-    The given labels are one more voter whose two rates are estimated like the others'. Voters that fire
-    together within a class repeat each other's evidence: one whose correlations with others sum to r counts
-    1 / (1 + r). Rounds alternate between posteriors and rates.
+def label_model(votes: np.ndarray, toxic: np.ndarray, labels: np.ndarray, prior: float, rounds: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Posterior of each row, voters' and the labels' rates of firing on toxic and clean rows, and shares of evidence.
+
+    `votes` (rows x voters) says which voters fire, `toxic` which of them vote for toxic (the others vote for
+    clean). The labels are one more voter, which votes for either side. The first posteriors are the voters'
+    agreement alone: the balance of all votes, with the prior's odds where none is for toxic on balance. Then
+    the labels' two rates are estimated like the others'. From the posteriors come the rates; the pairwise correlations of
+    voters within the classes (of what the rates leave unexplained), shrunk by a tenth, negative ones (which the posteriors bring about) to none; and each
+    voter's share of evidence, the solution of correlations x shares = 1, so that k copies of a voter count as
+    one. Shares stay between 0 and 1. Rounds end when no posterior moves by 1e-4.
     """
     n, m = votes.shape
-    post = np.where(labels == 1, 0.95, 0.05)
-    rates = np.zeros((2, m))
-    share = np.ones(m)
+    base = float(np.log(prior / (1 - prior)))
+    balance = votes @ np.where(toxic, 1.0, -1.0) + np.where(labels == 1, 1.0, -1.0)
+    post = 1 / (1 + np.exp(-np.clip(np.where(balance > 0, 2 * balance, base + 2 * balance), -30, 30)))
+    rates, held, share = np.zeros((2, m)), np.zeros(2), np.ones(m)
     for _ in range(rounds):
         weight = np.stack((post, 1 - post))
         mass = weight.sum(axis=1)
@@ -51,14 +56,16 @@ def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 6) -> tuple
         held = (weight @ (labels == 1) + 0.5) / (mass + 1)
         centred = votes - (post[:, None] * rates[0] + (1 - post)[:, None] * rates[1])
         spread = np.sqrt((centred**2).sum(axis=0)) + 1e-9
-        tied = (centred.T @ centred) / spread[:, None] / spread
-        np.fill_diagonal(tied, 0)
-        share = 1 / (1 + np.where(tied > 0.1, tied, 0).sum(axis=0))
+        tied = 0.9 * np.maximum(0, (centred.T @ centred) / spread[:, None] / spread)
+        np.fill_diagonal(tied, 1)
+        share = np.clip(np.linalg.solve(tied, np.ones(m)), 0, 1) if m else share
         fired, silent = np.log(rates[0] / rates[1]), np.log((1 - rates[0]) / (1 - rates[1]))
         odds = np.log(mass[0] / mass[1]) + votes @ (share * (fired - silent)) + (share * silent).sum()
         odds += np.where(labels == 1, np.log(held[0] / held[1]), np.log((1 - held[0]) / (1 - held[1])))
-        post = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-    return post, rates, share
+        before, post = post, 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+        if np.abs(post - before).max(initial=0) < 1e-4:
+            break
+    return post, rates, held, share
 
 
 def fit_linear(x: np.ndarray, target: np.ndarray, ridge: float = 2.0, rounds: int = 12) -> np.ndarray:
@@ -76,12 +83,12 @@ def fit_linear(x: np.ndarray, target: np.ndarray, ridge: float = 2.0, rounds: in
 
 
 class Toxicity:
-    """The fitted classifier: voters' weights, the weight of how many fire, and the intercept."""
+    """The fitted classifier: voters' weights, the weight of how many vote for toxic, and the intercept."""
 
     bound = 500_000  # words whose voters a worker keeps
 
-    def __init__(self, weights: dict[str, float], count_weight: float, intercept: float):
-        self.weights, self.count_weight, self.intercept = weights, count_weight, intercept
+    def __init__(self, weights: dict[str, float], count_weight: float, intercept: float, toxic: frozenset[str] = frozenset()):
+        self.weights, self.count_weight, self.intercept, self.toxic = weights, count_weight, intercept, toxic
         self.memo: dict[str, tuple[str, ...]] = {}
 
     def score(self, text: str | None) -> float:
@@ -96,19 +103,29 @@ class Toxicity:
                     found = memo[word] = tuple(v for v in voters_of(word) if v in weights)
                 if found:
                     fired.update(found)
-        odds = self.intercept + sum(self.weights[v] for v in sorted(fired)) + self.count_weight * np.log1p(len(fired))
+        odds = self.intercept + sum(self.weights[v] for v in sorted(fired)) + self.count_weight * np.log1p(len(fired & self.toxic))
         return float(1 / (1 + np.exp(-np.clip(odds, -500, 500))))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = 10_000, max_voters: int = 300, candidates: int = 20_000, least_rows: int = 3, least_ratio: float = 4.0) -> Toxicity:
+def evidence(fired: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Likelihood-ratio statistic (G) of each term: does it fire alike in clean and toxic rows? `fired` is 2 x terms."""
+    table = np.stack((fired, rows[:, None] - fired))  # fires or not, by clean and toxic, by term
+    expected = table.sum(axis=1, keepdims=True) * rows[None, :, None] / max(1.0, rows.sum())
+    return 2 * np.where(table > 0, table * np.log(np.maximum(table, 1e-300) / np.maximum(expected, 1e-300)), 0).sum(axis=(0, 1))
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = 10_000, least_rows: int = 3, least_ratio: float = 4.0, chance: float = 0.05, least_right: float = 0.6) -> Toxicity:
     """Fit on about `fit_rows` labelled documents, the documented bound; all are used if there are no more.
 
     `labels` has doc_id and toxic (0 or 1; nulls are left out, of several labels the highest counts). Rows of
     the held-out fold, crc32(doc_id as text) modulo 5 = 0, are never read for labels. The sample is drawn by a
-    hash of doc_id. Terms in at least `least_rows` toxic sampled texts, at most `candidates` of them, are
-    looked up in all sampled texts; those at least `least_ratio` times likelier in toxic texts become voters,
-    at most `max_voters`, the most telling first. Without toxic labels every score is the prior, and 0 without
-    any labels.
+    hash of doc_id. Every term in at least `least_rows` sampled texts is tried. It becomes a voter if it is at
+    least `least_ratio` times likelier in one class than in the other, and more so than chance would have any
+    of the terms tried (G over the chi-square bound of chance / terms), and if at least `least_right` of the texts
+    it fires on are of its class: a voter for toxic or for clean. There is
+    no cap on voters; what bounds them is the sample. The label model then estimates their rates and
+    correlations, with the labels as one more voter, and a linear classifier is trained on its posteriors.
+    Without toxic labels every score is the prior, and 0 without any labels.
     """
     spark = docs.sparkSession
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
@@ -123,42 +140,44 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = 10_000, max
     sample = stash(chosen.select("doc_id", "text", "toxic"), "toxicity-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter[str] = Counter()
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                found.update(terms(text))
-            if len(found) > 500_000:
-                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["term", "n"])
-                found.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["term", "n"])
-
-    often = map_arrow(sample.where("toxic = 1").select("text"), count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    pool = [r.term for r in often.where(F.col("n") >= least_rows).orderBy(F.desc("n"), "term").limit(candidates).collect()]
-    at = spark.sparkContext.broadcast({t: i for i, t in enumerate(pool)})
-
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros((2, len(at.value) + 1), np.int64)  # the last column counts texts
+        found: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            for toxic, own in enumerate(found):
+                yield pa.RecordBatch.from_arrays([pa.array([toxic] * len(own), pa.int64()), pa.array(list(own), pa.string()), pa.array(list(own.values()), pa.int64())], ["toxic", "term", "n"])
+                own.clear()
+
         for batch in batches:
             for text, toxic in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                own = seen[int(toxic == 1)]
-                own[[at.value[t] for t in terms(text) & at.value.keys()]] += 1
-                own[-1] += 1
-        toxic, term = np.nonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(toxic), pa.array(term), pa.array(seen[toxic, term])], ["toxic", "term", "n"])
-
-    seen = np.zeros((2, len(pool) + 1))
-    for r in map_arrow(sample, tally, "toxic long, term long, n long").groupBy("toxic", "term").agg(F.sum("n").alias("n")).collect():
-        seen[r.toxic, r.term] = r.n
-    well, sick = seen[:, -1]
+                found[int(toxic == 1)].update(terms(text))
+                found[int(toxic == 1)][""] += 1  # no term: it counts texts
+            if sum(map(len, found)) > 500_000:
+                yield from sent()
+        yield from sent()
+
+    by = F.col("toxic") == 1
+    often = map_arrow(sample, count, "toxic long, term string, n long").groupBy("term").agg(F.sum(F.when(~by, F.col("n")).otherwise(0)).alias("clean"), F.sum(F.when(by, F.col("n")).otherwise(0)).alias("toxic"))
+    often = stash(often.where(F.col("clean") + F.col("toxic") >= least_rows), "toxicity-terms")
+    rows_of = np.zeros(2)
+    for r in often.where("term = ''").collect():
+        rows_of = np.array([r.clean, r.toxic], float)
+    tried = often.count()
+    # what cannot reach the ratio in either class stays on the executors
+    likelier = (F.col("toxic") + 0.5) * (rows_of[0] + 1) / ((F.col("clean") + 0.5) * (rows_of[1] + 1))
+    pool = sorted((r.term, r.clean, r.toxic) for r in often.where("term <> ''").where((likelier >= least_ratio) | (likelier <= 1 / least_ratio)).collect())
+    drop_stash(often)
+    seen = np.array([[c, t] for _, c, t in pool], float).reshape(-1, 2).T
+    well, sick = rows_of
     prior = float(np.log((sick + 0.5) / (well + 0.5)))
-    ratio = np.log((seen[1, :-1] + 0.5) / (sick + 1)) - np.log((seen[0, :-1] + 0.5) / (well + 1))
-    telling = np.where(ratio >= np.log(least_ratio), seen[1, :-1] * ratio - seen[0, :-1], -np.inf)
-    voters = [int(v) for v in np.argsort(-telling, kind="stable")[:max_voters] if telling[v] > 0]
+    # a chi-square of one degree is over x with a chance of at most exp(-x / 2)
+    telling = evidence(seen, rows_of) > 2 * np.log(max(1, tried) / chance) if sick else np.zeros(len(pool), bool)
+    for_toxic = (seen[1] + 0.5) * (well + 1) > (seen[0] + 0.5) * (sick + 1)
+    telling &= np.where(for_toxic, seen[1], seen[0]) >= least_right * seen.sum(axis=0)
+    voters = np.flatnonzero(telling).tolist()
     if not voters:
         drop_stash(sample)
         return Toxicity({}, 0.0, prior)
-    place = {v: k for k, v in enumerate(voters)}
-    column = spark.sparkContext.broadcast({pool[v]: k for v, k in place.items()})
+    column = spark.sparkContext.broadcast({pool[v][0]: k for k, v in enumerate(voters)})
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,9 +190,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = 10_000, max
     votes = np.zeros((len(rows), len(voters)))
     for i, r in enumerate(rows):
         votes[i, r.hits] = 1
-    post, _, _ = label_model(votes, y)
-    w = fit_linear(np.column_stack((votes, np.log1p(votes.sum(axis=1)))), post)
-    return Toxicity({pool[v]: float(w[k]) for v, k in place.items()}, float(w[-2]), float(w[-1]))
+    toxic = for_toxic[voters]
+    post, _, _, _ = label_model(votes, toxic, y, (sick + 0.5) / (sick + well + 1))
+    w = fit_linear(np.column_stack((votes, np.log1p(votes @ toxic))), post)
+    return Toxicity({pool[v][0]: float(w[k]) for k, v in enumerate(voters)}, float(w[-2]), float(w[-1]), frozenset(pool[v][0] for v, t in zip(voters, toxic, strict=True) if t))
 
 
 def toxicity_scores(docs: DataFrame, model: Toxicity) -> DataFrame:
