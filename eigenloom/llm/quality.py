@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from eigenloom.llm._common import map_arrow
+from eigenloom.llm._common import drop_stash, map_arrow, stash
 
 WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
@@ -98,13 +98,15 @@ def word_chars(text: str | None) -> int:
     return len(text) - sum(map(text.count, " \t\n\x0b\x0c\r")) if text else 0
 
 
-def ngram_counts(docs: DataFrame, trusted: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+def ngram_counts(docs: DataFrame, trusted: DataFrame, size: int, broadcast_ids: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
     """Counts of hashed words and word pairs over all documents, and over those whose doc_id `trusted` lists.
 
-    The join is a merge at every size: the list of trusted ids grows with the corpus, so it is never broadcast.
+    Up to `broadcast_ids` trusted ids, which are counted first, are sent to the tasks (some tens of megabytes),
+    so no text is shuffled; more are joined by a merge. The counts are the same either way.
     """
-    marks = trusted.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(True).alias("trusted")).where("doc_id is not null").distinct()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(marks.hint("merge"), "doc_id", "left").select("text", "trusted")
+    marks = stash(trusted.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(True).alias("trusted")).where("doc_id is not null").distinct(), "trusted-ids")
+    few = marks.count() <= broadcast_ids
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(marks.hint("broadcast" if few else "merge"), "doc_id", "left").select("text", "trusted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, size), np.int64)
@@ -125,6 +127,7 @@ def ngram_counts(docs: DataFrame, trusted: DataFrame, size: int) -> tuple[np.nda
     raw, target = np.zeros(size), np.zeros(size)
     for r in counted.collect():
         raw[r.bucket], target[r.bucket] = r.raw, r.target
+    drop_stash(marks)
     return raw, target
 
 
