@@ -3,30 +3,28 @@
 from __future__ import annotations
 
 import math
+import uuid
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eigenloom.llm._common import drop_stash, map_arrow, stash
+from eigenloom.llm._common import drop_stash, map_arrow, settled, stash
 
 #: Bytes that no UTF-8 text holds: what stands before a text, and its end.
 BEFORE, END = 0xFE, 0xFF
-#: Bytes that one lane of the automaton reads.
-SPAN = 512
-#: Contexts that have a full row: these take most of the memory, at most some hundreds of megabytes.
-DENSE_STATES = 120_000
-#: Bytes of text whose distinct grams are asked for together.
-PIECE = 8 << 20
+#: Bytes of text whose distinct grams and words are sent together.
+PIECE = 16 << 20
+#: Grams whose look-up is done at once.
+CHUNK = 1 << 20
 #: Levels up to this one are sent to all tasks: at most 2**24 grams of three bytes, however large the corpus.
 NEAR = 2
-#: Rows of `corpus_counts`.
-COUNTS = pa.schema([("word", pa.binary()), ("gram", pa.int64()), ("n", pa.int64()), ("shard", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary())])
 
 
 def streams(raw: list[bytes], order: int) -> np.ndarray:
@@ -36,14 +34,13 @@ def streams(raw: list[bytes], order: int) -> np.ndarray:
 
 
 def grams(stream: np.ndarray, order: int) -> np.ndarray:
-    """Every predicted byte with the `order` bytes before it, as one number."""
+    """Every predicted byte with the `order` bytes before it, seven at most, as one number."""
     n = len(stream) - order
     if n <= 0:
         return np.zeros(0, np.uint64)
-    key = np.zeros(n, np.uint64)
-    for k in range(order + 1):
-        key = key << np.uint64(8) | stream[k : k + n]
-    return key[stream[order:] != BEFORE]
+    padded = np.concatenate((stream, np.zeros(8, np.uint8)))
+    eights = np.ndarray((n,), ">u8", padded, strides=(1,))
+    return eights[stream[order:] != BEFORE].astype(np.uint64) >> np.uint64(8 * (7 - order))
 
 
 def tally(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -58,211 +55,30 @@ def tally(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarra
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-class Trie:
-    """A pretrained context trie in one memory: states are contexts, and known symbols lie in one hash table.
-
-    `lm_scores` gets the same chances from a sharded table (`Level`, `chances`), whose size no worker bounds.
-
-    From {order: (grams, counts)}, grams of order + 1 bytes whose counts reach one bound for all orders, so a
-    context's known symbols are known to its suffix as well. In a context with `total` predictions and `kinds`
-    known symbols, a known symbol has count / (total + kinds) and what is left escapes to the suffix, where the
-    symbols known above are excluded; past the shortest context all other bytes are equally likely. What
-    exclusion takes from a suffix depends on the context above alone, so it is summed beforehand. The contexts
-    used most have full rows as well, so that a byte takes one look-up. Memory is proportional to the grams.
-    """
-
-    def __init__(self, kept: dict[int, tuple[np.ndarray, np.ndarray]], texts: int, order: int):
-        self.order = order
-        none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        levels = [kept.get(j, none) for j in range(order + 1)]
-        contexts = [np.unique(g >> np.uint64(8)) if j else np.zeros(1, np.uint64) for j, (g, _) in enumerate(levels)]
-        first = np.concatenate(([0], np.cumsum([len(c) for c in contexts])))
-        states = int(first[-1])
-        find = lambda keys, asked: np.minimum(np.searchsorted(keys, asked), max(0, len(keys) - 1))
-        low = lambda j: np.uint64((1 << 8 * j) - 1)
-        self.suffix = np.zeros(states, np.int64)
-        total, kinds, known = np.zeros(states), np.zeros(states), np.zeros(states)  # known: summed counts of known symbols
-        gone, gone_kinds = np.zeros(states), np.zeros(states)  # what a context excludes from its suffix
-        keys, counts, onward = [], [], []
-        for j, (g, n) in enumerate(levels):
-            node = first[j] + (np.searchsorted(contexts[j], g >> np.uint64(8)) if j else np.zeros(len(g), np.int64))
-            np.add.at(kinds, node, 1)
-            np.add.at(known, node, n)
-            if j:
-                own = slice(first[j], first[j + 1])
-                self.suffix[own] = first[j - 1] + (np.searchsorted(contexts[j - 1], contexts[j] & low(j - 1)) if j > 1 else 0)
-                shorter, less = levels[j - 1]
-                at = find(shorter, contexts[j])
-                # a context occurs as often as it is predicted; one of BEFORE alone, once in each text
-                total[own] = np.where(shorter[at] == contexts[j], less[at], texts) if len(shorter) else texts
-                at = np.searchsorted(shorter, g & low(j))  # the same symbol in the suffix
-                np.add.at(gone, node, less[at])
-                np.add.at(gone_kinds, node, 1)
-                after = onward[j - 1][at].copy()
-            else:
-                after = np.zeros(len(g), np.int64)
-            if j < order and len(contexts[j + 1]):
-                at = find(contexts[j + 1], g)
-                longer = contexts[j + 1][at] == g
-                after[longer] = first[j + 1] + at[longer]
-            keys.append(node * 256 + (g & np.uint64(255)).astype(np.int64))
-            counts.append(n)
-            onward.append(after)
-        total[0] = known[0]
-        total = np.maximum(total, known)
-        log = lambda x: np.log10(np.maximum(x, 1e-300))
-        size = total + kinds
-        self.size = log(size)
-        self.escape = np.where(size > 0, log(total - known + kinds) - self.size, 0.0)
-        up = self.suffix
-        size = total[up] + kinds[up] - gone - gone_kinds
-        self.size_below = log(size)
-        self.escape_below = np.where(size > 0, log(total[up] - known[up] + kinds[up] - gone_kinds) - self.size_below, 0.0)
-        self.rest = -math.log10(max(1, 256 - len(levels[0][0])))
-        self.start = 0
-        for j, c in enumerate(contexts):
-            lead = np.uint64(int.from_bytes(bytes([BEFORE]) * j, "big"))
-            if j and len(c) and c[at := int(find(c, lead))] == lead:
-                self.start = int(first[j]) + at
-        self.states = states
-        keys, onward = np.concatenate(keys), np.concatenate(onward)
-        by = np.argsort(-total[1:], kind="stable") + 1  # often used contexts get low numbers; the empty one stays 0
-        by = np.concatenate(([0], by))
-        number = np.empty(states, np.int64)
-        number[by] = np.arange(states)
-        self.start = int(number[self.start])
-        self.suffix = number[self.suffix[by]]
-        for name in ("size", "escape", "size_below", "escape_below"):
-            setattr(self, name, getattr(self, name)[by])
-        self._hash(number[keys >> 8] * 256 + (keys & 255), log(np.concatenate(counts)).astype(np.float32), number[onward].astype(np.int32))
-        level = np.repeat(np.arange(order + 1), np.diff(first))[by]
-        self._rows((levels[0][0] & np.uint64(255)).astype(np.int64), level, min(states, DENSE_STATES))
-
-    def _rows(self, known: np.ndarray, level: np.ndarray, states: int) -> None:
-        """Full rows of the first states, whose suffixes are among them: each from its suffix's row."""
-        self.wide = len(known) + 1  # bytes unknown everywhere share a class
-        self.classes = np.full(256, self.wide - 1, np.int64)
-        self.classes[known] = np.arange(len(known))
-        held = np.flatnonzero((self.keys >= 0) & (self.keys < states * 256))
-        node, symbol = self.keys[held] >> 8, self.classes[self.keys[held] & 255]
-        mask = np.zeros((states, self.wide), bool)
-        mask[node, symbol] = True
-        gain, after = np.zeros((states, self.wide), np.float32), np.zeros((states, self.wide), np.int32)
-        gain[0] = self.escape[0] + self.rest
-        for j in range(int(level[:states].max()) + 1):
-            here = np.flatnonzero(level[:states] == j)
-            for a in range(0, len(here) if j else 0, 8192):
-                x = here[a : a + 8192]
-                up = self.suffix[x]
-                seen = gain[up] + (self.size[up] - self.size_below[x])[:, None]
-                unseen = gain[up] + (self.escape_below[x] - self.escape[up])[:, None]
-                gain[x], after[x] = np.where(mask[up], seen, unseen) + self.escape[x][:, None], after[up]
-            own = level[node] == j
-            gain[node[own], symbol[own]] = self.gain[held[own]] - self.size[node[own]]
-            after[node[own], symbol[own]] = self.after[held[own]]
-        self.dense, self.dense_gain, self.dense_after = states, gain.ravel(), after.ravel()
-
-    def _hash(self, keys: np.ndarray, gain: np.ndarray, after: np.ndarray) -> None:
-        """Open addressing at a load of a half at most; a key's place is looked for from its hash on."""
-        bits = max(4, int(2 * len(keys)).bit_length())
-        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
-        self.keys, self.gain, self.after = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.float32), np.zeros(1 << bits, np.int32)
-        left, slot = np.arange(len(keys)), self._slot(keys)
-        while len(left):
-            free = self.keys[slot] < 0
-            self.keys[slot[free]] = keys[left[free]]
-            put = self.keys[slot] == keys[left]
-            self.gain[slot[put]], self.after[slot[put]] = gain[left[put]], after[left[put]]
-            left, slot = left[~put], (slot[~put] + 1) & self.mask
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
-
-    def lookup(self, keys: np.ndarray) -> np.ndarray:
-        """Slot of each key, -1 where it is not known."""
-        slot = self._slot(keys)
-        found = self.keys[slot]
-        open_ = np.flatnonzero((found != keys) & (found >= 0))
-        while len(open_):
-            slot[open_] = (slot[open_] + 1) & self.mask
-            found[open_] = self.keys[slot[open_]]
-            open_ = open_[(found[open_] != keys[open_]) & (found[open_] >= 0)]
-        slot[found < 0] = -1
-        return slot
-
-    def advance(self, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """`step`, from the full rows where there are any."""
-        rare = np.flatnonzero(state >= self.dense)
-        key = state * self.wide + self.classes[symbol]
-        if len(rare):
-            key[rare] = 0
-        gain, after = self.dense_gain[key], self.dense_after[key]
-        if len(rare):
-            gain[rare], after[rare] = self.step(state[rare], symbol[rare])
-        return gain, after
-
-    def step(self, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 probability of each symbol in its state, and the next states."""
-        slot = self.lookup(state * 256 + symbol)
-        hit = slot >= 0
-        gain = np.where(hit, self.gain[slot] - self.size[state], self.escape[state])
-        after = np.where(hit, self.after[slot], 0).astype(np.int64)
-        lost = np.flatnonzero(~hit)
-        above = state[lost]
-        while len(lost):
-            ended = above == 0
-            gain[lost[ended]] += self.rest
-            lost, above = lost[~ended], above[~ended]
-            node = self.suffix[above]
-            slot = self.lookup(node * 256 + symbol[lost])
-            hit = slot >= 0
-            gain[lost[hit]] += self.gain[slot[hit]] - self.size_below[above[hit]]
-            after[lost[hit]] = self.after[slot[hit]]
-            gain[lost[~hit]] += self.escape_below[above[~hit]]
-            lost, above = lost[~hit], node[~hit]
-        return gain, after
-
-    def score(self, raw: list[bytes]) -> np.ndarray:
-        """log10 probability of each text and its end. Texts are cut into spans, all read at the same pace.
-
-        A span's state depends on the `order` bytes before it, so it first reads these without counting them.
-        """
-        size = np.fromiter(map(len, raw), np.int64, len(raw)) + 1
-        spans = -(-size // SPAN)
-        lanes = int(spans.sum())
-        if not lanes:
-            return np.zeros(0)
-        data = np.frombuffer(b"".join(x for r in raw for x in (r, bytes([END]))), np.uint8).astype(np.int64)
-        text_of = np.repeat(np.arange(len(raw)), spans)
-        nth = np.arange(lanes) - np.repeat(np.cumsum(spans) - spans, spans)
-        begin = np.repeat(np.cumsum(size) - size, spans) + nth * SPAN
-        until = np.repeat(np.cumsum(size), spans)
-        out = np.zeros(lanes)
-        state = np.where(nth == 0, self.start, 0).astype(np.int64)
-        for at in range(-self.order, SPAN):
-            on = np.flatnonzero(begin + at < until if at >= 0 else nth > 0)
-            gain, state[on] = self.advance(state[on], data[begin[on] + at])
-            if at >= 0:
-                out[on] += gain
-        return np.bincount(text_of, out, minlength=len(raw))
-
-
 def shard_of(gram: np.ndarray, shards: int) -> np.ndarray:
     """The shard of a gram, from the three bytes before its last: all its contexts of three bytes or more are there."""
     mixed = (gram >> np.uint64(8) & np.uint64(0xFFFFFF)) * np.uint64(2654435761) & np.uint64(0xFFFFFFFF)
     return (mixed >> np.uint64(12)) % np.uint64(shards)
 
 
-def planes(values: np.ndarray) -> bytes:
-    """Numbers as their number and their byte planes, compressed."""
-    data = values.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
-    return len(values).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+def squeezed(data: bytes) -> bytes:
+    """Bytes behind their number, compressed."""
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def unsqueezed(data: bytes) -> bytes:
+    return pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+
 
+def planes(values: np.ndarray, kind: str = "<u8") -> bytes:
+    """Numbers by their byte planes."""
+    values = values.astype(kind)
+    return squeezed(values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes())
 
-def from_planes(data: bytes) -> np.ndarray:
-    n = int.from_bytes(data[:8], "little")
-    raw = pa.decompress(data[8:], decompressed_size=8 * n, codec="zstd", asbytes=True)
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8")[:, 0]
+
+def from_planes(data: bytes, kind: str = "<u8") -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(unsqueezed(data), np.uint8).reshape(width, -1).T).view(kind)[:, 0]
 
 
 def packed(keys: np.ndarray) -> bytes:
@@ -282,60 +98,113 @@ def by_shard(keys: np.ndarray, shards: int) -> tuple[np.ndarray, list[np.ndarray
     return ids, np.split(by, first[1:]) if len(ids) else []
 
 
-def corpus_counts(docs: DataFrame, order: int, shards: int, hold_words: int = 300_000, hold_grams: int = 2_000_000) -> DataFrame:
-    """Partial counts over all texts, of three kinds of row.
+def distinct(raw: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct grams of texts and how often each occurs, gathered a few million at a time."""
+    keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    at = 0
+    while at < len(raw):
+        part, size = [raw[at]], len(raw[at])
+        while at + len(part) < len(raw) and size < 4 * CHUNK:
+            part.append(raw[at + len(part)])
+            size += len(part[-1])
+        at += len(part)
+        k, n = tally(grams(streams(part, order), order))
+        keys, counts = tally(np.concatenate((keys, k)), np.concatenate((counts, n)))
+    return keys, counts
 
-    Each word lower-cased (`word` and `n`; the end of a text is the empty word), each gram of up to NEAR + 1 bytes
-    (`gram` and `n`), and the grams of a shard (`shard`, `grams` and `counts`, packed). A task sends what it holds
-    on once it holds over the given numbers, so its memory is bounded.
-    """
-    short = np.uint64((1 << 8 * (min(order, NEAR) + 1)) - 1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: Counter[bytes] = Counter()
-        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        waiting: list[np.ndarray] = []
-
-        def of(rows: int, **columns: pa.Array) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(rows, f.type)) for f in COUNTS], schema=COUNTS)
-
-        def of_words() -> pa.RecordBatch:
-            out = of(len(words), word=pa.array(list(words), pa.binary()), n=pa.array(list(words.values()), pa.int64()))
-            words.clear()
-            return out
-
-        def of_grams() -> Iterator[pa.RecordBatch]:
-            near, n = tally(keys & short, counts)
-            yield of(len(near), gram=pa.array(near.astype(np.int64)), n=pa.array(n))
-            ids, at = by_shard(keys, shards)
-            yield of(len(ids), shard=pa.array(ids, pa.int32()), grams=pa.array([packed(keys[i]) for i in at], pa.binary()), counts=pa.array([planes(counts[i]) for i in at], pa.binary()))
-
-        def gather() -> None:
-            nonlocal keys, counts
-            k, c = tally(np.concatenate([np.zeros(0, np.uint64), *waiting]))
-            keys, counts = tally(np.concatenate((keys, k)), np.concatenate((counts, c)))
-            waiting.clear()
-
-        for batch in batches:
-            raw = [(t or "").encode() for t in batch.column(0).to_pylist()]
-            for r in raw:
-                words.update(r.lower().split())
-            words[b""] += len(raw)
-            if len(words) > hold_words:
-                yield of_words()
-            waiting.append(grams(streams(raw, order), order))
-            if sum(map(len, waiting)) > 1_000_000:
-                gather()
-            if len(keys) > hold_grams:
-                yield from of_grams()
-                keys, counts = keys[:0], counts[:0]
-        gather()
-        if words:
-            yield of_words()
-        if len(keys):
-            yield from of_grams()
+class Places:
+    """Where asked keys lie among distinct keys, by two tables of hashed places; what both lack is searched for."""
+
+    MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        bits = max(4, int(2 * len(keys)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.tables = [np.zeros(1 << bits, np.int32) for _ in self.MIX]
+        for mix, table in zip(self.MIX, self.tables, strict=True):
+            table[keys * mix >> self.shift] = np.arange(len(keys), dtype=np.int32)
+
+    def of(self, asked: np.ndarray) -> np.ndarray:
+        """The place of each asked key, all of which are among the keys."""
+        out = self.tables[0][asked * self.MIX[0] >> self.shift]
+        left = np.flatnonzero(self.keys[out] != asked)
+        out[left] = self.tables[1][asked[left] * self.MIX[1] >> self.shift]
+        left = left[self.keys[out[left]] != asked[left]]
+        out[left] = np.searchsorted(self.keys, asked[left])
+        return out
+
+
+def looked_up(raw: list[bytes], order: int, keys: np.ndarray, logs: np.ndarray) -> np.ndarray:
+    """Sum of each text's grams' values, which `logs` has for the ascending `keys`."""
+    out, places = np.zeros(len(raw)), Places(keys)
+    at = 0
+    while at < len(raw):
+        part, size = [raw[at]], len(raw[at])
+        while at + len(part) < len(raw) and size < CHUNK:
+            part.append(raw[at + len(part)])
+            size += len(part[-1])
+        asked = grams(streams(part, order), order)
+        text_of = np.repeat(np.arange(len(part)), [len(r) + 1 for r in part])
+        for a in range(0, len(asked), CHUNK):
+            out[at : at + len(part)] += np.bincount(text_of[a : a + CHUNK], logs[places.of(asked[a : a + CHUNK])], minlength=len(part))
+        at += len(part)
+    return out
+
+
+def words_in(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Words of texts, A-Z lower-cased: each word's number and its text's, and the distinct words by number."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    flat, text_of = pc.list_flatten(lists), pc.list_parent_indices(lists)
+    full = pc.greater(pc.binary_length(flat), 0)
+    words = flat.filter(full).dictionary_encode()
+    return words.indices.to_numpy(zero_copy_only=False), text_of.filter(full).to_numpy(), words.dictionary.cast(pa.large_binary())
 
-    return map_arrow(docs.select(F.col("text").cast("string")), run, "word binary, gram long, n long, shard int, grams binary, counts binary")
+
+def words_by_shard(words: pa.Array, shards: int) -> list[tuple[int, np.ndarray, bytes]]:
+    """Each shard that distinct words fall to, the places of its words in ascending order of these, and them packed."""
+    order, plain = pc.array_sort_indices(words).to_numpy(), words.to_pylist()
+    of = np.fromiter(map(zlib.crc32, plain), np.uint32, len(plain))[order] % shards
+    by = np.argsort(of, kind="stable")
+    ids, first = np.unique(of[by], return_index=True)
+    groups = np.split(order[by], first[1:]) if len(ids) else []
+    return [(int(s), at, squeezed(b" ".join([plain[i] for i in at.tolist()]))) for s, at in zip(ids, groups, strict=True)]
+
+
+def words_of(blob: bytes, n: int) -> list[bytes]:
+    """The `n` words, free of white space, that were joined by it."""
+    return unsqueezed(blob).split(b" ") if n else []
+
+
+def pieces(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[int, pa.Array, pa.Array]]:
+    """A task's rows (doc_id, text) in runs of about `size` bytes: the run's number, ids and texts; null texts are empty."""
+    number, held, waiting = TaskContext.get().partitionId() << 33, 0, []
+    for batch in batches:
+        text = pc.fill_null(batch.column(1).cast(pa.large_string()), "")
+        reached = np.cumsum(pc.binary_length(text).to_numpy()) + held
+        at = 0
+        while at < len(text):
+            n = int(np.searchsorted(reached[at:], size)) + 1
+            part = slice(at, at + n)
+            waiting.append((batch.column(0)[part], text[part]))
+            at = min(at + n, len(text))
+            if reached[at - 1] >= size:
+                yield number, *map(pa.concat_arrays, zip(*waiting, strict=True))
+                reached = reached - reached[at - 1]
+                number, waiting = number + 1, []
+        held = int(reached[-1]) if len(text) else held
+    if waiting:
+        yield number, *map(pa.concat_arrays, zip(*waiting, strict=True))
+
+
+def with_end(words: pa.Array) -> pa.Array:
+    """The words and, last, the empty word, which stands for a text's end."""
+    return pa.concat_arrays([words, pa.array([b""], pa.large_binary())])
+
+
+def plain_bytes(texts: pa.Array) -> list[bytes]:
+    return texts.cast(pa.large_binary()).to_pylist()
 
 
 def fold_of(doc_id: Column, folds: int = 5) -> Column:
@@ -381,7 +250,13 @@ def levels_of(keys: np.ndarray, counts: np.ndarray, least: float, lengths: range
 
 
 def chances(levels: list[Level], asked: np.ndarray) -> np.ndarray:
-    """log10 probability of each gram's last byte after the others: that of `Trie`, from its levels' counts alone."""
+    """log10 probability of each gram's last byte after the others.
+
+    In a context with `total` predictions and `kinds` known symbols, a known symbol has (count - 1/2) / total, and
+    the halves, kinds / (2 total), escape to the context without its first byte, where the symbols known above are
+    excluded; past the empty context all bytes that are still open are equally likely. What exclusion takes from a
+    suffix depends on the context above alone, so it is summed beforehand.
+    """
     out = np.zeros(len(asked))
     open_, above = np.arange(len(asked)), np.full(len(asked), -1)
     for j in range(len(levels) - 1, -1, -1):
@@ -392,9 +267,9 @@ def chances(levels: list[Level], asked: np.ndarray) -> np.ndarray:
             c, up = node[there], above[there]
             longer = levels[j + 1] if j + 1 < len(levels) else None
             less, kinds = (np.where(up >= 0, x[up], 0.0) if longer is not None and len(x) else np.zeros(len(up)) for x in ((longer.gone, longer.kinds) if longer else (np.zeros(0), np.zeros(0))))
-            size = level.total[c] + level.kinds[c] - less - kinds
-            left = level.total[c] - level.known[c] + level.kinds[c] - kinds
-            share = np.where(hit[there], level.n[at[there]], left)
+            size = level.total[c] - less
+            left = level.total[c] - level.known[c] + (level.kinds[c] - kinds) / 2
+            share = np.where(hit[there], level.n[at[there]] - 0.5, left)
             out[open_[there]] += np.where(size > 0, np.log10(np.maximum(share, 1e-300)) - np.log10(np.maximum(size, 1e-300)), 0.0)
         above = np.where(there, node, -1)[~hit]
         open_ = open_[~hit]
@@ -402,24 +277,23 @@ def chances(levels: list[Level], asked: np.ndarray) -> np.ndarray:
     return out
 
 
-#: Columns of a text as a piece holds it.
-TEXTS = pa.schema(
-    [("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_head", pa.int64()), ("head_score", pa.float64()), ("rare", pa.list_(pa.struct([("word", pa.binary()), ("tf", pa.int64())]))), ("raw", pa.binary())]
-)
+_near: dict[str, list[Level]] = {}
 
-_near: dict[int, list[Level]] = {}
+MESSAGE = "piece long, shard int, grams binary, counts binary, words binary, word_counts binary"
+SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def lm_scores(docs: DataFrame, order: int = 6, share: float = 0.0, word_share: float = 2e-6, held_fold: int = 1, folds: int = 5) -> DataFrame:
+def lm_scores(docs: DataFrame, order: int = 6, held_fold: int = 1, folds: int = 5, piece_bytes: int = PIECE) -> DataFrame:
     """Score each document (doc_id, text) by contexts of bytes and a unigram base, both learned from the other folds.
 
     Training documents are those whose crc32(doc_id as text) modulo `folds` is not `held_fold`; every one of
-    them is counted whole, and every gram of theirs is in the model (with a `share` over 0, those that hold so
-    much of the training bytes). The model is a table sharded by the three bytes before the predicted one, where
-    all longer contexts of a byte lie together; only grams of up to three bytes are sent to all tasks. Texts are
-    read in pieces of PIECE bytes: each piece asks every shard for its distinct grams once, and adds up the answers.
-    Words with at least `word_share` of the training tokens, at most 1 / word_share, are sent to the workers.
-    Counts of all other words stay in a table, which rarer words of a text are joined to.
+    them is counted whole, and every gram and word of theirs is in the model, at every size. Texts are read in
+    pieces of `piece_bytes`. A piece sends each shard its distinct grams and words with their counts in its
+    training texts, zero included: that is its share of the counts and its question at once. Grams are sharded
+    by the three bytes before the predicted one, so a shard holds the trie below these; it adds up the counts
+    and answers each piece. The first levels, grams of up to three bytes, are sent to all tasks. A piece's
+    answers then meet its texts, which travel once. Rows must lie in the same partitions when they are read
+    again, so whatever is not a mere scan is written first; an answer that does not fit its question is an error.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. Tokens are words (runs
     without ASCII white space, A-Z lower-cased) and one end. score is the model's log10 probability of the
@@ -428,106 +302,119 @@ def lm_scores(docs: DataFrame, order: int = 6, share: float = 0.0, word_share: f
     train_tokens and n_known are 0, every base probability is 1 and every byte has probability 1/256. An empty
     table gives no rows. Other columns are not read.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    shards = max(64, 2 * docs.rdd.getNumPartitions())
-    counts = stash(corpus_counts(rows.where(fold_of(F.col("doc_id"), folds) != held_fold).select("text"), order, shards), "lm-counts")
-    words = stash(counts.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
-    total, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    head = {bytes(r.word): r.n for r in words.where(F.col("n") >= max(1.0, word_share * total)).collect()}
+    rows = settled(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     spark = docs.sparkSession
-    short = counts.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
-    least = max(1.0, share * sum(short["n"].to_pylist()))
-    model = spark.sparkContext.broadcast((short["gram"].to_numpy().astype(np.uint64), short["n"].to_numpy().astype(np.int64)))
-    heads = spark.sparkContext.broadcast(head)
-    size = total + 0.5 * (kinds + 1)
-    name = id(model)
+    shards = max(64, rows.rdd.getNumPartitions() // 4)
+    short = np.uint64((1 << 8 * (min(order, NEAR) + 1)) - 1)
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gain = {w: math.log10((n + 0.5) / size) for w, n in heads.value.items()}
-        row = TaskContext.get().partitionId() << 33
-        piece, held_bytes, waiting, texts = row, 0, [], []
+    def trained(ids: pa.Array) -> np.ndarray:
+        return np.array([zlib.crc32(b"" if i is None else str(i).encode()) % folds != held_fold for i in ids.to_pylist()], bool)
 
-        def wanted() -> pa.RecordBatch:
-            keys, _ = tally(np.concatenate(waiting))
-            ids, at = by_shard(keys, shards)
-            buffer = pa.BufferOutputStream()
-            with pa.ipc.new_stream(buffer, TEXTS, options=pa.ipc.IpcWriteOptions(compression=None)) as out:
-                for x in texts:
-                    out.write_batch(x)
-            data = buffer.getvalue()
-            blob = data.size.to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
-            waiting.clear()
-            texts.clear()
-            n = len(ids)
-            return pa.RecordBatch.from_arrays([pa.array([piece] * (n + 1), pa.int64()), pa.array([*ids.tolist(), None], pa.int32()), pa.array([*(packed(keys[i]) for i in at), blob], pa.binary())], ["piece", "shard", "data"])
-
-        for batch in batches:
-            ids = batch.column(0).to_pylist()
-            raw = [(t or "").encode() for t in batch.column(1).to_pylist()]
-            cols: list[list] = [[] for _ in range(5)]
-            for r in raw:
-                tokens = r.lower().split()
-                found = [gain[w] for w in tokens if w in gain]
-                rare = Counter(w for w in tokens if w not in gain) if len(found) < len(tokens) else {}
-                end = b"" in gain
-                cols[0].append(len(tokens) + 1)
-                cols[1].append(len(found) + end)
-                cols[2].append(math.fsum(found) + (gain[b""] if end else 0.0))
-                cols[3].append([{"word": w, "tf": n} for w, n in rare.items()] + ([] if end else [{"word": b"", "tf": 1}]))
-                cols[4].append(zlib.crc32(b"" if ids[len(cols[4])] is None else str(ids[len(cols[4])]).encode()) % folds == held_fold)
-            n = len(ids)
-            if not n:
+    def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        total = 0
+        for _, ids, texts in pieces(batches, piece_bytes):
+            texts = texts.filter(pa.array(trained(ids)))
+            if not len(texts):
                 continue
-            values = [range(row, row + n), ids, cols[4], cols[0], cols[1], cols[2], cols[3], raw]
-            texts.append(pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(values, TEXTS, strict=True)], schema=TEXTS))
-            row += n
-            waiting.append(tally(grams(streams(raw, order), order))[0])
-            held_bytes += sum(map(len, raw))
-            if held_bytes > PIECE:
-                yield wanted()
-                piece, held_bytes = row, 0
-        if waiting:
-            yield wanted()
-
-    def answer(mine: pa.Table, asks: pa.Table) -> pa.Table:
+            codes, _, words = words_in(texts)
+            total += len(codes) + len(texts)
+            for s, at, packed_words in words_by_shard(with_end(words), shards):
+                yield pa.RecordBatch.from_pydict({"shard": pa.array([s], pa.int32()), "words": pa.array([packed_words]), "gram": pa.nulls(1, pa.int64()), "n": [len(at)]})
+            k, c = distinct(plain_bytes(texts), min(order, NEAR))
+            keys, n = tally(np.concatenate((keys, k & short)), np.concatenate((n, c)))
+        if len(keys):
+            m = len(keys) + 1  # the last row is the number of tokens
+            yield pa.RecordBatch.from_pydict({"shard": pa.nulls(m, pa.int32()), "words": pa.nulls(m, pa.binary()), "gram": pa.array([*keys.astype(np.int64).tolist(), -1]), "n": pa.array([*n.tolist(), total])})
+
+    def size_up(t: pa.Table) -> pa.Table:
+        words: set[bytes] = set()
+        for w, n in zip(t["words"].to_pylist(), t["n"].to_pylist(), strict=True):
+            words.update(words_of(w, n))
+        return pa.table({"kinds": pa.array([len(words)], pa.int64())})
+
+    found = stash(map_arrow(rows, survey, "shard int, words binary, gram long, n long"), "lm-survey")
+    sums = found.where("shard is not null").select("shard", "words", "n").groupBy("shard").applyInArrow(size_up, "kinds long")
+    kinds = sums.agg(F.coalesce(F.sum("kinds"), F.lit(0))).first()[0]
+    near = found.where("shard is null").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+    drop_stash(found)
+    near = {g: n for g, n in zip(near["gram"].to_pylist(), near["n"].to_pylist(), strict=True)}
+    total = near.pop(-1, 0)
+    model = spark.sparkContext.broadcast((np.array(list(near), np.uint64), np.array(list(near.values()), np.int64)))
+    size, name = total + 0.5 * (kinds + 1), uuid.uuid4().hex
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece, ids, texts in pieces(batches, piece_bytes):
+            use = trained(ids)
+            raw = plain_bytes(texts)
+            (keys, n), (other, _) = (distinct([r for r, x in zip(raw, use, strict=True) if x is want], order) for want in (np.True_, np.False_))
+            keys, n = tally(np.concatenate((keys, other)), np.concatenate((n, np.zeros(len(other), np.int64))))
+            codes, text_of, words = words_in(texts)
+            words = with_end(words)
+            counts = np.append(np.bincount(codes[use[text_of]], minlength=len(words) - 1), use.sum())
+            by_word = {s: (at, packed_words) for s, at, packed_words in words_by_shard(words, shards)}
+            by_gram = dict(zip(*by_shard(keys, shards), strict=True))
+            none = np.zeros(0, np.int64)
+            for s in sorted(by_word.keys() | by_gram.keys()):
+                at, (of, w) = by_gram.get(s, none), by_word.get(s, (none, squeezed(b"")))
+                yield pa.RecordBatch.from_pydict({"piece": [piece], "shard": pa.array([s], pa.int32()), "grams": [packed(keys[at])], "counts": [planes(n[at])], "words": [w], "word_counts": [planes(counts[of])]})
+
+    def answer(t: pa.Table) -> pa.Table:
         if name not in _near:
             _near.clear()
-            _near[name] = levels_of(*model.value, least, range(min(order, NEAR) + 1), [])
+            _near[name] = levels_of(*model.value, 1, range(min(order, NEAR) + 1), [])
         none = np.zeros(0, np.uint64)
-        keys = np.concatenate([none, *map(unpacked, mine["grams"].to_pylist())])
-        counts = np.concatenate([none, *map(from_planes, mine["counts"].to_pylist())]).astype(np.int64)
-        levels = levels_of(*tally(keys, counts), least, range(NEAR + 1, order + 1), _near[name])
-        logs = [chances(levels, unpacked(g)).astype("<f4").tobytes() for g in asks["data"].to_pylist()]
-        return pa.table({"piece": asks["piece"], "shard": asks["shard"], "logs": pa.array(logs, pa.binary())})
+        keys = np.concatenate([none, *map(unpacked, t["grams"].to_pylist())])
+        n = np.concatenate([none, *map(from_planes, t["counts"].to_pylist())]).astype(np.int64)
+        keys, n = tally(keys[n > 0], n[n > 0])
+        levels = levels_of(keys, n, 1, range(NEAR + 1, order + 1), _near[name])
+        known: defaultdict[bytes, int] = defaultdict(int)
+        for w, c in zip(t["words"].to_pylist(), t["word_counts"].to_pylist(), strict=True):
+            c = from_planes(c)
+            for x, n in zip(words_of(w, len(c)), c.tolist(), strict=True):
+                known[x] += n
+        logs, counts = [], []
+        for g, w, c in zip(t["grams"].to_pylist(), t["words"].to_pylist(), t["word_counts"].to_pylist(), strict=True):
+            logs.append(planes(chances(levels, unpacked(g)), "<f4"))
+            counts.append(planes(np.array([known[x] for x in words_of(w, len(from_planes(c)))], np.int64)))
+        return pa.table({"piece": t["piece"], "shard": t["shard"], "logs": pa.array(logs, pa.binary()), "counts": pa.array(counts, pa.binary())})
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece, ids, texts in pieces(batches, piece_bytes):
+            buffer = pa.BufferOutputStream()
+            table = pa.table({"doc_id": ids, "text": texts})
+            with pa.ipc.new_stream(buffer, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(table)
+            yield pa.RecordBatch.from_pydict({"piece": [piece], "data": pa.array([buffer.getvalue().to_pybytes()], pa.binary())})
 
     def add_up(piece: pa.Table, answers: pa.Table) -> pa.Table:
-        blob = piece["data"][0].as_py()
-        texts = pa.ipc.open_stream(pa.decompress(blob[8:], decompressed_size=int.from_bytes(blob[:8], "little"), codec="zstd")).read_all()
-        raw = texts["raw"].to_pylist()
-        keys, place = np.unique(grams(streams(raw, order), order), return_inverse=True)
-        ids, at = by_shard(keys, shards)
-        given, logs = dict(zip(answers["shard"].to_pylist(), answers["logs"].to_pylist(), strict=True)), np.zeros(len(keys))
-        for i, where in zip(ids.tolist(), at, strict=True):
-            logs[where] = np.frombuffer(given[i], "<f4")
-        text_of = np.repeat(np.arange(len(raw)), [len(r) + 1 for r in raw])
-        return texts.drop_columns(["raw"]).append_column("score", pa.array(np.bincount(text_of, logs[place], minlength=len(raw))))
-
-    asked = stash(map_arrow(rows, ask, "piece long, shard int, data binary"), "lm-asked")
-    model_rows = counts.where("shard is not null").select("shard", "grams", "counts").groupBy("shard")
-    answers = model_rows.cogroup(asked.where("shard is not null").groupBy("shard")).applyInArrow(answer, "piece long, shard int, logs binary")
-    scored = stash(asked.where("shard is null").select("piece", "data").groupBy("piece").cogroup(answers.groupBy("piece")).applyInArrow(add_up, "row long, doc_id long, held_out boolean, n_tokens long, n_head long, head_score double, rare array<struct<word:binary,tf:long>>, score double"), "lm-scored")
-    for done in (counts, asked):
-        drop_stash(done)
-    rare = scored.where("size(rare) > 0").select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.tf")
-    c = F.coalesce("n", F.lit(0))
-    base = F.log10((c + 0.5) / F.lit(float(size)))
-    tail = rare.join(words, "word", "left").groupBy("row").agg(F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("n_tail"), F.sum(F.col("tf") * base).alias("tail_score"))
-    return scored.drop("rare").join(tail, "row", "left").select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("n_head") + F.coalesce("n_tail", F.lit(0))).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("head_score") + F.coalesce("tail_score", F.lit(0.0))).alias("base_score"),
-        "score",
-    )
+        table = pa.ipc.open_stream(piece["data"][0].as_py()).read_all().combine_chunks()
+        ids, texts = table["doc_id"], pa.concat_arrays(table["text"].chunks)
+        raw = plain_bytes(texts)
+        keys, _ = distinct(raw, order)
+        given = {s: (a, c) for s, a, c in zip(answers["shard"].to_pylist(), answers["logs"].to_pylist(), answers["counts"].to_pylist(), strict=True)}
+        logs = np.zeros(len(keys))
+        for s, at in zip(*by_shard(keys, shards), strict=True):
+            logs[at] = from_planes(given[s][0], "<f4")  # of another length only if the texts are not those asked for
+        codes, text_of, words = words_in(texts)
+        words = with_end(words)
+        count = np.zeros(len(words), np.int64)
+        for s, at, _ in words_by_shard(words, shards):
+            count[at] = from_planes(given[s][1], "<i8")
+        gain, n = np.log10((count + 0.5) / size), len(texts)
+        return pa.table(
+            {
+                "doc_id": ids,
+                "held_out": pa.array(~trained(ids)),
+                "n_tokens": pa.array(np.bincount(text_of, minlength=n) + 1),
+                "n_known": pa.array(np.bincount(text_of, count[codes] > 0, minlength=n).astype(np.int64) + int(count[-1] > 0)),
+                "base_score": pa.array(np.bincount(text_of, gain[codes], minlength=n) + gain[-1]),
+                "score": pa.array(looked_up(raw, order, keys, logs), pa.float64()),
+            }
+        )
+
+    asked = map_arrow(rows, ask, MESSAGE)
+    answers = asked.groupBy("shard").applyInArrow(answer, "piece long, shard int, logs binary, counts binary")
+    texts = map_arrow(rows, sent, "piece long, data binary")
+    scored = texts.groupBy("piece").cogroup(answers.groupBy("piece")).applyInArrow(add_up, SCORES)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -4,19 +4,9 @@ import zlib
 from collections import Counter
 
 import numpy as np
-import pytest
+import pyarrow as pa
 
-from eigenloom.llm.scoring import BEFORE, DENSE_STATES, END, SPAN, Trie, grams, lm_scores, streams, tally
-
-
-def kept_of(raw, order, least):
-    out = {}
-    top = grams(streams(raw, order), order)
-    for j in range(order + 1):
-        g, n = tally(top & np.uint64((1 << 8 * (j + 1)) - 1))
-        if (n >= least).any():
-            out[j] = (g[n >= least], n[n >= least])
-    return out
+from eigenloom.llm.scoring import BEFORE, END, Places, chances, distinct, from_planes, levels_of, lm_scores, packed, planes, squeezed, unpacked, words_by_shard, words_in, words_of
 
 
 def brute_ppm(raw, order, least, text):
@@ -44,12 +34,11 @@ def brute_ppm(raw, order, least, text):
                 continue
             mine = {x: n for x, n in known[j][c].items() if x not in excluded}
             t = total[j][c] - sum(n for x, n in known[j][c].items() if x in excluded)
-            size = t + len(mine)
             if s[i] in mine:
-                p *= mine[s[i]] / size
+                p *= (mine[s[i]] - 0.5) / t
                 break
-            if size:
-                p *= (t - sum(mine.values()) + len(mine)) / size
+            if t:
+                p *= (t - sum(mine.values()) + len(mine) / 2) / t
             excluded |= set(known[j][c])
         else:
             p /= 256 - len(excluded)
@@ -57,22 +46,41 @@ def brute_ppm(raw, order, least, text):
     return out
 
 
-@pytest.mark.parametrize("dense", [DENSE_STATES, 5])
-def test_trie_against_brute_force(dense, monkeypatch):
-    monkeypatch.setattr("eigenloom.llm.scoring.DENSE_STATES", dense)
+def test_chances_sum_to_one():
     rng = random.Random(3)
     raw = ["".join(rng.choices(["ab", "c", " ", "dé", "ba"], k=rng.randrange(0, 60))).encode() for _ in range(50)]
-    for order, least in ((2, 3), (3, 5), (4, 2), (1, 1)):
-        trie = Trie(kept_of(raw, order, least), len(raw), order)
-        assert trie.dense == min(dense, trie.states)
-        for state in range(trie.states):
-            gain, after = trie.step(np.full(256, state), np.arange(256))
-            again, then = trie.advance(np.full(256, state), np.arange(256))
-            assert np.allclose(gain, again, atol=1e-5) and (after == then).all()
-            assert abs((10.0**gain).sum() - 1) < 1e-5
-        asked = raw[:10] + [b"", b"zz ab", "中 ab".encode(), raw[1] * 200]
-        assert len(asked[-1]) > 2 * SPAN or not raw[1]
-        assert np.allclose(trie.score(asked), [brute_ppm(raw, order, least, t) for t in asked], rtol=1e-5, atol=1e-4)
+    for order in (1, 2, 4, 6):
+        levels = levels_of(*distinct(raw, order), 1, range(order + 1), [])
+        for context in (b"\xfe" * order, b"ab c\xc3\xa9ba"[-order:], b"zzzzzzzz"[-order:], b"abababab"[-order:]):
+            asked = np.array([int.from_bytes(context + bytes([x]), "big") for x in range(256)], np.uint64)
+            assert abs((10.0 ** chances(levels, asked)).sum() - 1) < 1e-9
+
+
+def test_packing_of_messages():
+    for values in ([], [5], [0, 2**63, 2**63 + 7]):
+        keys = np.array(values, np.uint64)
+        assert unpacked(packed(keys)).tolist() == values and from_planes(planes(keys)).tolist() == values
+    for words in ([], [b""], [b"", b"a", b"\xff"]):
+        assert words_of(squeezed(b" ".join(words)), len(words)) == words
+    words = [str(i * 7 % 500).encode() for i in range(500)]
+    found = words_by_shard(pa.array(words, pa.large_binary()), 7)
+    assert [words_of(w, len(at)) for _, at, w in found] == [sorted(words[i] for i in at) for _, at, _ in found]
+    assert sorted(i for _, at, _ in found for i in at) == list(range(500))
+
+
+def test_words_of_texts():
+    texts = ["", " \t a\x1cB\x0b\x0cÉx  A\n", "ÀÉ\u00a0ß İ", "one", "\r\r"]
+    codes, text_of, words = words_in(pa.array(texts, pa.large_string()))
+    got = [[] for _ in texts]
+    for c, t in zip(codes, text_of, strict=True):
+        got[t].append(words[int(c)].as_py())
+    assert got == [t.encode().lower().split() for t in texts]
+
+
+def test_places_of_keys():
+    keys = np.unique(np.random.default_rng(5).integers(0, 1 << 56, 5000, np.uint64))
+    asked = np.tile(keys, 3)
+    assert (keys[Places(keys).of(asked)] == asked).all()
 
 
 def test_scores_against_brute_force(spark):
@@ -87,15 +95,14 @@ def test_scores_against_brute_force(spark):
     size = sum(c.values()) + 0.5 * (len(c) + 1)
     raw = [(t or "").encode() for d, t, _ in rows if not held(d)]
     want = sorted((d is None, d or 0, held(d), len(tokens(t)), sum(c[w] > 0 for w in tokens(t)), round(sum(math.log10((c[w] + 0.5) / size) for w in tokens(t)), 6)) for d, t, _ in rows)
-    for share in (2e-6, 0.05, 1.0):
-        out = lm_scores(docs, order=3, share=1e-3, word_share=share).collect()
+    for piece in (16 << 20, 200):  # one piece a task, and many
+        out = lm_scores(docs, order=3, piece_bytes=piece).collect()
         assert sorted((r.doc_id is None, r.doc_id or 0, r.held_out, r.n_tokens, r.n_known, round(r.base_score, 6)) for r in out) == want
         assert {r.train_tokens for r in out} == {sum(c.values())}
-    least = max(1.0, 1e-3 * sum(len(r) + 1 for r in raw))
     by_id = {r.doc_id: r.score for r in out}
     for d, t, _ in rows:
         if d not in (7, 8):
-            assert abs(by_id[d] - brute_ppm(raw, 3, least, (t or "").encode())) < 1e-3 * max(1, abs(by_id[d]))
+            assert abs(by_id[d] - brute_ppm(raw, 3, 1, (t or "").encode())) < 1e-3 * max(1, abs(by_id[d]))
 
 
 def test_empty_and_untrained(spark):
