@@ -1,4 +1,4 @@
-"""Exact top-k inner products: a ball tree per shard, branch and bound, shared k-th scores."""
+"""Exact top-k inner products: a ball tree for each shard, branch and bound, k-th scores shared from wave to wave."""
 
 from __future__ import annotations
 
@@ -9,9 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from eigenloom.llm._common import stash
+from eigenloom.llm._common import drop_stash, stash
 
 #: Sums of this size and more are not exact as doubles.
 EXACT = float(1 << 53)
@@ -48,8 +47,28 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a @ b.T
 
 
+def narrow(vectors: np.ndarray) -> np.ndarray:
+    """The same integers in the smallest type that holds them."""
+    low, high = int(vectors.min(initial=0)), int(vectors.max(initial=0))
+    return vectors.astype(next(t for t in (np.int8, np.int16, np.int32, np.int64) if np.iinfo(t).min <= low and high <= np.iinfo(t).max))
+
+
+NO_SCORE, NO_ID = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+
+
+def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of each row's candidates, by descending score, then ascending id; NO_SCORE where there are fewer."""
+    by = np.lexsort((ids, ~scores), axis=1)[:, :k]  # ~x is -x - 1, without overflow
+    return np.take_along_axis(scores, by, 1), np.take_along_axis(ids, by, 1)
+
+
 class BallTree:
-    """Balls around halves of halves of a shard's vectors; leaves hold at most `leaf` vectors, by ascending id."""
+    """Balls around halves of halves of a shard's vectors; leaves hold at most `leaf` vectors, by ascending id.
+
+    A ball is halved between two far points of it: the one farthest from its centre, and the one farthest from
+    that. A node bounds its vectors' products with a query twice, by the ball around its centre and by the cone
+    and the lengths they lie in; the smaller bound holds.
+    """
 
     def __init__(self, **arrays: np.ndarray):
         self.__dict__.update(arrays)
@@ -57,75 +76,97 @@ class BallTree:
     @classmethod
     def build(cls, ids: np.ndarray, vectors: np.ndarray, leaf: int = 256) -> dict[str, np.ndarray]:
         points = vectors.astype(np.float64)
-        order, center, radius, parent, span = np.arange(len(ids)), [], [], [], []
-        todo = [(0, len(ids), -1)]
-        at = 0
-        while at < len(todo):  # by level: a node's number is above its parent's
-            a, b, up = todo[at]
-            own = points[order[a:b]]
+        order = np.argsort(ids, kind="stable")
+        length = np.sqrt((points**2).sum(axis=1))
+        made: dict[str, list] = {name: [] for name in ("center", "radius", "cosine", "longest", "shortest", "child", "span")}
+        todo, at = [(0, len(ids))], 0
+        while at < len(todo):  # by level: a node's children have neighbouring numbers, above its own
+            a, b = todo[at]
+            own, norm = points[order[a:b]], length[order[a:b]]
             middle = own.mean(axis=0)
-            center.append(middle)
-            radius.append(np.sqrt(((own - middle) ** 2).sum(axis=1).max()) if len(own) and own.shape[1] else 0.0)
-            parent.append(up)
+            apart = np.sqrt(((own - middle) ** 2).sum(axis=1))
+            size = np.sqrt((middle**2).sum())
+            cosine = ((own @ middle) / np.maximum(norm * size, 1e-300)).min() if size > 0 and norm.min() > 0 else -1.0
+            for name, value in (("center", middle), ("radius", apart.max(initial=0.0)), ("cosine", max(-1.0, min(1.0, cosine))), ("longest", norm.max(initial=0.0)), ("shortest", norm.min(initial=0.0))):
+                made[name].append(value)
             if b - a <= leaf:
                 order[a:b] = order[a:b][np.argsort(ids[order[a:b]], kind="stable")]
-                span.append((a, b))
+                made["span"].append((a, b))
+                made["child"].append(-1)
             else:
-                axis = int(np.argmax(own.max(axis=0) - own.min(axis=0))) if own.shape[1] else 0
-                half = (b - a) // 2
-                if own.shape[1]:
-                    order[a:b] = order[a:b][np.argpartition(own[:, axis], half)]
-                span.append((-1, -1))
-                todo += [(a, a + half, at), (a + half, b, at)]
+                one = own[int(np.argmax(apart))]
+                other = own[int(np.argmax(((own - one) ** 2).sum(axis=1)))]
+                half = (b - a) // 2  # halves, so that equal vectors cannot make the tree deep
+                order[a:b] = order[a:b][np.argsort(own @ (other - one), kind="stable")]
+                made["span"].append((a, b))
+                made["child"].append(len(todo))
+                todo += [(a, a + half), (a + half, b)]
             at += 1
-        return {"ids": ids[order], "vectors": vectors[order], "center": np.array(center), "radius": np.array(radius), "parent": np.array(parent), "span": np.array(span)}
+        out = {name: np.array(value) for name, value in made.items()}
+        return out | {"ids": ids[order], "vectors": narrow(vectors[order])}
+
+    def bound(self, q: np.ndarray, norm: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+        """At least the largest product of each query with any vector of its node; rounding errors are added."""
+        center = self.center[nodes][:, : q.shape[1]]
+        q, full = q[:, : center.shape[1]], np.sqrt((self.center[nodes] ** 2).sum(axis=1))
+        along = (q * center).sum(axis=1)
+        ball = along + norm * self.radius[nodes]
+        cos_q = np.clip(along / np.maximum(norm * full, 1e-300), -1, 1)
+        cos_n = self.cosine[nodes]
+        # the angle to the query is at least that to the centre less the cone's
+        inside = np.where(cos_q >= cos_n, 1.0, cos_q * cos_n + np.sqrt((1 - cos_q**2) * (1 - cos_n**2)))
+        cone = norm * np.where(inside >= 0, self.longest[nodes], self.shortest[nodes]) * np.minimum(1.0, inside + 1e-7 * (inside >= 0))
+        cone = np.where(full > 0, cone + 1e-7 * norm * self.longest[nodes], np.inf)
+        return np.minimum(ball, cone) + 1 + 1e-9 * norm * (full + self.radius[nodes])
 
-    def search(self, queries: np.ndarray, own: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The shard's part of each query's top k: (scores, ids, visits), scores -2**63 where there is none.
+    def search(self, queries: np.ndarray, own: np.ndarray, best: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The queries' running best (scores and ids, k of each) after this shard, and the leaves each has visited.
 
-        `floor` is a score that k other candidates are known to reach; nodes whose bound is below the larger of
-        it and the k-th score found so far are cut. Each query visits leaves in descending order of their bound.
+        Depth first, all queries at once: each goes on from the node of the highest bound on its own stack, pushes
+        the children whose bound reaches its k-th score so far, and scans leaves. Bounds are worked out for
+        children of visited nodes alone, and a node that has fallen behind the k-th score is left out when its
+        turn comes. Ties with the k-th score are visited, since a smaller id may win.
         """
-        n, least = len(queries), np.iinfo(np.int64).min
-        best, who = np.full((n, k), least), np.full((n, k), np.iinfo(np.int64).max)
-        wide = min(queries.shape[1], self.center.shape[1])
-        q = queries[:, :wide].astype(np.float64)
-        norm = np.sqrt((queries.astype(np.float64) ** 2).sum(axis=1))
-        reach = self.radius + np.sqrt((self.center**2).sum(axis=1))
-        bound = q @ self.center[:, :wide].T + norm[:, None] * self.radius + 1 + 1e-9 * norm[:, None] * reach
-        alive = bound >= floor[:, None]
-        for node in range(1, len(self.parent)):
-            alive[:, node] &= alive[:, self.parent[node]]
-        leaves = np.flatnonzero(self.span[:, 0] >= 0)
-        bound = np.where(alive[:, leaves], bound[:, leaves], -np.inf)
-        order = np.argsort(-bound, axis=1, kind="stable")
-        active, visits = np.arange(n), np.zeros(n, np.int64)
-        for turn in range(len(leaves)):
-            leaf = order[active, turn]
-            edge = np.maximum(best[active, k - 1].astype(np.float64), floor[active])
-            go = (bound[active, leaf] >= edge) & (bound[active, leaf] > -np.inf)
-            active, leaf = active[go], leaf[go]
-            if not len(active):
-                break
-            visits[active] += 1
+        n, k = best.shape
+        q, norm = queries.astype(np.float64), np.sqrt((queries.astype(np.float64) ** 2).sum(axis=1))
+        best, who, visits = best.copy(), who.copy(), np.zeros(n, np.int64)
+        depth = int(np.ceil(np.log2(max(2, len(self.child))))) + 4
+        node, edge, top = np.zeros((n, 2 * depth), np.int64), np.full((n, 2 * depth), np.inf), np.ones(n, np.int64)
+        while True:
+            live = np.flatnonzero(top)
+            if not len(live):
+                return best, who, visits
+            top[live] -= 1
+            at, most = node[live, top[live]], edge[live, top[live]]
+            go = most >= best[live, k - 1].astype(np.float64)
+            live, at = live[go], at[go]
+            inner = self.child[at] >= 0
+            mine, child = live[inner], self.child[at[inner]]
+            if len(mine):
+                both = np.stack([self.bound(q[mine], norm[mine], child + i) for i in (0, 1)])
+                far = both.argmin(axis=0)
+                for turn in (far, 1 - far):  # the nearer one lies on top
+                    value = both[turn, np.arange(len(mine))]
+                    reach = value >= best[mine, k - 1].astype(np.float64)
+                    who_, at_ = mine[reach], top[mine[reach]]
+                    node[who_, at_], edge[who_, at_] = (child + turn)[reach], value[reach]
+                    top[who_] += 1
+            mine, leaf = live[~inner], at[~inner]
+            visits[mine] += 1
             for x in np.unique(leaf):
-                mine = active[leaf == x]
-                a, b = self.span[leaves[x]]
-                ids = self.ids[a:b]
-                score = products(queries[mine], self.vectors[a:b])
-                usable = ids[None, :] != own[mine, None]
-                new, at = np.full((len(mine), k), least), np.full((len(mine), k), np.iinfo(np.int64).max)
-                rows = np.arange(len(mine))
-                score = np.where(usable, score, least)
-                for i in range(min(k, b - a)):
-                    top = score.argmax(axis=1)  # the first of equals: the smallest id
-                    held = usable[rows, top]
-                    new[held, i], at[held, i] = score[rows, top][held], ids[top][held]
-                    score[rows, top], usable[rows, top] = least, False
-                both, ids_both = np.concatenate((best[mine], new), axis=1), np.concatenate((who[mine], at), axis=1)
-                by = np.lexsort((ids_both, -both.astype(np.float64) if np.abs(both[both > least]).max(initial=0) < EXACT else ~both), axis=1)[:, :k]
-                best[mine], who[mine] = np.take_along_axis(both, by, 1), np.take_along_axis(ids_both, by, 1)
-        return best, who, visits
+                self.scan(x, mine[leaf == x], queries, own, best, who)
+
+    def scan(self, leaf: int, mine: np.ndarray, queries: np.ndarray, own: np.ndarray, best: np.ndarray, who: np.ndarray) -> None:
+        a, b = self.span[leaf]
+        k, ids = best.shape[1], self.ids[a:b]
+        score = products(queries[mine], self.vectors[a:b].astype(np.int64))
+        score[ids[None, :] == own[mine, None]] = NO_SCORE
+        if b - a > 4 * k:  # what is below the leaf's own k-th score has no part
+            least = np.partition(score, b - a - k, axis=1)[:, b - a - k]
+            some = np.flatnonzero((score >= least[:, None]).any(axis=0))
+            score, ids = score[:, some], ids[some]
+        wide = np.broadcast_to(ids, score.shape)
+        best[mine], who[mine] = best_of(np.concatenate((best[mine], score), axis=1), np.concatenate((who[mine], np.where(score > NO_SCORE, wide, NO_ID)), axis=1), k)
 
 
 def quantised(vector: Column, scale: int = 256) -> Column:
@@ -134,14 +175,17 @@ def quantised(vector: Column, scale: int = 256) -> Column:
     return F.when(ok, F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("long")))
 
 
-def top_k(vectors: DataFrame, id_col: str, vector_col: str, k: int = 5, query_step: int = 50, shard_rows: int = 16_384, block_rows: int = 1024) -> DataFrame:
+def top_k(vectors: DataFrame, id_col: str, vector_col: str, k: int = 5, query_step: int = 50, shard_rows: int = 16_384, block_rows: int = 1024, waves: int = 3) -> DataFrame:
     """Highest `k` integer inner products for every row whose id is divisible by `query_step`, against all others.
 
     Vectors are quantised and dealt to shards of about `shard_rows` by a hash of the id; each shard's ball tree
-    is one row of a table. Queries are packed into blocks of about `block_rows`. A block first searches one
-    shard; the k-th scores it finds there go with it to all other shards as a floor, so most nodes there are
-    cut at once. A shard's task holds one tree and one block at a time. A query's at most k rows from each
-    shard are then ranked.
+    is one row of a table. Queries are packed into blocks of about `block_rows`. A block searches the shards in
+    `waves`: first one shard, then a few, then all the rest. After each wave its queries' best k of all shards
+    so far are merged, and their k-th scores are the floor from which the next wave's searches start. Within a
+    shard the search is branch and bound. A task holds one tree and one block at a time.
+
+    The bound on the work is honest, not small: an exact answer costs, for vectors that no ball tells apart,
+    queries x vectors products; what is sent is a block (its integers in the smallest type) for each shard.
 
     Returns query_id, rank (from 1), vec_id, score, by descending score, then ascending vec_id. Null vectors,
     vectors with null or non-finite components and null ids take no part. Rows that repeat an id count once,
@@ -149,61 +193,66 @@ def top_k(vectors: DataFrame, id_col: str, vector_col: str, k: int = 5, query_st
     lone vector has no candidates; an empty table gives no rows. Scores are exact modulo 2**64. Other columns
     are not read.
     """
-    spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col)).alias("v")).where("id is not null and v is not null")
     rows = stash(rows.groupBy("id").agg(F.min("v").alias("v")), "topk-rows")
     total, asked = rows.agg(F.count("*"), F.count(F.when(F.col("id") % query_step == 0, 1))).first()
     shards, blocks = max(1, -(-total // shard_rows)), max(1, -(-asked // block_rows))
 
     def build(t: pa.Table) -> pa.Table:
-        ids = t["id"].to_numpy()
-        made = BallTree.build(ids, stack([np.array(v, np.int64) for v in t["v"].to_pylist()]))
-        return pa.table({"shard": t["shard"][:1], "block": pa.array([dumps(**made)], pa.binary())})
+        made = BallTree.build(t["id"].to_numpy(), stack([np.array(v, np.int64) for v in t["v"].to_pylist()]))
+        return pa.table({"shard": t["shard"][:1], "tree": pa.array([dumps(**made)], pa.binary())})
 
     def gather(t: pa.Table) -> pa.Table:
         ids = t["id"].to_numpy()
-        made = dumps(ids=ids, vectors=stack([np.array(v, np.int64) for v in t["v"].to_pylist()]), floor=np.full(len(ids), -np.inf))
-        return pa.table({"part": t["part"][:1], "block": pa.array([made], pa.binary())})
+        made = dumps(ids=ids, vectors=narrow(stack([np.array(v, np.int64) for v in t["v"].to_pylist()])))
+        state = dumps(best=np.full((len(ids), k), NO_SCORE), who=np.full((len(ids), k), NO_ID))
+        return pa.table({"part": t["part"][:1], "queries": pa.array([made], pa.binary()), "state": pa.array([state], pa.binary())})
 
     placed = rows.withColumn("shard", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(shards)))
-    trees = stash(placed.groupBy("shard").applyInArrow(build, "shard long, block binary"), "topk-trees")
+    trees = stash(placed.groupBy("shard").applyInArrow(build, "shard long, tree binary"), "topk-trees")
     packed = rows.where(F.col("id") % query_step == 0).withColumn("part", F.pmod(F.xxhash64("id", F.lit(2)), F.lit(blocks)))
-    packed = stash(packed.groupBy("part").applyInArrow(gather, "part long, block binary"), "topk-queries")
+    packed = stash(packed.groupBy("part").applyInArrow(gather, "part long, queries binary, state binary"), "topk-queries")
+    queries, state = packed.select("part", "queries"), packed.select("part", "state")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, shard = None, None
         for batch in batches:
-            for at, part, block in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for at, part, block, before in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if part < 0:
                     tree, shard = BallTree(**loads(block)), at
                     continue
                 if shard != at:
                     continue  # a shard without rows
-                q = loads(block)
-                best, who, _ = tree.search(q["vectors"], q["ids"], q["floor"], k)
-                held = best > np.iinfo(np.int64).min
-                kth = np.where(held[:, k - 1], best[:, k - 1].astype(np.float64), -np.inf)
-                back = dumps(ids=q["ids"], vectors=q["vectors"], floor=np.maximum(q["floor"], kth))
-                n = int(held.sum())
-                found = {
-                    "part": pa.array([part] + [None] * n, pa.int64()),
-                    "block": pa.array([back] + [None] * n, pa.binary()),
-                    "query_id": pa.array([None, *np.repeat(q["ids"], held.sum(axis=1)).tolist()], pa.int64()),
-                    "vec_id": pa.array([None, *who[held].tolist()], pa.int64()),
-                    "score": pa.array([None, *best[held].tolist()], pa.int64()),
-                }
-                yield pa.RecordBatch.from_arrays(list(found.values()), list(found))
-
-    def against(queries: DataFrame, name: str) -> DataFrame:
-        """Search each (shard, part, block) in its shard."""
-        both = trees.select("shard", F.lit(-1).cast("long").alias("part"), "block").unionByName(queries)
+                q, held = loads(block), loads(before)
+                best, who, _ = tree.search(q["vectors"].astype(np.int64), q["ids"], held["best"], held["who"])
+                yield pa.RecordBatch.from_pydict({"part": [part], "state": pa.array([dumps(best=best, who=who)], pa.binary())})
+
+    def merge(t: pa.Table) -> pa.Table:
+        parts = [loads(x) for x in t["state"].to_pylist()]
+        best, who = parts[0]["best"], parts[0]["who"]
+        for x in parts[1:]:
+            new = ~(x["who"][:, :, None] == who[:, None, :]).any(axis=2)  # all parts hold what the wave began with
+            best, who = best_of(np.concatenate((best, np.where(new, x["best"], NO_SCORE)), axis=1), np.concatenate((who, np.where(new, x["who"], NO_ID)), axis=1), k)
+        return pa.table({"part": t["part"][:1], "state": pa.array([dumps(best=best, who=who)], pa.binary())})
+
+    # the shards of a block's waves, counted from a place of its own so that no shard is first for all
+    bounds = sorted({0, min(1, shards), *(min(shards, round(shards ** (i / waves))) for i in range(1, waves)), shards})
+    for first, last in zip(bounds, bounds[1:], strict=False):
+        of_wave = F.transform(F.sequence(F.lit(first).cast("long"), F.lit(last - 1).cast("long")), lambda i: F.pmod(F.xxhash64("part") + i, F.lit(shards)))
+        asks = queries.join(state, "part").select(F.explode(of_wave).alias("shard"), "part", F.col("queries").alias("block"), "state")
+        both = trees.select("shard", F.lit(-1).cast("long").alias("part"), F.col("tree").alias("block"), F.lit(None).cast("binary").alias("state")).unionByName(asks)
         dealt = both.repartition(min(shards, 2000), "shard").sortWithinPartitions("shard", "part")
-        return stash(dealt.mapInArrow(search, "part long, block binary, query_id long, vec_id long, score long"), name)
-
-    first = against(packed.select(F.pmod("part", F.lit(shards)).alias("shard"), "part", "block"), "topk-first")
-    onward = first.where("part is not null").select("part", "block")
-    others = F.filter(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")), lambda s: s != F.pmod(F.col("part"), F.lit(shards)))
-    rest = against(onward.select(F.explode(others).alias("shard"), "part", "block"), "topk-rest")
-    found = first.where("part is null").unionByName(rest.where("part is null")).select("query_id", "vec_id", "score")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        found = dealt.mapInArrow(search, "part long, state binary").unionByName(state)  # a wave of shards without rows leaves the state
+        after = stash(found.groupBy("part").applyInArrow(merge, "part long, state binary"), "topk-state")
+        if first:
+            drop_stash(state)
+        state = after
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids, x = loads(block)["ids"], loads(held)
+                row, rank = np.nonzero(x["best"] > NO_SCORE)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array((rank + 1).astype(np.int32)), pa.array(x["who"][row, rank]), pa.array(x["best"][row, rank])], ["query_id", "rank", "vec_id", "score"])
+
+    return queries.join(state, "part").select("queries", "state").mapInArrow(listed, "query_id long, rank int, vec_id long, score long")

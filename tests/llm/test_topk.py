@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 
-from eigenloom.llm.topk import BallTree, top_k
+from eigenloom.llm.topk import NO_ID, NO_SCORE, BallTree, top_k
 
 
 def brute(rows, k=5, step=50):
@@ -43,13 +43,42 @@ def test_few_rows_and_large_components(spark):
     assert top_k(docs.where("vec_id = 0"), "vec_id", "embedding").count() == 0
 
 
+def empty(n, k=5):
+    return np.full((n, k), NO_SCORE), np.full((n, k), NO_ID)
+
+
 def test_a_floor_cuts_leaves():
     rng = np.random.default_rng(1)
     centers = rng.normal(0, 300, (40, 4))
     vectors = np.floor(centers[rng.integers(0, 40, 4000)] + rng.normal(0, 5, (4000, 4))).astype(np.int64)
     tree = BallTree(**BallTree.build(np.arange(4000), vectors, leaf=50))
     q, own = vectors[:20], np.arange(20)
-    best, _, visits = tree.search(q, own, np.full(20, -np.inf), 5)
-    again, _, fewer = tree.search(q, own, best[:, 4].astype(float), 5)
-    assert (best == again).all() and visits.mean() < 20 and (fewer <= visits).all()
+    best, who, visits = tree.search(q, own, *empty(20))
+    floor = best.copy()
+    floor[:, :] = best[:, 4:]
+    again, _, fewer = tree.search(q, own, floor - 1, np.full((20, 5), NO_ID))
+    assert (best == again).all() and visits.mean() < 10 and (fewer <= visits).all()
     assert (np.sort(np.where(np.arange(4000) == own[:, None], -(2**62), q @ vectors.T), axis=1)[:, :-6:-1] == best).all()
+    assert ((q[:, None, :] * vectors[who]).sum(axis=2) == best).all()
+
+
+def test_bounds_hold():
+    rng = np.random.default_rng(3)
+    for vectors in (rng.integers(-400, 400, (500, 8)), rng.integers(900, 1000, (500, 3)), np.zeros((40, 3), np.int64), np.array([[5, 0], [-5, 0], [0, 0]] * 30)):
+        tree = BallTree(**BallTree.build(np.arange(len(vectors)), vectors, leaf=10))
+        q = rng.integers(-300, 300, (30, vectors.shape[1])).astype(float)
+        q[0] = 0
+        norm = np.sqrt((q**2).sum(axis=1))
+        for x in range(len(tree.child)):
+            a, b = tree.span[x]
+            most = (q @ tree.vectors[a:b].astype(float).T).max(axis=1)
+            assert (tree.bound(q, norm, np.full(30, x)) >= most).all()
+
+
+def test_waves_clashing_columns_and_repeats(spark):
+    rng = random.Random(7)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(4)], i, "s", -1) for i in range(300)] * 2
+    docs = spark.createDataFrame(rows, "id long, v array<float>, shard long, state string, part int")
+    want = brute([r[:2] for r in rows])
+    for waves in (1, 2, 4):
+        assert as_rows(top_k(docs, "id", "v", shard_rows=16, block_rows=3, waves=waves)) == want
