@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from eigenloom.llm.rans import SCALE_BITS, Segment, Table, decode_block, encode_block, read_ids, write_ids
+from eigenloom.llm.rans import SCALE_BITS, Block, Table, encode_block, opened, read_ids, segment_row, units_of, write_ids
 from eigenloom.llm.tokenization import encode_decode
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -28,30 +28,43 @@ def test_blocks_round_trip_and_start_at_checkpoints():
         assert int(table.short.sum()) == 1 << SCALE_BITS and table.short.min() >= 1
         table = Table.load(table.dump())
         raw = encode_block(ids, table, max_lanes=16, checkpoint_steps=32)
-        assert (decode_block(raw, table) == ids).all()
+        block = Block(raw, table)
+        assert (np.concatenate([block.decode(u) for u in range(block.units)]) == ids).all()
         lanes = max(1, min(16, n // 64))
-        steps = -(-n // lanes)
-        for first in range(32, steps, 32 * max(1, steps // 160)):
-            assert (decode_block(raw, table, first, first + 9) == ids[first * lanes : (first + 9) * lanes]).all()
+        assert block.units == units_of(n, lanes, 32) and (block.units > 3 or n < 5000)
+        for unit in reversed(range(block.units)):  # any stretch by itself, from its checkpoint
+            a = unit * 32 * lanes
+            assert (Block(raw, table).decode(unit) == ids[a : a + 32 * lanes]).all()
         with pytest.raises(ValueError):
-            decode_block(raw[:30] + bytes([raw[30] ^ 1]) + raw[31:], table)
+            Block(raw[:30] + bytes([raw[30] ^ 1]) + raw[31:], table)
+    wrong = Block(raw, table)
+    wrong.words = wrong.words.copy()
+    wrong.words[wrong.places[3]] ^= 1
+    with pytest.raises(ValueError):
+        wrong.decode(3)
+    assert (wrong.decode(0) == ids[: 32 * lanes]).all()  # the other stretches stand
     entropy = -(p := np.bincount(ids) / n)[p > 0] @ np.log2(p[p > 0]) * n / 8
     assert len(encode_block(ids, Table.of(ids), max_lanes=16, checkpoint_steps=1 << 20)) < 1.02 * entropy + 400
 
 
-def test_segment_round_trip():
-    ids = [np.array([5, 2], np.uint32), np.array([2], np.uint32), np.arange(900, dtype=np.uint32)]
-    segment = Segment(Segment.dump([4, None, -3], ids, block_tokens=100))
-    assert segment.doc_ids == [4, None, -3] and len(segment.blocks) == 10
-    assert (segment.decode() == np.concatenate(ids)).all()
-    assert len(Segment(Segment.dump([], [])).decode()) == 0
+def test_blocks_of_a_segment_end_with_documents():
+    ids = [np.array([5, 2], np.uint32), np.array([2], np.uint32), np.arange(900, dtype=np.uint32), np.array([7] * 60 + [2], np.uint32), np.array([2], np.uint32)]
+    freq, blocks = segment_row([4, None, -3, 4, 9], ids, 100, max_lanes=4, checkpoint_steps=8)
+    assert [b["doc_ids"] for b in blocks] == [[4, None, -3], [4, 9]] and [b["start"] for b in blocks] == [0, 903]
+    table = opened(freq)
+    for b, part in zip(blocks, (ids[:3], ids[3:]), strict=True):
+        block = Block(b["payload"], table)
+        assert block.units == b["units"] and (np.concatenate([block.decode(u) for u in range(block.units)]) == np.concatenate(part)).all()
+    with pytest.raises(ValueError):
+        opened(freq[:9] + bytes([freq[9] ^ 4]) + freq[10:])
+    assert segment_row([], [], 100)[1] == []
 
 
 def test_files_against_the_library(spark, tmp_path):
     library = Tokenizer.from_file(PATH)
     rows = [(1000 - 7 * i, t, "n") for i, t in enumerate(texts())] + [(None, "null id", None), (1000, "again", "n"), (1000, "again", "n")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string").repartition(3)
-    write_ids(docs, str(tmp_path / "f"), PATH, segment_tokens=700)
+    write_ids(docs, str(tmp_path / "f"), PATH, segment_tokens=700, block_tokens=150, max_lanes=4, checkpoint_steps=8)
     out = sorted(read_ids(spark, str(tmp_path / "f")).withColumn("crc", F.crc32("ids")).collect(), key=lambda r: r.start)
     ids_of = lambda t: library.encode(t or "", add_special_tokens=False).ids + [2]
     key = lambda r: (r[0] is not None, r[0] or 0)
