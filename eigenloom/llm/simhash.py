@@ -124,18 +124,24 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, blocks:
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 3, distance: int = 2, blocks: int = 5) -> DataFrame:
-    """The documents without near-duplicates of a smaller doc_id: one of each component, with all its columns.
+def with_text_key(docs: DataFrame) -> DataFrame:
+    """The documents with a 128-bit key of their text, in _k1 and _k2; null counts as empty."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.withColumns({"_k1": F.xxhash64(text), "_k2": F.xxhash64(F.lit(SEED), text)})
 
-    Of rows that repeat a kept doc_id, one stays. Rows with a null doc_id cannot be named as a component's
-    document and all stay. The join is a merge at every size, since what is kept grows with the corpus.
-    """
-    return keep_named(docs, near_duplicates(docs, words, distance, blocks))
 
+def keep_one(docs: DataFrame, components_of: DataFrame) -> DataFrame:
+    """Exactly one row of each component, with all its columns: the smallest doc_id (null last), then text key.
 
-def keep_named(docs: DataFrame, components_of: DataFrame) -> DataFrame:
-    """The documents that the component_id of `components_of` names, and those with a null doc_id."""
-    ids = components_of.where("component_id is not null").select(F.col("component_id").alias("_kept")).distinct()
-    named = docs.where("doc_id is not null")
-    kept = named.join(ids.hint("merge"), named["doc_id"].cast("long") == ids["_kept"], "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    `components_of` has _k1, _k2 and root for each distinct text of `docs`. Rows are told apart by doc_id and
+    text, so rows that share a doc_id but not a text stand for their own components; of rows equal in both, one
+    stays. Texts are shuffled once, by a merge at every size, since what is kept grows with the corpus.
+    """
+    doc = F.col("doc_id").cast("long")
+    rows = with_text_key(docs).withColumns({"_d": F.coalesce(doc, F.lit(0)), "_n": doc.isNull()})
+    key = ["_n", "_d", "_k1", "_k2"]
+    least = F.min(F.struct(*key))
+    # the least row of each text first, so that a hot group of copies costs a row from each task
+    texts = rows.select(*key).groupBy("_k1", "_k2").agg(least.alias("row"))
+    named = texts.join(components_of, ["_k1", "_k2"]).groupBy("root").agg(F.min("row").alias("row")).select("row.*")
+    return rows.join(named.hint("merge"), key, "left_semi").dropDuplicates(key).drop(*key)

@@ -10,8 +10,7 @@ import corpus_pipeline
 from eigenloom.llm.quality import fit_rules
 from eigenloom.llm.toxicity import fit_toxicity
 from tests.llm.test_quality import brute, brute_buckets
-from tests.llm.test_simhash import brute as fingerprint
-from tests.llm.test_simhash import brute_components
+from tests.llm.test_resemblance import least_of
 
 
 @pytest.fixture(scope="module")
@@ -54,11 +53,7 @@ def test_stages_against_brute_force(spark, folder):
     assert all("###" not in r[1] for r in b)
 
     third = corpus_pipeline.near_duplicates(spark, second, folder)
-    fp = {r[1]: fingerprint(r[1]) for r in b}
-    roots = brute_components(set(fp.values()), lambda x, y: (x ^ y).bit_count() <= 2)
-    least = {}
-    for r in b:
-        least[roots[fp[r[1]]]] = min(r[0], least.get(roots[fp[r[1]]], 1 << 60))
+    least = {x: x for x in least_of([(r[0], r[1]) for r in b]).values()}
     assert sorted(r.doc_id for r in third.collect()) == sorted(least.values()) and len(least) < len(b)
 
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
@@ -71,3 +66,14 @@ def test_stages_against_brute_force(spark, folder):
         assert all(zlib.crc32(np.array(ids[s : s + n], "<u4").tobytes()) == c for s, n, c in pieces)
         assert sum(n for _, n, _ in pieces) == len(ids)
     assert {r.doc_id for r in last} == set(least.values())
+
+
+def test_an_empty_table_and_null_ids(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    words = " ".join(f"word{i} over the hill and far" for i in range(12))
+    for name, rows in (("none", []), ("nulls", [(None, words, "en", "s", 1), (None, None, None, None, None), (4, words, "en", "s", 1), (4, words + " again", "en", "s", 2)])):
+        path = f"{tmp_path}/{name}"
+        spark.createDataFrame(rows, schema).write.parquet(f"{path}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+        out = corpus_pipeline.run(spark, path).collect()
+        assert {r.doc_id for r in out} == ({4} if rows else set())

@@ -1,7 +1,8 @@
 import random
 
 import corpus_pipeline
-from eigenloom.llm.resemblance import near_copies
+from eigenloom.llm.resemblance import near_copies, without_copies
+from eigenloom.llm.simhash import with_text_key
 from tests.llm.test_simhash import brute_components
 
 
@@ -51,8 +52,12 @@ def test_planted_edited_copies_against_brute_force(spark):
     want = least_of([r for r in rows if r[0] != 2])
     docs = spark.createDataFrame([r for r in rows if r[0] != 2], "doc_id long, text string")
     for cap in (2, 32):
-        got = {r.doc_id: r.component_id for r in near_copies(docs, bucket_pairs=cap).collect() if r.doc_id is not None}
-        assert got == want
+        found = near_copies(docs, bucket_pairs=cap, centres=2, rounds=2)
+        rows_of = with_text_key(docs).join(found, ["_k1", "_k2"]).where("doc_id is not null").collect()
+        least = {}
+        for r in rows_of:
+            least[r.root] = min(r.doc_id, least.get(r.root, 1 << 60))
+        assert {r.doc_id: least[r.root] for r in rows_of} == want
     assert sum(want[100 + i] == i for i in range(30) if i != 2) == 29
 
 
@@ -63,3 +68,19 @@ def test_the_stage_removes_edited_copies(spark):
     kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), "")
     assert sorted(map(tuple, kept.collect())) == [rows[0], rows[2]]
     assert near_copies(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_one_row_of_each_component_by_row(spark):
+    """Rows that share a doc_id but not a text stand for their own texts; null ids, copies and clashing columns."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    schema = "doc_id long, text string, root string, node string"
+    for rows, want in (
+        ([(1, b), (5, b), (5, a)], [(1, b), (5, a)]),
+        ([(5, a), (5, b), (1, b)], [(1, b), (5, a)]),
+        ([(None, a), (None, b), (7, b), (7, b), (7, c)], [(None, a), (7, b), (7, c)]),
+        ([(3, None), (2, ""), (None, " \n")], [(2, "")]),
+        ([], []),
+    ):
+        docs = spark.createDataFrame([(*r, "x", "y") for r in rows], schema)
+        kept = [tuple(r) for r in without_copies(docs).collect()]
+        assert sorted(kept, key=str) == sorted([(*r, "x", "y") for r in want], key=str)
