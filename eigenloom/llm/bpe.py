@@ -252,7 +252,7 @@ class Encoder:
     it lacks are merged. The ids of up to `memo_words` merged words are kept; beyond that they start afresh.
     """
 
-    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None, memo_words: int = 800_000):
+    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None, memo_words: int = 300_000):
         self.vocabulary, self.lexicon, self.memo_words = vocabulary, lexicon, memo_words
         self.memo: dict[str, bytes] = {}
         self.special = re.compile("|".join(map(re.escape, sorted(vocabulary.added, key=len, reverse=True)))) if vocabulary.added else None

@@ -22,7 +22,7 @@ _MIX = np.uint64(0xFF51AFD7ED558CCD)
 class _Hashes(dict):
     """Hash of each word; starts afresh when it holds `bound` words."""
 
-    bound = 1_000_000
+    bound = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.bound:

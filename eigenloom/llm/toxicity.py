@@ -33,6 +33,20 @@ def terms(text: str | None) -> set[str]:
     return set(chain.from_iterable(map(voters_of, set(LETTERS.findall(text.lower()))))) if text else set()
 
 
+def _slices(n: int) -> list[slice]:
+    return [slice(a, a + 1024) for a in range(0, n, 1024)]
+
+
+def _of_columns(weight: np.ndarray, votes: np.ndarray) -> np.ndarray:
+    """weight @ votes for votes of one byte each, a thousand rows at a time."""
+    return sum((weight[..., s] @ votes[s].astype(float) for s in _slices(len(votes))), np.zeros((*weight.shape[:-1], votes.shape[1])))
+
+
+def _of_rows(votes: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """votes @ weight, likewise."""
+    return np.concatenate([np.zeros(0), *(votes[s].astype(float) @ weight for s in _slices(len(votes)))])
+
+
 def label_model(votes: np.ndarray, toxic: np.ndarray, labels: np.ndarray, prior: float, rounds: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Posterior of each row, voters' and the labels' rates of firing on toxic and clean rows, and shares of evidence.
 
@@ -46,21 +60,26 @@ def label_model(votes: np.ndarray, toxic: np.ndarray, labels: np.ndarray, prior:
     """
     n, m = votes.shape
     base = float(np.log(prior / (1 - prior)))
-    balance = votes @ np.where(toxic, 1.0, -1.0) + np.where(labels == 1, 1.0, -1.0)
+    votes = votes.astype(np.uint8)
+    together = sum((votes[s].T.astype(float) @ votes[s].astype(float) for s in _slices(n)), np.zeros((m, m)))
+    balance = _of_rows(votes, np.where(toxic, 1.0, -1.0)) + np.where(labels == 1, 1.0, -1.0)
     post = 1 / (1 + np.exp(-np.clip(np.where(balance > 0, 2 * balance, base + 2 * balance), -30, 30)))
     rates, held, share = np.zeros((2, m)), np.zeros(2), np.ones(m)
     for _ in range(rounds):
         weight = np.stack((post, 1 - post))
         mass = weight.sum(axis=1)
-        rates = (weight @ votes + 0.5) / (mass[:, None] + 1)
+        fired = _of_columns(weight, votes)
+        rates = (fired + 0.5) / (mass[:, None] + 1)
         held = (weight @ (labels == 1) + 0.5) / (mass + 1)
-        centred = votes - (post[:, None] * rates[0] + (1 - post)[:, None] * rates[1])
-        spread = np.sqrt((centred**2).sum(axis=0)) + 1e-9
-        tied = 0.9 * np.maximum(0, (centred.T @ centred) / spread[:, None] / spread)
+        # products of what is left of the votes without the expected ones, weight.T @ rates
+        cross = fired.T @ rates
+        tied = together - cross - cross.T + rates.T @ (weight @ weight.T) @ rates
+        spread = np.sqrt(np.maximum(0, tied.diagonal())) + 1e-9
+        tied = 0.9 * np.maximum(0, tied / spread[:, None] / spread)
         np.fill_diagonal(tied, 1)
         share = np.clip(np.linalg.solve(tied, np.ones(m)), 0, 1) if m else share
         fired, silent = np.log(rates[0] / rates[1]), np.log((1 - rates[0]) / (1 - rates[1]))
-        odds = np.log(mass[0] / mass[1]) + votes @ (share * (fired - silent)) + (share * silent).sum()
+        odds = np.log(mass[0] / mass[1]) + _of_rows(votes, share * (fired - silent)) + (share * silent).sum()
         odds += np.where(labels == 1, np.log(held[0] / held[1]), np.log((1 - held[0]) / (1 - held[1])))
         before, post = post, 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
         if np.abs(post - before).max(initial=0) < 1e-4:
@@ -68,14 +87,24 @@ def label_model(votes: np.ndarray, toxic: np.ndarray, labels: np.ndarray, prior:
     return post, rates, held, share
 
 
-def fit_linear(x: np.ndarray, target: np.ndarray, ridge: float = 2.0, rounds: int = 12) -> np.ndarray:
-    """Logistic regression on soft targets by Newton steps; the last weight is the intercept, which is not shrunk."""
-    x = np.column_stack((x, np.ones(len(x))))
-    w, shrink = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
+def fit_linear(votes: np.ndarray, dense: np.ndarray, target: np.ndarray, ridge: float = 2.0, rounds: int = 12) -> np.ndarray:
+    """Logistic regression of soft targets on votes (one byte each) and dense columns, by Newton steps.
+
+    The last weight is the intercept, which is not shrunk. A thousand rows are taken at a time, so memory is that
+    of the votes and a matrix of the voters' number squared.
+    """
+    rows_of = lambda s: np.column_stack((votes[s].astype(float), dense[s], np.ones(len(target[s]))))
+    size = votes.shape[1] + dense.shape[1] + 1
+    w, shrink = np.zeros(size), np.full(size, ridge)
     shrink[-1] = 1e-6
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(shrink), x.T @ (target - p) - shrink * w)
+        curve, slope = np.diag(shrink), -shrink * w
+        for s in _slices(len(target)):
+            x = rows_of(s)
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            curve += (x * (p * (1 - p) + 1e-6)[:, None]).T @ x
+            slope += x.T @ (target[s] - p)
+        step = np.linalg.solve(curve, slope)
         w += step
         if np.abs(step).max() < 1e-4:
             break
@@ -85,7 +114,7 @@ def fit_linear(x: np.ndarray, target: np.ndarray, ridge: float = 2.0, rounds: in
 class Toxicity:
     """The fitted classifier: voters' weights, the weight of how many vote for toxic, and the intercept."""
 
-    bound = 500_000  # words whose voters a worker keeps
+    bound = 200_000  # words whose voters a worker keeps
 
     def __init__(self, weights: dict[str, float], count_weight: float, intercept: float, toxic: frozenset[str] = frozenset()):
         self.weights, self.count_weight, self.intercept, self.toxic = weights, count_weight, intercept, toxic
@@ -187,12 +216,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = 10_000, lea
     rows = sorted(map_arrow(sample, mark, "doc_id long, toxic int, hits array<int>").collect(), key=lambda r: (r.doc_id, r.hits))
     drop_stash(sample)
     y = np.array([r.toxic for r in rows], np.int64)
-    votes = np.zeros((len(rows), len(voters)))
+    votes = np.zeros((len(rows), len(voters)), np.uint8)
     for i, r in enumerate(rows):
         votes[i, r.hits] = 1
     toxic = for_toxic[voters]
     post, _, _, _ = label_model(votes, toxic, y, (sick + 0.5) / (sick + well + 1))
-    w = fit_linear(np.column_stack((votes, np.log1p(votes @ toxic))), post)
+    w = fit_linear(votes, np.log1p(_of_rows(votes, toxic.astype(float)))[:, None], post)
     return Toxicity({pool[v][0]: float(w[k]) for k, v in enumerate(voters)}, float(w[-2]), float(w[-1]), frozenset(pool[v][0] for v, t in zip(voters, toxic, strict=True) if t))
 
 

@@ -127,5 +127,5 @@ def test_correlated_voters_share_their_evidence():
     post, rates, _, share = label_model(np.column_stack((a, a, a, b)), np.ones(4, bool), y, 0.3)
     assert share[0] < 0.4 and share[3] > 0.9
     assert abs(rates[0, 3] - 0.6) < 0.08 and abs(rates[1, 3] - 0.1) < 0.05
-    w = fit_linear(np.column_stack((a, b)), post)
+    w = fit_linear(np.column_stack((a, b)).astype(np.uint8), np.zeros((2000, 0)), post)
     assert w[0] > 0 and w[1] > 0 and w[2] < 0
