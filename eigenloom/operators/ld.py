@@ -136,13 +136,42 @@ def clump(pairs: DataFrame, variants: DataFrame, assoc: DataFrame, p1: float = 1
 
 
 def decay_bins(pairs: DataFrame, window_bp: int, bins: int = 500) -> DataFrame:
-    """Pairs of each chromosome in bins of equal numbers by distance: number, mean and deviation of r2."""
-    w = Window.partitionBy("chr").orderBy(F.col("bp_k") - F.col("bp_i"), "i", "k")
-    tiled = pairs.where("r2 is not null").withColumn("bin", F.ntile(bins).over(w))
-    out = tiled.groupBy("chr", "bin").agg(F.count("*").alias("num"), F.avg("r2").alias("avg_r2"), F.stddev_samp("r2").alias("std"))
+    """Pairs of each chromosome in bins of equal numbers by distance: number, mean and deviation of r2.
+
+    A pair's rank in its chromosome is the number of pairs at smaller distances, from the counts by distance,
+    and its rank among those at its own, so no task sorts a chromosome's pairs.
+    """
+    held = pairs.where("r2 is not null").withColumn("gap", F.col("bp_k") - F.col("bp_i"))
+    counts = held.groupBy("chr", "gap").agg(F.count("*").alias("here"))
+    by_gap = Window.partitionBy("chr").orderBy("gap").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("before", F.coalesce(F.sum("here").over(by_gap), F.lit(0))).withColumn("total", F.sum("here").over(Window.partitionBy("chr"))).drop("here")
+    own = F.row_number().over(Window.partitionBy("chr", "gap").orderBy("i", "k"))
+    rank = held.join(counts, ["chr", "gap"]).withColumn("rank", F.col("before") + own - 1)
+    size, larger = F.floor(F.col("total") / bins), F.col("total") % bins  # the first bins hold one more
+    edge = larger * (size + 1)
+    tile = F.when(F.col("rank") < edge, F.floor(F.col("rank") / (size + 1))).otherwise(larger + F.floor((F.col("rank") - edge) / F.greatest(size, F.lit(1))))
+    out = rank.withColumn("bin", (tile + 1).cast("int")).groupBy("chr", "bin").agg(F.count("*").alias("num"), F.avg("r2").alias("avg_r2"), F.stddev_samp("r2").alias("std"))
     return out.withColumn("distance", F.col("bin") * (window_bp / bins)).select("chr", "distance", "num", "avg_r2", "std")
 
 
+def cumulative_mean(pairs: DataFrame) -> DataFrame:
+    """Mean r2 of all pairs of a chromosome up to each distance, from sums by distance: chr, distance, mean_r2."""
+    w = Window.partitionBy("chr").orderBy("distance")
+    return distance_summary(pairs).withColumn("mean_r2", F.sum("r2_total").over(w) / F.sum("num_pairs").over(w)).select("chr", "distance", "mean_r2")
+
+
+def chromosome_runs(variants: DataFrame) -> DataFrame:
+    """First and last place and number of each chromosome's variants; an error if a chromosome's lie apart.
+
+    A list in the order of its file has each chromosome in one run exactly if its places are gapless.
+    """
+    runs = variants.groupBy("chr").agg(F.min("variant_idx").alias("first"), F.max("variant_idx").alias("last"), F.count("*").alias("n"))
+    torn = [r.chr for r in runs.where(F.col("last") - F.col("first") + 1 != F.col("n")).limit(3).collect()]
+    if torn:
+        raise ValueError(f"the variants of chromosomes {torn} do not lie together")
+    return runs
+
+
 def distance_summary(pairs: DataFrame) -> DataFrame:
     """Sum of r2 and number of pairs at each distance of each chromosome."""
     return pairs.groupBy("chr", (F.col("bp_k") - F.col("bp_i")).alias("distance")).agg(F.sum("r2").alias("r2_total"), F.count("r2").alias("num_pairs"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from eigenloom.operators.variants import with_each, with_frequency
 
@@ -85,8 +86,6 @@ def pack_counts(cells: DataFrame, value: str = "x") -> tuple[DataFrame, list[str
     lens = rows.where(F.size("g") != len(samples)).limit(1).collect()
     if lens:
         raise ValueError(f"feature {lens[0].feature} does not have a value for every sample")
-    names = [r[0] for r in rows.select("feature").orderBy("feature").collect()]
-    index = F.create_map(*(F.lit(v) for i, n in enumerate(names) for v in (n, i))) if len(names) < 1000 else None
-    if index is not None:
-        return rows.select(F.element_at(index, F.col("feature")).cast("long").alias("variant_idx"), F.col("feature").alias("id"), "g"), samples
-    return rows.select(F.xxhash64("feature").alias("variant_idx"), F.col("feature").alias("id"), "g"), samples
+    # a row's number is its name's rank, at every size; the window sorts names alone
+    ranks = rows.select("feature").withColumn("variant_idx", F.row_number().over(Window.orderBy("feature")).cast("long") - 1)
+    return rows.join(ranks, "feature").select("variant_idx", F.col("feature").alias("id"), "g"), samples

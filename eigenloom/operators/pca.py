@@ -347,3 +347,13 @@ def residuals(rows: DataFrame, u: np.ndarray, column: str = "x") -> DataFrame:
         return batch_of(schema, column_of(b, "variant_idx"), r - r.mean(axis=1, keepdims=True))
 
     return map_rows(rows.select(*keep, column), fn, schema)
+
+
+def residuals_of_model(rows: DataFrame, u: np.ndarray, s: np.ndarray, loadings: DataFrame, column: str = "x") -> DataFrame:
+    """x - U S v of each variant, with the model's own loadings (variant_idx, v array<double>): (variant_idx, r)."""
+    shared = rows.sparkSession.sparkContext.broadcast(u * s)
+
+    def fn(b: pa.RecordBatch) -> pa.RecordBatch:
+        return batch_of("variant_idx long, r array<double>", column_of(b, "variant_idx"), rows_of(b, column) - rows_of(b, "v") @ shared.value.T)
+
+    return map_rows(rows.select("variant_idx", column).join(loadings.select("variant_idx", "v"), "variant_idx"), fn, "variant_idx long, r array<double>")

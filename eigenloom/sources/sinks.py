@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eigenloom.functions.stats import significant
@@ -80,3 +80,33 @@ def residual_block(rows: DataFrame, samples: int, variants: int) -> bytes:
     """Bytes of a residual matrix file, for matrices that fit one machine; larger ones stay Parquet tables."""
     data = [r.r for r in rows.orderBy("variant_idx").select("r").collect()]
     return np.array([variants, samples], "<u4").tobytes() + np.array(data, "<f4").tobytes()
+
+
+def write_statistics(found: DataFrame, variants: DataFrame, path: str, columns: list[str]) -> None:
+    """A name and six-digit numbers for each variant: .galinsky, .galinsky.pval, .zscore and the .pcadapt tables."""
+    rows = found.join(variants.select("variant_idx", "id"), "variant_idx")
+    write_lines(rows, path, F.concat_ws("\t", "id", *(significant(F.col(c)) for c in columns)), ["variant_idx"], "\t".join(["#ID", *columns]))
+
+
+def write_square(rows: DataFrame, path: str, idx: str, row: str) -> None:
+    """A square matrix by rows: .cov and the replicates' covariances."""
+    write_vectors(rows, path, idx, row)
+
+
+def write_residuals(rows: DataFrame, path: str, samples: int, variants: int) -> None:
+    """A residual matrix as a partitioned table of 4-byte floats with its dimensions; nothing is collected."""
+    packed = rows.select("variant_idx", F.transform("r", lambda x: x.cast("float")).alias("r"), F.lit(samples).alias("samples"), F.lit(variants).alias("variants"))
+    packed.write.parquet(path)
+
+
+def read_residual_parts(spark: SparkSession, path: str) -> DataFrame:
+    """Rows (variant_idx, r) of such a table, centred as those of the one-file form are."""
+    rows = spark.read.parquet(path).select("variant_idx", F.transform("r", lambda x: x.cast("double")).alias("r"))
+    mean = F.aggregate("r", F.lit(0.0), lambda a, x: a + x) / F.size("r")
+    return rows.select("variant_idx", F.zip_with("r", F.array_repeat(mean, F.size("r")), lambda x, m: x - m).alias("r"))
+
+
+def write_log(spark: SparkSession, path: str, events: list[tuple[str, str]]) -> None:
+    """Lines of a run's log, a date and what was done, in their order."""
+    rows = spark.createDataFrame([(i, at, what) for i, (at, what) in enumerate(events)], "i int, at string, what string")
+    write_lines(rows, path, F.concat_ws(" ", F.concat(F.lit("["), "at", F.lit("]")), "what"), ["i"])
