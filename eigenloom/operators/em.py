@@ -146,10 +146,11 @@ def emu(geno: DataFrame, k: int, method: str = "auto", max_iter: int = 100, tol:
 def pcangsd(gl: DataFrame, k: int, method: str = "auto", max_iter: int = 100, tol: float = 1e-5, **options) -> tuple[PCAModel, np.ndarray]:
     """PCA of genotype likelihoods (variant_idx, p0, p1): individual frequencies and dosages in turn.
 
+    Rows that have `af` keep it; else it is found by EM.
     Returns the components of the final covariance of samples (all of them), and that covariance, whose
     diagonal is corrected for the genotypes' uncertainty.
     """
-    rows = em_frequency(gl).persist()
+    rows = (gl if "af" in gl.columns else em_frequency(gl)).persist()
     try:
         base = likelihood_rows(rows)
         model = decompose(base, k, method, "dosage", **options)

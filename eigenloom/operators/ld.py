@@ -17,6 +17,15 @@ from eigenloom.operators.variants import with_each
 #: Samples whose part of a dot product one task takes.
 SAMPLE_BLOCK = 8192
 
+#: Variants of the list that one tile of the window join spans at most.
+TILE = 1024
+
+#: Independent pieces that start among so many variants go to one task.
+PIECE = 4096
+
+#: A tile's part in a meeting of two: all pairs within it, the earlier variants, the later ones.
+BOTH, LEADS, FOLLOWS = 0, 1, 2
+
 
 def unit_rows(rows: DataFrame, column: str) -> DataFrame:
     """Rows centred over samples and divided by their length, so that r is a dot product; null without variance."""
@@ -30,16 +39,24 @@ def unit_rows(rows: DataFrame, column: str) -> DataFrame:
 def r2_pairs(rows: DataFrame, variants: DataFrame, window_bp: int = 1_000_000, column: str = "r", n_samples: int | None = None) -> DataFrame:
     """r2 of all pairs of a chromosome's variants at most `window_bp` apart, the earlier one leading.
 
-    Places are cut into buckets of the window's width: a pair lies in one bucket or in two neighbouring ones.
-    Each row goes to its own bucket and, as a follower, to the one before; a task multiplies one bucket's leads
-    with its leads and followers, for one block of samples at a time. With more samples than a block, the
-    partial products are summed by pair. A chromosome never comes together in one task. Constant rows have
-    null r2. Returns chr, i, k, bp_i, bp_k, r2.
+    Variants are cut into tiles: those of one stretch of the window's width and of TILE places in the list. The
+    narrow list of tiles is joined with itself for the pairs of tiles that can hold a pair of variants; a task
+    multiplies two tiles, for one block of samples at a time. So it holds 2 * TILE rows of SAMPLE_BLOCK numbers
+    at most, however dense the variants lie. With more samples than a block, the partial products are summed by
+    pair. Constant rows have null r2. Returns chr, i, k, bp_i, bp_k, r2.
     """
-    placed = unit_rows(rows.select("variant_idx", column), column).select("variant_idx", "unit").join(variants.select("variant_idx", "chr", "bp"), "variant_idx")
-    b = F.floor(F.col("bp") / window_bp)
-    sides = F.explode(F.array(F.struct(b.alias("b"), F.lit(True).alias("lead")), F.struct((b - 1).alias("b"), F.lit(False).alias("lead")))).alias("side")
-    dealt = placed.select("variant_idx", "chr", "bp", "unit", sides).select("variant_idx", "chr", "bp", "unit", "side.b", "side.lead")
+    placed = variants.select("variant_idx", "chr", "bp", F.floor(F.col("bp") / window_bp).alias("b"), F.floor(F.col("variant_idx") / TILE).alias("q"))
+    tiles = placed.groupBy("chr", "b", "q").agg(F.min("bp").alias("lo"), F.max("bp").alias("hi"), F.min("variant_idx").alias("first"), F.max("variant_idx").alias("last"))
+    lead = tiles.select("chr", *(F.col(c).alias(f"lead_{c}") for c in ("b", "q", "lo", "hi", "first")), F.explode(F.array("b", F.col("b") + 1)).alias("follow_b"))
+    follow = tiles.select("chr", *(F.col(c).alias(f"follow_{c}") for c in ("b", "q", "lo", "hi", "last")))
+    near = (F.col("follow_lo") - F.col("lead_hi") <= window_bp) & (F.col("follow_hi") >= F.col("lead_lo")) & (F.col("follow_last") > F.col("lead_first"))
+    meets = lead.join(follow, ["chr", "follow_b"]).where(near).select("chr", "lead_b", "lead_q", "follow_b", "follow_q")
+    own = (F.col("lead_b") == F.col("follow_b")) & (F.col("lead_q") == F.col("follow_q"))
+    side = lambda s, role: F.struct(F.col(f"{s}_b").alias("b"), F.col(f"{s}_q").alias("q"), F.lit(role).alias("role"))
+    sides = meets.select("*", F.explode(F.when(own, F.array(side("lead", BOTH))).otherwise(F.array(side("lead", LEADS), side("follow", FOLLOWS)))).alias("side"))
+    meet = ["lead_b", "lead_q", "follow_b", "follow_q"]
+    dealt = placed.join(sides.select("chr", *meet, "side.b", "side.q", "side.role"), ["chr", "b", "q"]).select("variant_idx", "chr", "bp", "role", *meet)
+    dealt = unit_rows(rows.select("variant_idx", column), column).select("variant_idx", "unit").join(dealt, "variant_idx")
     if n_samples is None:
         n_samples = (rows.select(F.max(F.size(column))).first() or [0])[0] or 0
     blocks = max(1, -(-n_samples // SAMPLE_BLOCK))
@@ -50,7 +67,7 @@ def r2_pairs(rows: DataFrame, variants: DataFrame, window_bp: int = 1_000_000, c
     schema = "chr string, i long, k long, bp_i long, bp_k long, r double"
 
     def products(t: pa.Table) -> pa.Table:
-        idx, bp, lead = column_of(t, "variant_idx"), column_of(t, "bp"), column_of(t, "lead").astype(bool)
+        idx, bp, role = column_of(t, "variant_idx"), column_of(t, "bp"), column_of(t, "role")
         null = np.array(t["unit"].is_null().to_pylist(), bool)
         unit = np.full((len(idx), 1), np.nan)
         if not null.all():
@@ -58,33 +75,45 @@ def r2_pairs(rows: DataFrame, variants: DataFrame, window_bp: int = 1_000_000, c
             unit = np.full((len(idx), held.shape[1]), np.nan)
             unit[~null] = held
         by = np.argsort(idx, kind="stable")
-        idx, bp, lead, unit = idx[by], bp[by], lead[by], unit[by]
-        leads = np.flatnonzero(lead)
-        r = unit[leads] @ unit.T
-        gap = bp[None, :] - bp[leads, None]
-        a, c = np.nonzero((idx[None, :] > idx[leads, None]) & (gap >= 0) & (gap <= window_bp))
-        r = r[a, c]
-        return pa.table({"chr": pa.array([t["chr"][0].as_py()] * len(a), pa.string()), "i": idx[leads[a]], "k": idx[c], "bp_i": bp[leads[a]], "bp_k": bp[c], "r": pa.array(r, pa.float64(), mask=np.isnan(r))})
-
-    pairs = dealt.groupBy("chr", "b", "part").applyInArrow(products, schema)
+        leads, others = by[role[by] != FOLLOWS], by[role[by] != LEADS]
+        gap = bp[others][None, :] - bp[leads][:, None]
+        a, c = np.nonzero((idx[others][None, :] > idx[leads][:, None]) & (gap >= 0) & (gap <= window_bp))
+        r = (unit[leads] @ unit[others].T)[a, c]
+        i, k = leads[a], others[c]
+        return pa.table({"chr": pa.array([t["chr"][0].as_py()] * len(a), pa.string()), "i": idx[i], "k": idx[k], "bp_i": bp[i], "bp_k": bp[k], "r": pa.array(r, pa.float64(), mask=np.isnan(r))})
+
+    pairs = dealt.groupBy("chr", *meet, "part").applyInArrow(products, schema)
     if blocks > 1:
         pairs = pairs.groupBy("chr", "i", "k", "bp_i", "bp_k").agg(F.sum("r").alias("r"))
     return pairs.select("chr", "i", "k", "bp_i", "bp_k", (F.col("r") * F.col("r")).alias("r2"))
 
 
+def independent_pieces(nodes: DataFrame, linked: str) -> DataFrame:
+    """Add `piece`: no link of a chromosome's (chr, variant_idx, linked array of other variants) leaves its piece.
+
+    A piece ends where no link spans the place between two variants, found by a running maximum. Those that start
+    among the same PIECE variants are numbered alike, so a chromosome of many short ones makes few groups.
+    """
+    upto = Window.partitionBy("chr").orderBy("variant_idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = Window.partitionBy("chr").orderBy("variant_idx").rowsBetween(Window.unboundedPreceding, -1)
+    cover = F.max(F.greatest("variant_idx", F.array_max(linked))).over(earlier)
+    start = F.when(cover.isNull() | (cover < F.col("variant_idx")), F.col("variant_idx"))
+    return nodes.withColumn("piece", start).withColumn("piece", F.floor(F.max("piece").over(upto) / PIECE))
+
+
 def prune(pairs: DataFrame, variants: DataFrame, r2: float) -> DataFrame:
     """Variants that stay when linked ones go, chromosome by chromosome, in file order: adds `keep`.
 
     Each kept variant in turn looks at the later ones linked to it by r2 above the threshold that are still
     kept. Without column `af` these go. With it the one of lower minor allele frequency goes: the later one at
-    ties, and the leading one if it is lower; it then still finishes its own turn. Only links above the
-    threshold reach the greedy step, which is sequential by definition.
+    ties, and the leading one if it is lower; it then still finishes its own turn. Only variants with a link above
+    the threshold reach the greedy step, which is sequential within an independent piece of a chromosome.
     """
     known = "af" in variants.columns
-    links = pairs.where(F.col("r2") > r2).groupBy("i").agg(F.array_sort(F.collect_list("k")).alias("later"))
     minor = F.least("af", 1 - F.col("af")) if known else F.lit(0.0)
-    nodes = variants.select("chr", "variant_idx", minor.cast("double").alias("maf")).join(links.withColumnRenamed("i", "variant_idx"), "variant_idx", "left")
-    nodes = nodes.select("chr", "variant_idx", "maf", F.coalesce("later", F.array().cast("array<long>")).alias("later"))
+    ends = F.explode(F.array(F.struct(F.col("i").alias("variant_idx"), F.col("k").alias("other")), F.struct(F.col("k").alias("variant_idx"), F.lit(None).cast("long").alias("other")))).alias("end")
+    linked = pairs.where(F.col("r2") > r2).select("chr", ends).groupBy("chr", "end.variant_idx").agg(F.array_sort(F.collect_list("end.other")).alias("later"))
+    nodes = independent_pieces(linked, "later").join(variants.select("variant_idx", minor.cast("double").alias("maf")), "variant_idx")
 
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("variant_idx")
@@ -94,11 +123,12 @@ def prune(pairs: DataFrame, variants: DataFrame, r2: float) -> DataFrame:
             if not kept[lead]:
                 continue
             for other in later:
-                if kept[other]:
+                if kept.get(other):
                     kept[lead if frequency[other] > frequency[lead] else other] = False
         return pd.DataFrame({"variant_idx": list(kept), "keep": list(kept.values())})
 
-    return variants.join(nodes.groupBy("chr").applyInPandas(greedy, "variant_idx long, keep boolean"), "variant_idx")
+    decided = nodes.groupBy("chr", "piece").applyInPandas(greedy, "variant_idx long, keep boolean")
+    return variants.join(decided, "variant_idx", "left").withColumn("keep", F.coalesce("keep", F.lit(True)))
 
 
 def clump(pairs: DataFrame, variants: DataFrame, assoc: DataFrame, p1: float = 1e-4, p2: float = 1e-2, r2: float = 0.5, window_bp: int = 250_000) -> DataFrame:
@@ -106,8 +136,9 @@ def clump(pairs: DataFrame, variants: DataFrame, assoc: DataFrame, p1: float = 1
 
     `assoc` has chr, bp, p (and `line`, the raw record, if any). It is matched to the panel by place; of panel
     variants that share a place the last counts. Members have p <= p2, lie within the window and have
-    r2 >= the threshold; they are taken once and then lead no clump. Ties of p go by bp. Returns chr, bp, p,
-    [line,] and sp2: members' bp by p, joined by commas, or NONE.
+    r2 >= the threshold; they are taken once and then lead no clump. Ties of p go by bp. A task takes one
+    independent piece of a chromosome's links. Returns chr, bp, p, [line,] and sp2: members' bp by p, joined by
+    commas, or NONE.
     """
     line = ["line"] if "line" in assoc.columns else []
     last = variants.groupBy("chr", "bp").agg(F.max("variant_idx").alias("variant_idx"))
@@ -132,7 +163,7 @@ def clump(pairs: DataFrame, variants: DataFrame, assoc: DataFrame, p1: float = 1
         return pd.DataFrame(out, columns=["chr", "bp", "p", *line, "sp2"])
 
     schema = "chr string, bp long, p double, " + "".join(f"{c} string, " for c in line) + "sp2 string"
-    return nodes.groupBy("chr").applyInPandas(greedy, schema)
+    return independent_pieces(nodes, "linked").groupBy("chr", "piece").applyInPandas(greedy, schema)
 
 
 def decay_bins(pairs: DataFrame, window_bp: int, bins: int = 500) -> DataFrame:

@@ -8,10 +8,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-#: Partial sums that one task adds up at each level of the tree.
-FAN_IN = 16
+#: Numbers of an array that one row holds (4 MB).
+BLOCK = 1 << 19
+
+#: Rows of one array that the driver adds up, if it has fewer blocks.
+LANES = 16
 
 
 def rows_of(batch: pa.RecordBatch | pa.Table, name: str) -> np.ndarray:
@@ -32,39 +34,50 @@ def column_of(batch: pa.RecordBatch | pa.Table, name: str) -> np.ndarray:
 def sum_arrays(df: DataFrame, partial: Callable[[Iterator[pa.RecordBatch]], dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
     """Sum of the named arrays that `partial` makes of each partition, on the driver.
 
-    Every partition yields one row for each name. Rows are added up FAN_IN at a time, in as many levels as the
-    session's parallelism asks for, so tasks and the driver hold few arrays of a name. Results must fit the
-    driver: they are of the smaller dimension squared, or of a dimension times a few components.
+    Arrays travel in blocks of BLOCK numbers. A block's parts are dealt to a few lanes (one, where the array has
+    LANES blocks or more); a task adds up a lane's parts one after the other, in the order of partitions, so it
+    holds one block however many partitions there are, and sums repeat to the last bit. The driver gets at most
+    LANES blocks of a smaller array and each block of a larger one once. Results must fit the driver: they are
+    of the smaller dimension squared, or of a dimension times a few components.
     """
+    names = ["part", "name", "block", "lane", "shape", "data"]
+    types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
+
+    def row(*values) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
         for name, value in partial(batches).items():
             value = np.asarray(value, float)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([name]), pa.array([list(value.shape)], pa.list_(pa.int64())), pa.array([value.tobytes()], pa.binary())],
-                ["part", "name", "shape", "data"],
-            )
-
-    def add(t: pa.Table) -> pa.Table:
-        by = np.argsort(t["part"].to_numpy(), kind="stable")  # in the order of partitions: sums repeat to the last bit
-        data = t["data"].to_pylist()
-        total = np.frombuffer(data[by[0]]).copy()
-        for i in by[1:]:
-            total += np.frombuffer(data[i])
-        first = t.slice(int(by[0]), 1)
-        return first.set_column(t.schema.get_field_index("data"), "data", pa.array([total.tobytes()], pa.binary())).set_column(0, "part", pa.array([int(t["part"][int(by[0])].as_py()) // FAN_IN], pa.int64()))
-
-    schema = "part long, name string, shape array<long>, data binary"
-    spark = df.sparkSession
-    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    sums = df.mapInArrow(run, schema)
-    while parts > FAN_IN:
-        sums = sums.groupBy("name", F.floor(F.col("part") / FAN_IN).alias("group")).applyInArrow(add, schema)
-        parts = -(-parts // FAN_IN)
+            flat, blocks = value.ravel(), max(1, -(-value.size // BLOCK))
+            for block in range(blocks):
+                yield row(part, name, block, part % max(1, LANES // blocks), list(value.shape), flat[block * BLOCK : (block + 1) * BLOCK].tobytes())
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = None, None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                part, name, block, lane, shape = (batch.column(c)[i].as_py() for c in range(5))
+                data = np.frombuffer(batch.column(5)[i].as_buffer())
+                if held is not None and held[1:4] == (name, block, lane):
+                    total += data
+                    continue
+                if held is not None:
+                    yield row(*held, total.tobytes())
+                held, total = (part, name, block, lane, shape), data.copy()
+        if held is not None:
+            yield row(*held, total.tobytes())
+
+    schema = "part long, name string, block long, lane long, shape array<long>, data binary"
+    key = ["name", "block", "lane"]
+    sums = df.mapInArrow(run, schema).repartition(*key).sortWithinPartitions(*key, "part").mapInArrow(add, schema)
     out: dict[str, np.ndarray] = {}
-    for r in sorted(sums.collect(), key=lambda r: (r.name, r.part)):
-        value = np.frombuffer(r.data).reshape(r.shape)
-        out[r.name] = out[r.name] + value if r.name in out else value.copy()
+    for r in sorted(sums.collect(), key=lambda r: (r.name, r.block, r.lane)):
+        if r.name not in out:
+            out[r.name] = np.zeros(r.shape)
+        data = np.frombuffer(r.data)
+        out[r.name].reshape(-1)[r.block * BLOCK : r.block * BLOCK + data.size] += data
     return out
 
 

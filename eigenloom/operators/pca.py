@@ -180,6 +180,10 @@ def factor(h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return vt.T, s
 
 
+#: Bytes of a band's values that one partition holds.
+BAND_BYTES = 128 << 20
+
+
 def random_start(n: int, width: int, seed: int, kind: str) -> np.ndarray:
     rng = np.random.default_rng(seed)
     return rng.standard_normal((n, width)) if kind == "gaussian" else rng.uniform(-1, 1, (n, width))
@@ -230,17 +234,21 @@ def randomized(rows: DataFrame, k: int, n: int, *, oversamples: int = 10, max_pa
     return u, s, history
 
 
-def windowed(rows: DataFrame, k: int, n: int, *, bands: int = 64, oversamples: int = 10, max_passes: int = 20, tol: float = 1e-4, seed: int = 112, rand: str = "gaussian") -> tuple[np.ndarray, np.ndarray, list[float]]:
+def windowed(rows: DataFrame, k: int, n: int, *, m: int | None = None, bands: int = 64, oversamples: int = 10, max_passes: int = 20, tol: float = 1e-4, seed: int = 112, rand: str = "gaussian") -> tuple[np.ndarray, np.ndarray, list[float]]:
     """Power iterations whose test matrix is renewed within a pass.
 
     Rows are dealt to bands in turn. Pass p slides a window of min(2^(p+1), bands) bands; each half window gives
     a sum, the two last ones are added and orthonormalised to the next test matrix. Half windows grow until one
     holds half of all bands, so early passes renew it often and log2(bands) + 1 passes do. All bands of a half
-    window are read in one job.
+    window are read in one job. A band has as many partitions as its BAND_BYTES ask for, of equal numbers of rows;
+    `m` is the number of rows, counted if not given.
     """
     if bands % 2 or bands < 4:
         raise ValueError("bands must be even and at least 4")
-    banded = rows.withColumn("band", F.pmod("variant_idx", F.lit(bands))).repartition(bands, "band").persist()
+    each = max(1, -(-8 * n * (rows.count() if m is None else m) // (bands * BAND_BYTES)))
+    band = F.pmod("variant_idx", F.lit(bands))
+    place = (band * each + F.pmod(F.floor(F.col("variant_idx") / bands), F.lit(each))).cast("int")
+    banded = rows.withColumn("band", band).repartitionById(bands * each, place).persist()
     omega, before, history = orthonormal(random_start(n, min(n, k + max(oversamples, k)), seed, rand)), None, []
     try:
         for p in range(max_passes):
@@ -330,6 +338,8 @@ def decompose(rows: DataFrame, k: int, method: str = "auto", scale: str = "stand
         return PCAModel(rows.sparkSession, u, s, packed, n, m, scale)
     if method not in METHODS:
         raise ValueError(f"unknown method {method}")
+    if method == "winsvd":
+        options.setdefault("m", m)
     u, s, history = METHODS[method](rows, k, n, **options)
     (u,) = flip_signs(u)
     return PCAModel(rows.sparkSession, u, s, loadings_of(rows, u, s), n, m, scale, history)

@@ -10,11 +10,16 @@ from eigenloom.operators.variants import decode_beagle_allele
 
 
 def numbered(lines: DataFrame, name: str) -> DataFrame:
-    """Add each line's place in its file, from 0. Lists of variants and samples are read in one piece, so that
-    their order is the file's; matrices are not read this way.
+    """Add each line's place, from 0, over all files by path, as a scan of text files gives them (filtered or not).
+
+    A block of a file is read by one task and in order, so a line's place is the number of lines in the blocks
+    before and its rank in its own. Lines stay where they were read; what is broadcast is one row for each block.
     """
-    ordered = lines.coalesce(1).withColumn("_at", F.monotonically_increasing_id())
-    return ordered.withColumn(name, F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_at")).cast("long") - 1).drop("_at")
+    placed = lines.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
+    earlier = Window.partitionBy(F.lit(0)).orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = placed.groupBy("_file", "_block").agg(F.min("_at").alias("_first"), F.count("*").alias("_lines"))
+    blocks = blocks.select("_file", "_block", "_first", F.coalesce(F.sum("_lines").over(earlier), F.lit(0)).alias("_before"))
+    return placed.join(F.broadcast(blocks), ["_file", "_block"]).withColumn(name, F.col("_before") + F.col("_at") - F.col("_first")).drop("_file", "_block", "_at", "_first", "_before")
 
 
 def fields(separators: str = r"[ \t]") -> Column:

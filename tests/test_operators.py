@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from eigenloom.functions import stats
 from eigenloom.operators import em, hwe, ld, normalize, pca, project, selection, variants
+from eigenloom.operators import matrix as mx
 
 RNG = np.random.default_rng(7)
 N, M = 30, 60
@@ -71,6 +72,29 @@ def test_sums_do_not_depend_on_partitions(geno):
     assert np.allclose(pca.sample_gram(rows.repartition(1)), pca.sample_gram(rows.repartition(17)))
 
 
+@pytest.mark.parametrize("block,arrays", [(1 << 19, 16), (7, 5)])
+def test_sums_of_many_partitions(spark, monkeypatch, block, arrays):
+    monkeypatch.setattr(mx, "BLOCK", block)
+    kept = []
+    real = type(spark.range(1)).collect
+    monkeypatch.setattr(type(spark.range(1)), "collect", lambda self: kept.append(real(self)) or kept[-1])
+
+    def partial(batches):
+        total = sum(float(b.column(0).to_numpy().sum()) for b in batches)
+        return {"a": np.full((5, 6), total), "n": np.array(1.0)}
+
+    out = mx.sum_arrays(spark.range(0, 3000, 1, 300), partial)
+    assert (out["a"] == 3000 * 2999 / 2).all() and out["a"].shape == (5, 6) and out["n"] == 300
+    assert sum(r.name == "a" for r in kept[-1]) <= max(16, arrays)
+    assert mx.sum_arrays(spark.range(0), lambda batches: {}) == {}
+
+
+def test_bands_of_many_partitions(geno, g, monkeypatch):
+    monkeypatch.setattr(pca, "BAND_BYTES", 1000)  # several partitions for each band
+    model = pca.decompose(normalize.standardized(geno), 2, "winsvd", bands=4, tol=1e-7, max_passes=12)
+    assert np.allclose(model.s, np.linalg.svd(expected_standard(g))[1][:2], rtol=1e-3)
+
+
 def test_projecting_the_training_samples_returns_their_scores(geno, markers):
     rows = normalize.standardized(geno).persist()
     model = pca.decompose(rows, 2, "full")
@@ -114,6 +138,52 @@ def test_ld_and_pruning(geno, g, markers):
     assert all(abs((r.r2 or 0) - (got[r.i, r.k] or 0)) < 1e-9 for r in small.collect())
 
 
+def test_dense_variants_meet_in_tiles(geno, markers, monkeypatch):
+    rows = normalize.centred(geno).select("variant_idx", F.col("x").alias("r"))
+    want = {(r.i, r.k): r.r2 for r in ld.r2_pairs(rows, markers, 1500).collect()}
+    monkeypatch.setattr(ld, "TILE", 4)
+    for window in (1500, 5000):  # the second holds a chromosome in one stretch
+        got = ld.r2_pairs(rows, markers, window).collect()
+        assert len(got) == len({(r.i, r.k) for r in got})
+        near = {(r.i, r.k): r.r2 for r in got if r.bp_k - r.bp_i <= 1500}
+        assert set(near) == set(want) and all(v is None or abs(v - want[k]) < 1e-12 for k, v in near.items())
+        assert window == 1500 or len(got) == 2 * 30 * 29 // 2
+    assert ld.r2_pairs(rows.where("variant_idx in (3, 9, 40)"), markers, 1500).count() == 1  # tiles without rows
+
+
+@pytest.mark.parametrize("frequencies", [False, True])
+def test_pruning_and_clumping_by_pieces(spark, geno, g, markers, monkeypatch, frequencies):
+    monkeypatch.setattr(ld, "PIECE", 1)
+    rows = normalize.centred(geno).select("variant_idx", "af", F.col("x").alias("r"))
+    pairs = ld.r2_pairs(rows, markers, 1000).persist()
+    f = np.nanmean(g, axis=1)
+    maf = np.minimum(f, 1 - f) if frequencies else np.zeros(M)
+    table = markers.join(rows.select("variant_idx", "af"), "variant_idx") if frequencies else markers
+    links = {}
+    for r in pairs.where("r2 > 0.08").orderBy("i", "k").collect():
+        links.setdefault(r.i, []).append(r.k)
+    kept = [True] * M
+    for i in range(M):
+        for k in links.get(i, []) if kept[i] else []:
+            if kept[k]:
+                kept[i if maf[k] > maf[i] else k] = False
+    assert 0 < sum(kept) < M
+    assert {r.variant_idx: r.keep for r in ld.prune(pairs, table, 0.08).collect()} == dict(enumerate(kept))
+    assoc = spark.createDataFrame([(str(i // 30 + 1), (i % 30) * 100 + 1, 10.0 ** -(2 + i * 7 % 11)) for i in range(M)], "chr string, bp long, p double")
+    want = {tuple(r) for r in _clumps(pairs, M)}
+    assert {(r.chr, r.bp, r.sp2) for r in ld.clump(pairs, markers, assoc, r2=0.08, window_bp=600).collect()} == want
+
+
+def _clumps(pairs, m):
+    near = {frozenset((r.i, r.k)) for r in pairs.where("r2 >= 0.08 and bp_k - bp_i <= 600").collect()}
+    p, free = {i: 10.0 ** -(2 + i * 7 % 11) for i in range(m)}, set(range(m))
+    for i in sorted(range(m), key=lambda i: (i // 30, p[i], i)):
+        if p[i] <= 1e-4 and i in free:
+            taken = sorted((v for v in free if frozenset((i, v)) in near), key=lambda v: (p[v], v))
+            free -= set(taken)
+            yield str(i // 30 + 1), (i % 30) * 100 + 1, ",".join(str((v % 30) * 100 + 1) for v in taken) or "NONE"
+
+
 def test_em_frequency_stops_together(spark, g):
     p0 = np.where(np.isnan(g), 1 / 3, np.where(g == 0, 0.9, 0.05))
     p1 = np.where(np.isnan(g), 1 / 3, np.where(g == 0.5, 0.9, 0.05))
@@ -135,6 +205,60 @@ def test_emu_fills_missing_cells(geno, g):
     assert model.u.shape == (N, 1) and len(model.history) <= 3
 
 
+def top(x, k):
+    """First k components of the rows of x over their columns, and the rank-k part of x."""
+    w, s, ut = np.linalg.svd(x, full_matrices=False)
+    return ut[:k].T, s[:k], (w[:, :k] * s[:k]) @ ut[:k]
+
+
+def same(a, b):
+    return np.allclose(a * np.sign((a * b).sum(axis=0)), b, atol=1e-7)
+
+
+def test_emu_is_that_of_numpy(geno, g):
+    f, rounds = np.nanmean(g, axis=1)[:, None], 4
+    fill = lambda part: np.where(np.isnan(g), np.clip(part, -f, 1 - f), g - f)
+    part = top(np.nan_to_num(g - f), 2)[2]
+    for _ in range(rounds):
+        part = top(fill(part), 2)[2]
+    sd = np.sqrt(f * (1 - f))
+    u, s, _ = top(fill(part) * np.sqrt(2) / np.where(sd > 1e-9, sd, np.sqrt(2)), 2)
+    model = em.emu(geno, 2, "full", max_iter=rounds, tol=-1)
+    assert np.allclose(model.s, s) and same(model.u, u) and len(model.history) == rounds
+
+
+def test_pcangsd_is_that_of_numpy(spark, g):
+    p0 = np.where(np.isnan(g), 1 / 3, np.where(g == 0, 0.8, 0.1))
+    p1 = np.where(np.isnan(g), 1 / 3, np.where(g == 0.5, 0.8, 0.1))
+    p2, rounds = 1 - p0 - p1, 3
+    f = np.full(M, 0.25)
+    for _ in range(12):
+        f = em.em_step(p0, p1, f)
+    gl = spark.createDataFrame([(i, a.tolist(), b.tolist()) for i, (a, b) in enumerate(zip(p0, p1, strict=True))], "variant_idx long, p0 array<double>, p1 array<double>").repartition(3)
+    model, cov = em.pcangsd(em.em_frequency(gl, iterations=12), 2, "full", max_iter=rounds, tol=-1)
+    f = f[:, None]
+
+    def weights(pi):
+        w = np.stack([p0 * (1 - pi) ** 2, 2 * p1 * pi * (1 - pi), p2 * pi**2])
+        return w / w.sum(axis=0)
+
+    def dosage(pi):
+        return np.tensordot([0, 1, 2], weights(pi), 1)
+
+    part = top(dosage(np.broadcast_to(f, p0.shape)) - 2 * f, 2)[2]
+    for _ in range(rounds):
+        pi = np.clip(part / 2 + f, 1e-4, 1 - 1e-4)
+        part = top(dosage(pi) - 2 * f, 2)[2]
+    pi = np.clip(part / 2 + f, 1e-4, 1 - 1e-4)
+    variance = 2 * f * (1 - f)
+    x = (dosage(pi) - 2 * f) / np.sqrt(variance)
+    want = x.T @ x / M
+    np.fill_diagonal(want, (sum(w * (copies - 2 * f) ** 2 for copies, w in enumerate(weights(pi))) / variance).mean(axis=0))
+    assert np.allclose(cov, want, atol=1e-9)
+    lam, vec = np.linalg.eigh(want)
+    assert same(model.u[:, :3], vec[:, ::-1][:, :3]) and np.allclose(model.s[:3] ** 2 / M, lam[::-1][:3])
+
+
 def test_hardy_weinberg(spark, geno, g):
     f = np.nanmean(g, axis=1)
     pi = geno.join(spark.createDataFrame([(i, [float(np.clip(f[i], 0.01, 0.99))] * N) for i in range(M)], "variant_idx long, pi array<double>"), "variant_idx")

@@ -125,3 +125,20 @@ def test_bgen(spark, tmp_path, codec):
     assert b.g == [0.0, 0.0, 0.5, None] and b.a1 == "A"
     r = read_bgen(spark, str(tmp_path / "a.bgen"), probabilities=True).where("variant_idx = 0").first()
     assert r.p0 == [1.0, 0.0, 0.0, None] and r.p1 == [0.0, 1.0, 0.0, None]
+
+
+def test_lines_are_numbered_over_blocks_and_files(spark, tmp_path):
+    want = []
+    for name in "ab":
+        lines = [f"{name}{i}" + "x" * (i % 50) if i % 7 else "" for i in range(4000)]
+        (tmp_path / f"{name}.txt").write_text("\n".join(lines))
+        want += [x for x in lines if x]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        rows = text.numbered(spark.read.text(str(tmp_path)).where("value <> ''"), "at")
+        assert rows.rdd.getNumPartitions() > 5
+        assert [r.value for r in rows.orderBy("at").collect()] == want
+        assert [r.at for r in rows.where("at >= 0").orderBy("at").collect()] == list(range(len(want)))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
