@@ -18,7 +18,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-LD_BP, LD_R2, EM_STEPS, HWE_STEPS = 8000, 0.2, 10, 2
+LD_BP, LD_R2, EM_STEPS, HWE_STEPS, EMU_ROUNDS, GL_ROUNDS = 8000, 0.2, 10, 2, 6, 4
 
 
 def register(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
@@ -607,15 +607,22 @@ def ld_cross_chr_mean(spark, sf_dir):
     return ld.cross_chromosome_mean(standard_rows(spark, sf_dir), fx.variants(spark), "1", "2").withColumn("mean_r2", r6("mean_r2"))
 
 
-# -- whole expectation-maximisation runs: no SQL; tests compare them with numpy -------------------------------------------
+# -- whole expectation-maximisation runs: SQL for fixed numbers of rounds; tests compare more components with numpy --------
 
 
-@register()
+@register(o.query([*GX, *o.emu(EMU_ROUNDS)], "SELECT s::INTEGER AS sample_idx, 1::INTEGER AS pc, round(u, 6) AS u FROM eu"))
 def emu_pca(spark, sf_dir):
-    model = em.emu(fx.genotypes(spark, sf_dir), 1, "full", max_iter=6)
+    model = em.emu(fx.genotypes(spark, sf_dir), 1, "full", max_iter=EMU_ROUNDS, tol=-1)  # no early end
     return model.scores().select("sample_idx", "pc", r6("u").alias("u"))
 
 
+@register(o.query([*o.BASE["lx"], *o.pcangsd(GL_ROUNDS, EM_STEPS)], "SELECT s::INTEGER AS sample_idx, 1::INTEGER AS pc, round(u, 6) AS u FROM gu"))
+def pcangsd_first_component(spark, sf_dir):
+    rows = em.em_frequency(fx.likelihoods(spark, sf_dir), iterations=EM_STEPS)
+    model, _ = em.pcangsd(rows, 1, "full", max_iter=GL_ROUNDS, tol=-1)  # no early end
+    return model.scores().where("pc = 1").select("sample_idx", "pc", r6("u").alias("u"))
+
+
 @register()
 def pcangsd_pca(spark, sf_dir):
     model, _ = em.pcangsd(fx.likelihoods(spark, sf_dir), 1, "full", max_iter=4)

@@ -7,6 +7,10 @@ from eigenloom.plans.fixtures import AX, CX, GX, LX, SM, TB, VR
 BASE = {"gx": [GX], "vr": [VR], "sm": [SM], "cx": [CX], "lx": [GX, LX], "ax": [VR, AX], "tb": [VR, TB]}
 
 
+#: Power steps for a component of values that were filled in, whose error is carried from round to round.
+STEPS = 40
+
+
 def query(ctes: list[str], select: str) -> str:
     return "WITH RECURSIVE " + ",\n".join(dict.fromkeys(c.strip() for c in ctes)) + "\n" + select
 
@@ -40,6 +44,41 @@ def component(x: str, p: str = "p", steps: int = 24) -> list[str]:
     return out
 
 
+def emu(rounds: int) -> list[str]:
+    """Component eu(s, u) of genotypes whose missing cells were filled `rounds` times and once more, then standardised."""
+    out = [*centred(), *component("xc", "e0_", STEPS)]
+    for t in range(1, rounds + 2):
+        b = f"e{t - 1}_"
+        out.append(f"e{t}x AS MATERIALIZED (SELECT v, s, CASE WHEN g IS NULL THEN greatest(-f, least(1 - f, u * sig * w)) ELSE g - f END AS x FROM gx JOIN af USING (v) JOIN {b}u USING (s) JOIN {b}v USING (v), {b}s)")
+        if t <= rounds:
+            out += component(f"e{t}x", f"e{t}_", STEPS)
+    out.append(f"ez AS MATERIALIZED (SELECT v, s, x * (CASE WHEN sqrt(f * (1 - f)) > 1e-9 THEN sqrt(2::DOUBLE) / sqrt(f * (1 - f)) ELSE 1 END) AS x FROM e{rounds + 1}x JOIN af USING (v))")
+    return out + component("ez", "e", STEPS)
+
+
+def pcangsd(rounds: int, iterations: int) -> list[str]:
+    """First eigenvector gu(s, u) of the samples' covariance after `rounds` of individual frequencies and dosages."""
+    out = [*likelihood_steps(iterations), f"h0p AS MATERIALIZED (SELECT v, s, p0, p1, f, f AS pi FROM lx JOIN f{iterations} USING (v))"]
+    for t in range(rounds + 2):
+        if t:
+            b = f"h{t - 1}_"
+            out.append(f"h{t}p AS MATERIALIZED (SELECT v, s, p0, p1, f, greatest(1e-4, least(1 - 1e-4, u * sig * w / 2 + f)) AS pi FROM lx JOIN f{iterations} USING (v) JOIN {b}u USING (s) JOIN {b}v USING (v), {b}s)")
+        out.append(f"h{t}w AS MATERIALIZED (SELECT v, s, f, p0 * (1 - pi) * (1 - pi) AS w0, p1 * 2 * pi * (1 - pi) AS w1, (1 - p0 - p1) * pi * pi AS w2 FROM h{t}p)")
+        if t <= rounds:
+            out.append(f"h{t}x AS MATERIALIZED (SELECT v, s, (w1 + 2 * w2) / (w0 + w1 + w2) - 2 * f AS x FROM h{t}w)")
+            out += component(f"h{t}x", f"h{t}_", STEPS)
+    out += [
+        f"""gd AS MATERIALIZED (SELECT v, s, ((w1 + 2 * w2) / (w0 + w1 + w2) - 2 * f) / n AS x,
+  (w0 * 4 * f * f + w1 * (1 - 2 * f) * (1 - 2 * f) + w2 * (2 - 2 * f) * (2 - 2 * f)) / (w0 + w1 + w2) / (n * n) AS d
+  FROM (SELECT *, CASE WHEN sqrt(2 * f * (1 - f)) > 1e-9 THEN sqrt(2 * f * (1 - f)) ELSE 1 END AS n FROM h{rounds + 1}w))""",
+        "gc AS MATERIALIZED (SELECT a.s AS i, b.s AS j, CASE WHEN a.s = b.s THEN avg(a.d) ELSE avg(a.x * b.x) END AS c FROM gd a JOIN gd b USING (v) GROUP BY a.s, b.s)",
+        "g0 AS MATERIALIZED (SELECT DISTINCT i, cos(i) AS w FROM gc)",
+    ]
+    for t in range(1, 2 * STEPS + 1):
+        out.append(f"g{t} AS MATERIALIZED (SELECT i, w / sqrt(sum(w * w) OVER ()) AS w FROM (SELECT i, sum(c * w) AS w FROM gc JOIN (SELECT i AS j, w FROM g{t - 1}) USING (j) GROUP BY i))")
+    return [*out, f"gu AS (SELECT i AS s, w * (SELECT arg_max(sign(w), abs(w)) FROM g{2 * STEPS}) AS u FROM g{2 * STEPS})"]
+
+
 def upper_tail(x: str) -> str:
     """Chi-square upper tail with one degree of freedom: 1 - the series of the lower one; 1 if x is not positive."""
     z = f"(({x}) / 2)"

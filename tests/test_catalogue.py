@@ -13,7 +13,7 @@ CHOSEN = (
     "allele_freq missing_rate_by_sample genotype_class_counts maf_filter cpmed_normalized zero_filled_counts feature_gram pca_full_spectrum pca_loadings eigvecs_with_ids "
     "marker_match marker_match_identical band_permutation projection_pc1_lsq projection_gl_em projection_bootstrap_summary selection_galinsky selection_pcadapt em_allele_freq "
     "source_bed source_pgen source_beagle source_counts source_residuals source_vectors source_spectrum source_mbim source_pvar source_samples source_associations sink_pairs sink_scores_with_ids sink_statistics ld_cumulative_mean chromosome_runs "
-    "hwe_inbreeding hwe_pvalue inbreeding_per_sample ld_r2_adjusted ld_prune_highmaf ld_clump ld_decay_bins ld_cross_chr_mean rsvd_vs_exact lanczos_vs_exact"
+    "hwe_inbreeding hwe_pvalue inbreeding_per_sample ld_r2_adjusted ld_prune_highmaf ld_clump ld_decay_bins ld_cross_chr_mean emu_pca pcangsd_first_component rsvd_vs_exact lanczos_vs_exact"
 ).split()
 
 
