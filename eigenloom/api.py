@@ -108,17 +108,17 @@ def ld_clump(rows: DataFrame, markers: DataFrame, associations: list[DataFrame],
 
 
 def ld_study(geno: DataFrame, markers: DataFrame, k: int = DEFAULTS.components, maf: float = 0.05, window_bp: int = DEFAULTS.ld_bp, bins: int = 500) -> dict[str, DataFrame]:
-    """Decay of LD with distance, plain and without the structure of k components, and the background between the
-    first two chromosomes.
+    """Decay of LD with distance, plain and without the structure of k components, and the background between
+    chromosomes, over all of them.
     """
     kept = variants.filter_maf(geno, maf).select("variant_idx", "g").persist()
     n = kept.selectExpr("size(g) AS n").first().n
     out: dict[str, DataFrame] = {}
-    chromosomes = sorted(r.chr for r in markers.select("chr").distinct().collect())
+    several = markers.select("chr").distinct().limit(2).count() > 1
     for name, model in (("standard", None), ("adjusted", pca(kept, k))):
         rows = ld_rows(kept, model)
         decay = ld.decay_bins(ld.r2_pairs(rows, markers, window_bp), window_bp, bins)
         out[f"{name}_by_chromosome"], out[name] = decay, ld.weighted_decay(decay, n)
-        if len(chromosomes) > 1:
-            out[f"{name}_background"] = ld.cross_chromosome_mean(rows, markers, *chromosomes[:2])
+        if several:
+            out[f"{name}_background"] = ld.background_mean(rows, markers)
     return out

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from eigenloom.operators.matrix import column_of, rows_of
+from eigenloom.operators.matrix import column_of, rows_of, sum_arrays
 from eigenloom.operators.variants import with_each
 
 #: Samples whose part of a dot product one task takes.
@@ -230,24 +230,45 @@ def weighted_decay(bins: DataFrame, n: int | None = None) -> DataFrame:
     return out if n is None else out.withColumn("r2", bias_corrected(F.col("r2"), n))
 
 
+def _unit_on_chromosomes(rows: DataFrame, variants: DataFrame, column: str) -> DataFrame:
+    unit = unit_rows(rows.select("variant_idx", column), column).select("variant_idx", "unit").where("unit is not null")
+    return unit.join(variants.select("variant_idx", "chr"), "variant_idx").select("chr", "unit")
+
+
+def _unit_gram(batches: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray]:
+    total, n = None, 0
+    for b in batches:
+        if b.num_rows:
+            x = rows_of(b, "unit")
+            total, n = (x.T @ x if total is None else total + x.T @ x), n + len(x)
+    return {} if total is None else {"gram": total, "n": np.array([n])}
+
+
 def cross_chromosome_mean(rows: DataFrame, variants: DataFrame, first: str, second: str, column: str = "r") -> DataFrame:
     """Mean r2 of all pairs with one variant on each of two chromosomes: the background without linkage.
 
     The sum of squared products of two sets of unit rows is the inner product of their samples' Gram matrices,
     so each side is one distributed sum and no pair is formed.
     """
-    from eigenloom.operators.matrix import sum_arrays
+    unit = _unit_on_chromosomes(rows, variants, column)
+    a, b = (sum_arrays(unit.where(F.col("chr") == c).select("unit"), _unit_gram) for c in (first, second))
+    mean = float((a["gram"] * b["gram"]).sum() / (a["n"][0] * b["n"][0])) if a and b else float("nan")
+    return rows.sparkSession.createDataFrame([(first, second, int(a["n"][0] * b["n"][0]) if a and b else 0, mean)], "chr_a string, chr_b string, n_pairs long, mean_r2 double")
 
-    unit = unit_rows(rows.select("variant_idx", column), column).select("variant_idx", "unit").where("unit is not null").join(variants.select("variant_idx", "chr"), "variant_idx")
 
-    def gram(batches: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray]:
-        total, n = None, 0
-        for b in batches:
-            if b.num_rows:
-                x = rows_of(b, "unit")
-                total, n = (x.T @ x if total is None else total + x.T @ x), n + len(x)
-        return {} if total is None else {"gram": total, "n": np.array([n])}
+def background_mean(rows: DataFrame, variants: DataFrame, column: str = "r") -> DataFrame:
+    """Mean r2 of all pairs of variants on different chromosomes, whichever: n_pairs, mean_r2 (NaN without a pair).
 
-    a, b = (sum_arrays(unit.where(F.col("chr") == c).select("unit"), gram) for c in (first, second))
-    mean = float((a["gram"] * b["gram"]).sum() / (a["n"][0] * b["n"][0])) if a and b else float("nan")
-    return rows.sparkSession.createDataFrame([(first, second, int(a["n"][0] * b["n"][0]) if a and b else 0, mean)], "chr_a string, chr_b string, n_pairs long, mean_r2 double")
+    The inner product of all rows' Gram matrix with itself, less that of each chromosome's own, counts each pair
+    twice. Chromosomes are summed one after the other, so the driver holds two matrices of samples by samples.
+    """
+    unit = _unit_on_chromosomes(rows, variants, column)
+    total, within, n, n_within = None, 0.0, 0, 0
+    for c in sorted(r.chr for r in unit.select("chr").distinct().collect()):
+        one = sum_arrays(unit.where(F.col("chr") == c).select("unit"), _unit_gram)
+        total = one["gram"] if total is None else total + one["gram"]
+        within += float((one["gram"] ** 2).sum())
+        n, n_within = n + int(one["n"][0]), n_within + int(one["n"][0]) ** 2
+    pairs = (n * n - n_within) // 2
+    mean = (float((total**2).sum()) - within) / 2 / pairs if pairs else float("nan")
+    return rows.sparkSession.createDataFrame([(pairs, mean)], "n_pairs long, mean_r2 double")

@@ -138,6 +138,20 @@ def test_ld_and_pruning(geno, g, markers):
     assert all(abs((r.r2 or 0) - (got[r.i, r.k] or 0)) < 1e-9 for r in small.collect())
 
 
+def test_background_over_all_chromosomes(geno, g, markers):
+    rows = normalize.centred(geno).select("variant_idx", F.col("x").alias("r"))
+    three = markers.withColumn("chr", F.floor(F.col("variant_idx") / 23).cast("string"))
+    x = np.nan_to_num(g - np.nanmean(g, axis=1)[:, None])
+    x = x - x.mean(axis=1, keepdims=True)
+    use = [i for i in range(M) if np.sqrt((x[i] ** 2).sum()) > 1e-12]
+    r2 = [np.corrcoef(x[i], x[k])[0, 1] ** 2 for i in use for k in use if i // 23 < k // 23]
+    got = ld.background_mean(rows.where(F.col("variant_idx").isin(use)), three).first()
+    assert got.n_pairs == len(r2) and got.mean_r2 == pytest.approx(np.mean(r2), rel=1e-9)
+    two = ld.cross_chromosome_mean(rows.where(F.col("variant_idx").isin(use)), markers, "1", "2").first()
+    assert tuple(ld.background_mean(rows.where(F.col("variant_idx").isin(use)), markers).first()) == (two.n_pairs, pytest.approx(two.mean_r2))
+    assert ld.background_mean(rows.where("variant_idx < 20"), markers).first().n_pairs == 0
+
+
 def test_dense_variants_meet_in_tiles(geno, markers, monkeypatch):
     rows = normalize.centred(geno).select("variant_idx", F.col("x").alias("r"))
     want = {(r.i, r.k): r.r2 for r in ld.r2_pairs(rows, markers, 1500).collect()}
