@@ -168,28 +168,50 @@ def named_pairs(node: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]]) ->
     return pa.table({"a": np.minimum(node[i], node[j]), "b": np.maximum(node[i], node[j])})
 
 
+def crowd_meeting(blocks: np.ndarray, radius: int, most: int) -> Callable[[pa.Table], pa.Table]:
+    """For one bucket: each node with over `most` candidates there, and that one of them which the block draws first."""
+
+    def run(bucket: pa.Table) -> pa.Table:
+        order = drawn(bucket.column("node").to_numpy(), len(blocks) + (bucket.column("bucket")[0].as_py() >> blocks.shape[1]))
+        node, prints = bucket.column("node").to_numpy()[order], words_of(bucket)[order]
+        times, other = np.zeros(len(order), np.int64), np.full(len(order), len(order))
+        for i, j in close_rows(prints, radius):
+            times += np.bincount(i, minlength=len(order)) + np.bincount(j, minlength=len(order))
+            np.minimum.at(other, i, j)
+            np.minimum.at(other, j, i)
+        crowd = np.flatnonzero(times > most)
+        return pa.table({"node": node[crowd], "other": node[other[crowd]]})
+
+    return run
+
+
 def first_meeting(blocks: np.ndarray, radius: int, most: int, centres: int) -> Callable[[pa.Table], pa.Table]:
     """For one bucket: the pairs (a, b) of nodes within the radius, each in the first bucket they share, but for crowds.
 
-    Each node meets those drawn before it. One with over `most` candidates in a bucket is left with `centres` of them
-    there; all of that bucket that have any candidate then come out as (a, a) too, so that later meetings find the rest.
+    Nodes with a true `known`, where there is such a column, are of crowds and do not meet one another. Each other node
+    meets them and those drawn before it. One with over `most` candidates in a bucket is left with `centres` of them
+    there; what loses a pair so, and is not known, comes out as (a, a) too, so that later meetings find the rest.
     """
     masks = block_masks(blocks)
 
     def run(bucket: pa.Table) -> pa.Table:
         order = drawn(bucket.column("node").to_numpy(), 0)
+        known = bucket.column("known").to_numpy()[order] if "known" in bucket.column_names else np.zeros(len(order), bool)
+        order = np.concatenate([order[known], order[~known]])
+        known = np.arange(len(order)) < known.sum()
         node, prints, seen = bucket.column("node").to_numpy()[order], words_of(bucket)[order], np.zeros(len(order), np.int64)
-        held, some = [(np.zeros(0, np.int64),) * 3], np.zeros(len(order), bool)
-        for i, j in close_rows(prints, radius):
-            some[i] = some[j] = True
+        held, lost = [(np.zeros(0, np.int64),) * 3], np.zeros(len(order), bool)
+        for i, j in close_rows(prints, radius, np.where(known, -1, np.arange(len(order)))):
+            i, j = i[~known[j]], j[~known[j]]  # known ones come first: a pair of two has a known j
             rank = ranks(j, seen)
             few = rank < max(most, centres)
             held.append((i[few], j[few], rank[few]))
+            lost[i[~few]] = lost[j[~few]] = True
         i, j, rank = (np.concatenate([h[k] for h in held]) for k in range(3))
-        crowd = seen > most
         here = first_shared(prints, i, j, masks) == bucket.column("bucket")[0].as_py() >> blocks.shape[1]
-        keep = here & (~crowd[j] | (rank < centres))
-        return named_pairs(node, [(i[keep], j[keep]), (np.flatnonzero(some & crowd.any()),) * 2])
+        i, j, keep = i[here], j[here], (seen[j[here]] <= most) | (rank[here] < centres)
+        lost[i[~keep]] = lost[j[~keep]] = True
+        return named_pairs(node, [(i[keep], j[keep]), (np.flatnonzero(lost & ~known),) * 2])
 
     return run
 
@@ -311,8 +333,10 @@ def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, bucket_pair
     equal to it meet nobody. Nodes of crowds, with over `bucket_pairs` candidates in all or drawn before them in a
     bucket, are compared with a few of one another, `centres` at a time in each of `rounds` rounds, which brings nearly
     all that belongs together into one component; what is still apart is then compared with all its other candidates
-    outside its own component, but for pairs that counts rule out (`may_be_similar`). Texts of fewer words than a shingle are one shingle; those without words are copies of one
-    another, as are null texts. Repeated rows and doc_ids change nothing. An empty table gives no rows.
+    outside its own component, but for pairs that counts rule out (`may_be_similar`). The first `centres` blocks find
+    most of them, so that the others need not name them, or pairs of two of them, once for each block; crowds that show
+    only in later blocks are found there. Texts of fewer words than a shingle are one shingle; those without words are
+    copies of one another, as are null texts. Repeated rows and doc_ids change nothing. An empty table gives no rows.
     Returns _k1, _k2 (the text's key, see `with_text_key`), node (of its shingle set) and root (of its component).
     """
 
@@ -329,11 +353,16 @@ def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, bucket_pair
     enough = rows.where(F.col("shingles") * (1 - least) >= least - 1e-6)  # n of n + 1 shingles are the nearest unequal sets
     nodes = stash(enough.groupBy("node").agg(F.min(F.struct("_k1", "_k2")).alias("of"), *(F.first(c).alias(c) for c in PRINT)), "near-nodes")
     blocks, radius = block_bits(nodes.count(), flip_chance(least), miss)
-    buckets = in_blocks(nodes.select("node", *PRINT), blocks).groupBy("bucket")
-    met = stash(buckets.applyInArrow(first_meeting(blocks, radius, bucket_pairs, centres), "a long, b long").distinct(), "near-met")
+    crowds = stash(in_blocks(nodes.select("node", *PRINT), blocks[:centres]).groupBy("bucket").applyInArrow(crowd_meeting(blocks, radius, bucket_pairs), "node long, other long"), "near-crowds")
+    known = crowds.select("node").distinct()
+    flagged = nodes.join(known.withColumn("known", F.lit(True)), "node", "left").select("node", *PRINT, F.coalesce("known", F.lit(False)).alias("known"))
+    first = in_blocks(flagged, blocks).groupBy("bucket").applyInArrow(first_meeting(blocks, radius, bucket_pairs, centres), "a long, b long")
+    met = stash(first.unionByName(known.select(F.col("node").alias("a"), F.col("node").alias("b"))).distinct(), "near-met")
     pairs, many = spread(met, bucket_pairs, centres)
+    pairs = pairs.unionByName(crowds.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))).distinct()
     # only texts of nodes that have a candidate are ever compared
-    asked = nodes.join(met.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", "of._k1", "of._k2")
+    ends = met.unionByName(crowds.toDF("a", "b")).select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    asked = nodes.join(ends, "node", "left_semi").select("node", "of._k1", "of._k2")
     wanted = stash(texts.join(asked.hint("merge"), ["_k1", "_k2"]).groupBy("node").agg(F.first("text").alias("text")), "near-texts")
     links = stash(verified(pairs, wanted, words, least), "near-links")
     roots = components(links)
@@ -353,7 +382,7 @@ def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, bucket_pair
             fruitful = 100 * found.count() > reads  # a round reads all its nodes in all blocks; the last step is exact
             drop_stash(apart)
         drop_stash(able)
-    drop_stash(wanted, met, many, nodes)
+    drop_stash(wanted, met, many, crowds, nodes)
     return rows.select("_k1", "_k2", "node").join(roots, "node", "left").select("_k1", "_k2", "node", F.coalesce("root", "node").alias("root"))
 
 
