@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from eigenloom.operators import em
+from eigenloom.operators import em, pca
 from eigenloom.operators import matrix as mx
 from eigenloom.plans.catalogue import ORACLES, QUERIES
 
@@ -29,7 +29,7 @@ def sent(monkeypatch):
         sizes.extend(v.size for v in out.values())
         return out
 
-    for module in (mx, em):
+    for module in (mx, em, pca):
         monkeypatch.setattr(module, "sum_arrays", watched)
     return sizes
 
@@ -38,11 +38,12 @@ def cells(df):
     return {(r.i, r.j): r.k for r in df.collect()}
 
 
-def test_covariance_of_likelihoods_in_blocks(spark, duck, sent, monkeypatch):
+@pytest.mark.parametrize("name", ["gl_covariance", "grm_samples"])
+def test_samples_by_samples_in_blocks(spark, duck, sent, monkeypatch, name):
     monkeypatch.setattr(mx, "SIDE", 150)  # four blocks, the last one narrower
     monkeypatch.setattr(mx, "PIECE", 10)  # several pieces of variants
-    got = cells(QUERIES["gl_covariance"](spark, SF))
-    want = {(i, j): k for i, j, k in duck.execute(f"SELECT i, j, k FROM ({ORACLES['gl_covariance']})").fetchall()}
+    got = cells(QUERIES[name](spark, SF))
+    want = {(i, j): k for i, j, k in duck.execute(f"SELECT i, j, k FROM ({ORACLES[name]})").fetchall()}
     assert len(got) == 500 * 501 // 2 and set(got) == set(want)
     assert np.abs(np.array([got[x] - want[x] for x in want])).max() < 1.5e-6
     assert max(sent, default=0) < 500 * 500
