@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from eigenloom.operators.matrix import column_of, rows_of, sum_arrays
+from eigenloom.operators.matrix import SIDE, batch_of, column_of, gram_blocks, rows_of, turned
+from eigenloom.operators.pca import sample_gram
 from eigenloom.operators.variants import with_each
 
 #: Samples whose part of a dot product one task takes.
@@ -230,45 +231,59 @@ def weighted_decay(bins: DataFrame, n: int | None = None) -> DataFrame:
     return out if n is None else out.withColumn("r2", bias_corrected(F.col("r2"), n))
 
 
-def _unit_on_chromosomes(rows: DataFrame, variants: DataFrame, column: str) -> DataFrame:
-    unit = unit_rows(rows.select("variant_idx", column), column).select("variant_idx", "unit").where("unit is not null")
-    return unit.join(variants.select("variant_idx", "chr"), "variant_idx").select("chr", "unit")
-
+def _across(rows: DataFrame, variants: DataFrame, column: str) -> tuple[int, float]:
+    """Number of pairs of variants on different chromosomes, and the sum of their r2.
 
-def _unit_gram(batches: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray]:
-    total, n = None, 0
-    for b in batches:
-        if b.num_rows:
-            x = rows_of(b, "unit")
-            total, n = (x.T @ x if total is None else total + x.T @ x), n + len(x)
-    return {} if total is None else {"gram": total, "n": np.array([n])}
+    With no more variants than samples, the sum is over the entries of the variants' Gram matrix, each from sums over
+    samples. Else it is the inner products of the chromosomes' Gram matrices of samples, so no pair is formed. Both are
+    taken by blocks of these matrices, in tasks that return a number for each.
+    """
+    unit = unit_rows(rows.select("variant_idx", column), column).select("variant_idx", "unit").where("unit is not null")
+    unit = unit.join(variants.select("variant_idx", "chr"), "variant_idx").persist()
+    try:
+        each = [r.asDict()["count"] for r in unit.groupBy("chr").count().collect()]
+        m = sum(each)
+        pairs = (m * m - sum(x * x for x in each)) // 2
+        if not pairs:
+            return 0, float("nan")
+        n = unit.agg(F.max(F.size("unit"))).first()[0]
+        if m > n:
+            return pairs, gram_blocks(unit, n, _inner, "r2 double", "unit", tag="chr").agg(F.sum("r2")).first()[0]
+        at = unit.select("variant_idx", "chr").toArrow().sort_by("variant_idx")["chr"]
+        code = np.unique(at.to_pylist(), return_inverse=True)[1]
+        shared = rows.sparkSession.sparkContext.broadcast(code)
+        turn = turned(unit, m, "unit")
+        if m <= SIDE:
+            gram = sample_gram(turn)
+            return pairs, float((gram**2)[code[:, None] < code[None, :]].sum())
+
+        def fold(i: int, j: int, parts: Iterator[tuple[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+            for _, block in parts:
+                a, b = shared.value[i : i + block.shape[0]], shared.value[j : j + block.shape[1]]
+                yield batch_of("r2 double", [float((block**2)[a[:, None] != b[None, :]].sum()) / (2 if i == j else 1)])
+
+        return pairs, gram_blocks(turn, m, fold, "r2 double").agg(F.sum("r2")).first()[0]
+    finally:
+        unit.unpersist()
+
+
+def _inner(i: int, j: int, parts: Iterator[tuple[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Sum of the inner products of each two chromosomes' blocks; those off the diagonal stand for two."""
+    before, total = None, 0.0
+    for _, block in parts:
+        if before is not None:
+            total += float((before * block).sum())
+        before = block if before is None else np.add(before, block, out=before)
+    yield batch_of("r2 double", [total * (1 if i == j else 2)])
 
 
 def cross_chromosome_mean(rows: DataFrame, variants: DataFrame, first: str, second: str, column: str = "r") -> DataFrame:
-    """Mean r2 of all pairs with one variant on each of two chromosomes: the background without linkage.
-
-    The sum of squared products of two sets of unit rows is the inner product of their samples' Gram matrices,
-    so each side is one distributed sum and no pair is formed.
-    """
-    unit = _unit_on_chromosomes(rows, variants, column)
-    a, b = (sum_arrays(unit.where(F.col("chr") == c).select("unit"), _unit_gram) for c in (first, second))
-    mean = float((a["gram"] * b["gram"]).sum() / (a["n"][0] * b["n"][0])) if a and b else float("nan")
-    return rows.sparkSession.createDataFrame([(first, second, int(a["n"][0] * b["n"][0]) if a and b else 0, mean)], "chr_a string, chr_b string, n_pairs long, mean_r2 double")
+    """Mean r2 of all pairs with one variant on each of two chromosomes: the background without linkage."""
+    n, total = _across(rows, variants.where(F.col("chr").isin(first, second)), column)
+    return rows.sparkSession.createDataFrame([(first, second, n, total / n if n else float("nan"))], "chr_a string, chr_b string, n_pairs long, mean_r2 double")
 
 
 def background_mean(rows: DataFrame, variants: DataFrame, column: str = "r") -> DataFrame:
-    """Mean r2 of all pairs of variants on different chromosomes, whichever: n_pairs, mean_r2 (NaN without a pair).
-
-    The inner product of all rows' Gram matrix with itself, less that of each chromosome's own, counts each pair
-    twice. Chromosomes are summed one after the other, so the driver holds two matrices of samples by samples.
-    """
-    unit = _unit_on_chromosomes(rows, variants, column)
-    total, within, n, n_within = None, 0.0, 0, 0
-    for c in sorted(r.chr for r in unit.select("chr").distinct().collect()):
-        one = sum_arrays(unit.where(F.col("chr") == c).select("unit"), _unit_gram)
-        total = one["gram"] if total is None else total + one["gram"]
-        within += float((one["gram"] ** 2).sum())
-        n, n_within = n + int(one["n"][0]), n_within + int(one["n"][0]) ** 2
-    pairs = (n * n - n_within) // 2
-    mean = (float((total**2).sum()) - within) / 2 / pairs if pairs else float("nan")
-    return rows.sparkSession.createDataFrame([(pairs, mean)], "n_pairs long, mean_r2 double")
+    """Mean r2 of all pairs of variants on different chromosomes, whichever: n_pairs, mean_r2 (NaN without a pair)."""
+    n, total = _across(rows, variants, column)
+    return rows.sparkSession.createDataFrame([(n, total / n if n else float("nan"))], "n_pairs long, mean_r2 double")

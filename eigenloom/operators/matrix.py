@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 #: Numbers of an array that one row holds (4 MB).
 BLOCK = 1 << 19
 
+#: Bytes of rows that a step in Python takes up at once, and bytes of a block of samples that is turned.
+STEP_BYTES, TURN_BYTES = 8 << 20, 8 << 20
+
 #: Rows of one array that the driver adds up, if it has fewer blocks.
 LANES = 16
 
@@ -39,6 +42,14 @@ def column_of(batch: pa.RecordBatch | pa.Table, name: str) -> np.ndarray:
     return batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False) if isinstance(batch, pa.RecordBatch) else batch[name].to_numpy()
 
 
+def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about STEP_BYTES, or of one row, so that what is made of them stays as small."""
+    for b in batches:
+        height = max(1, b.num_rows * STEP_BYTES // max(1, b.nbytes))
+        for first in range(0, b.num_rows, height):
+            yield b.slice(first, height)
+
+
 def sum_arrays(df: DataFrame, partial: Callable[[Iterator[pa.RecordBatch]], dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
     """Sum of the named arrays that `partial` makes of each partition, on the driver.
 
@@ -56,7 +67,7 @@ def sum_arrays(df: DataFrame, partial: Callable[[Iterator[pa.RecordBatch]], dict
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        for name, value in partial(batches).items():
+        for name, value in partial(steps(batches)).items():
             value = np.asarray(value, float)
             flat, blocks = value.ravel(), max(1, -(-value.size // BLOCK))
             for block in range(blocks):
@@ -93,9 +104,8 @@ def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sche
     """Apply `fn` to each Arrow batch of rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield fn(batch)
+        for batch in steps(batches):
+            yield fn(batch)
 
     return df.mapInArrow(run, schema)
 
@@ -121,6 +131,32 @@ def cut(rows: DataFrame, block: int, arrays: list[str], keep: list[str]) -> Data
     return each.select(*keep, "b", *(F.slice(a, F.col("b") * block + 1, F.lit(block)).alias(a) for a in arrays))
 
 
+def turned(rows: DataFrame, m: int, column: str = "x", diagonal: str | None = None) -> DataFrame:
+    """The matrix of `m` variants by sample: its number as `variant_idx`, and `x`, its values in the variants' order.
+
+    With `diagonal` also `e`, the sum of the sample's values in that array. Each task turns blocks of TURN_BYTES.
+    """
+    block = max(1, min(4096, TURN_BYTES // (8 * max(1, m))))
+    arrays = [column, *([diagonal] if diagonal else [])]
+    schema = "variant_idx long, x array<double>" + (", e double" if diagonal else "")
+
+    def turn(t: pa.Table) -> pa.Table:
+        t = t.sort_by("variant_idx")
+        x = rows_of(t, column).T
+        extra = [rows_of(t, diagonal).sum(axis=0)] if diagonal else []
+        return pa.Table.from_batches([batch_of(schema, t["b"][0].as_py() * block + np.arange(len(x)), x, *extra)])
+
+    return cut(rows, block, arrays, ["variant_idx"]).groupBy("b").applyInArrow(turn, schema)
+
+
+def gathered(scores: DataFrame, n: int, k: int) -> np.ndarray:
+    """Rows (variant_idx, v) of n samples as one matrix on the driver."""
+    t, out = scores.toArrow(), np.empty((n, k))
+    if t.num_rows:
+        out[column_of(t, "variant_idx")] = rows_of(t, "v")
+    return out
+
+
 def gram_blocks(rows: DataFrame, n: int, fold: Callable, schema: str, column: str = "x", diagonal: str | None = None, tag: str | None = None) -> DataFrame:
     """Sum over rows of x x^T, samples by samples, in square blocks; `fold` makes batches of `schema` of each.
 

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from eigenloom.operators import em, pca
+from eigenloom.operators import em, ld, pca
 from eigenloom.operators import matrix as mx
 from eigenloom.plans.catalogue import ORACLES, QUERIES
 
@@ -47,3 +47,26 @@ def test_samples_by_samples_in_blocks(spark, duck, sent, monkeypatch, name):
     assert len(got) == 500 * 501 // 2 and set(got) == set(want)
     assert np.abs(np.array([got[x] - want[x] for x in want])).max() < 1.5e-6
     assert max(sent, default=0) < 500 * 500
+
+
+@pytest.mark.parametrize("m,n", [(45, 30), (30, 45)])
+def test_background_by_blocks_of_either_side(spark, sent, monkeypatch, m, n):
+    for module in (mx, ld):
+        monkeypatch.setattr(module, "SIDE", 8)
+    monkeypatch.setattr(mx, "PIECE", 7)
+    x = np.random.default_rng(m).standard_normal((m, n))
+    rows = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "variant_idx long, r array<double>").repartition(3)
+    markers = spark.createDataFrame([(i, str(i % 3)) for i in range(m)], "variant_idx long, chr string")
+    r2 = [np.corrcoef(x[i], x[k])[0, 1] ** 2 for i in range(m) for k in range(i) if i % 3 != k % 3]
+    got = ld.background_mean(rows, markers).first()
+    assert got.n_pairs == len(r2) and got.mean_r2 == pytest.approx(np.mean(r2), rel=1e-9)
+    r2 = [np.corrcoef(x[i], x[k])[0, 1] ** 2 for i in range(0, m, 3) for k in range(2, m, 3)]
+    got = ld.cross_chromosome_mean(rows, markers, "0", "2").first()
+    assert got.n_pairs == len(r2) and got.mean_r2 == pytest.approx(np.mean(r2), rel=1e-9)
+    assert not sent
+
+
+def test_background_of_many_samples_sends_variants_by_variants(spark, duck, sent):
+    got = QUERIES["ld_cross_chr_mean"](spark, SF).first()
+    assert tuple(got) == duck.execute(ORACLES["ld_cross_chr_mean"]).fetchone()
+    assert sent and max(sent) <= 64 * 64
