@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eigenloom.operators.matrix import batch_of, column_of, map_rows, rows_of, sum_arrays
+from eigenloom.operators.matrix import batch_of, column_of, gathered, map_rows, rows_of, sum_arrays, turned
 
 #: The smaller dimension up to which the exact method is chosen by "auto".
 EXACT_UP_TO = 10_000
@@ -112,29 +112,10 @@ def sample_gram(rows: DataFrame, column: str = "x") -> np.ndarray:
     return sum_arrays(rows.select(column), partial).get("gram", np.zeros((0, 0)))
 
 
-def feature_gram(rows: DataFrame, n_samples: int, column: str = "x", block: int = 4096) -> tuple[np.ndarray, list[int]]:
-    """Sum over samples of x x^T, variants by variants, and the variants' order: for fewer variants than samples.
-
-    Rows are cut into blocks of samples; a block holds all variants, whose number is bounded by the caller.
-    """
-    order = [r.variant_idx for r in rows.select("variant_idx").orderBy("variant_idx").collect()]
-    pieces = rows.select("variant_idx", F.explode(F.sequence(F.lit(0), F.lit((n_samples - 1) // block))).alias("b"), column).select("variant_idx", "b", F.slice(column, F.col("b") * block + 1, F.lit(block)).alias("x"))
-    schema = "name string, data binary"
-
-    def gram(t: pa.Table) -> pa.Table:
-        t = t.sort_by("variant_idx")
-        x = rows_of(t, "x")
-        return pa.table({"name": ["gram"], "data": [(x @ x.T).tobytes()]})
-
-    def partial(batches: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray]:
-        total = None
-        for b in batches:
-            for raw in b.column(1).to_pylist():
-                g = np.frombuffer(raw).reshape(len(order), len(order))
-                total = g.copy() if total is None else total + g
-        return {} if total is None else {"gram": total}
-
-    return sum_arrays(pieces.groupBy("b").applyInArrow(gram, schema), partial)["gram"], order
+def feature_gram(rows: DataFrame, column: str = "x") -> tuple[np.ndarray, list[int]]:
+    """Sum over samples of x x^T, variants by variants, and the variants' order: for fewer variants than samples."""
+    order = sorted(r.variant_idx for r in rows.select("variant_idx").collect())
+    return sample_gram(turned(rows, len(order), column)), order
 
 
 def power_pass(rows: DataFrame, omega: np.ndarray, column: str = "x") -> tuple[np.ndarray, np.ndarray]:
@@ -189,33 +170,34 @@ def random_start(n: int, width: int, seed: int, kind: str) -> np.ndarray:
     return rng.standard_normal((n, width)) if kind == "gaussian" else rng.uniform(-1, 1, (n, width))
 
 
-def exact(rows: DataFrame, k: int, n: int, m: int) -> tuple[np.ndarray, np.ndarray, DataFrame]:
-    """Eigenvectors of the smaller Gram matrix."""
-    if n <= m:
-        lam, vec = np.linalg.eigh(sample_gram(rows))
-        top = np.argsort(-lam)[:k]
-        s = np.sqrt(np.maximum(lam[top], 0))
-        (u,) = flip_signs(vec[:, top])
-        return u, s, loadings_of(rows, u, s)
-    gram, order = feature_gram(rows, n)
-    lam, vec = np.linalg.eigh(gram)
+def exact(rows: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Eigenvectors of the rows' Gram matrix, and the square roots of its eigenvalues."""
+    lam, vec = np.linalg.eigh(sample_gram(rows))
     top = np.argsort(-lam)[:k]
-    s = np.sqrt(np.maximum(lam[top], 0))
-    v = rows.sparkSession.sparkContext.broadcast((vec[:, top], {x: i for i, x in enumerate(order)}))
+    return vec[:, top], np.sqrt(np.maximum(lam[top], 0))
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray]:
-        weights, place = v.value
-        total = None
-        for b in batches:
-            if b.num_rows:
-                part = rows_of(b, "x").T @ weights[[place[i] for i in column_of(b, "variant_idx").tolist()]]
-                total = part if total is None else total + part
-        return {} if total is None else {"u": total}
 
-    u = sum_arrays(rows.select("variant_idx", "x"), partial)["u"] / np.where(s > 0, s, 1.0)
-    u, w = flip_signs(u, vec[:, top])
-    made = rows.sparkSession.createDataFrame([(int(i), [float(x) for x in w[j]]) for j, i in enumerate(order)], "variant_idx long, v array<double>")
-    return u, s, made
+def by_sample(rows: DataFrame, k: int, n: int, m: int, method: str, options: dict) -> tuple[np.ndarray, np.ndarray, DataFrame, list[float]]:
+    """Components of a matrix with more samples than variants, by iterations on vectors of its variants.
+
+    The matrix is turned once and kept; passes over it return sums of the variants' number times a few components, and
+    the scores, which are products of the rows, are sent to the driver once. Iterated vectors are rotated within their
+    span to make the scores orthogonal.
+    """
+    turn, history = turned(rows, m).persist(), []
+    try:
+        if method == "full":
+            v, s = exact(turn, k)
+        else:
+            v, _, history = METHODS[method](turn, k, m, **({"m": n} if method == "winsvd" else {}) | options)
+            lam, p = np.linalg.eigh(power_pass(turn, v)[1])
+            v, s = v @ p[:, ::-1], np.sqrt(np.maximum(lam[::-1], 0))
+        u, v = flip_signs(gathered(loadings_of(turn, v, s), n, v.shape[1]), v)
+    finally:
+        turn.unpersist()
+    order = np.sort(column_of(rows.select("variant_idx").toArrow(), "variant_idx"))
+    schema = "variant_idx long, v array<double>"
+    return u, s, rows.sparkSession.createDataFrame(pa.Table.from_batches([batch_of(schema, order, v)])), history
 
 
 def randomized(rows: DataFrame, k: int, n: int, *, oversamples: int = 10, max_passes: int = 20, tol: float = 1e-4, seed: int = 112, rand: str = "gaussian") -> tuple[np.ndarray, np.ndarray, list[float]]:
@@ -324,8 +306,8 @@ METHODS: dict[str, Callable] = {"rsvd": randomized, "winsvd": windowed, "lanczos
 def decompose(rows: DataFrame, k: int, method: str = "auto", scale: str = "standardized", **options) -> PCAModel:
     """Top k components of the rows' column `x`.
 
-    "full" takes the eigenvectors of the smaller Gram matrix; "rsvd", "winsvd" and "lanczos" iterate; "auto" is
-    exact up to EXACT_UP_TO rows or columns, else winsvd. Signs make each score vector's largest entry positive.
+    "full" takes the eigenvectors of the smaller Gram matrix; "rsvd", "winsvd" and "lanczos" iterate on vectors of the
+    smaller dimension; "auto" is exact up to EXACT_UP_TO rows or columns, else winsvd. Signs make each score vector's largest entry positive.
     """
     n, m = dimensions(rows)
     k = min(k, n, m)
@@ -333,14 +315,15 @@ def decompose(rows: DataFrame, k: int, method: str = "auto", scale: str = "stand
         raise ValueError("there are no values to decompose")
     if method == "auto":
         method = "full" if min(n, m) <= EXACT_UP_TO else "winsvd"
-    if method == "full":
-        u, s, packed = exact(rows, k, n, m)
-        return PCAModel(rows.sparkSession, u, s, packed, n, m, scale)
-    if method not in METHODS:
+    if method not in ("full", *METHODS):
         raise ValueError(f"unknown method {method}")
-    if method == "winsvd":
-        options.setdefault("m", m)
-    u, s, history = METHODS[method](rows, k, n, **options)
+    if n > m:
+        u, s, packed, history = by_sample(rows, k, n, m, method, options)
+        return PCAModel(rows.sparkSession, u, s, packed, n, m, scale, history)
+    if method == "full":
+        (u, s), history = exact(rows, k), []
+    else:
+        u, s, history = METHODS[method](rows, k, n, **({"m": m} if method == "winsvd" else {}) | options)
     (u,) = flip_signs(u)
     return PCAModel(rows.sparkSession, u, s, loadings_of(rows, u, s), n, m, scale, history)
 

@@ -157,7 +157,7 @@ def grm_samples(spark, sf_dir):
 @register(o.query([*GX, *o.standardized()], "SELECT a.v::BIGINT AS i, b.v::BIGINT AS j, round(sum(a.x * b.x) / 64, 6) + 0.0::DOUBLE AS k FROM xs a JOIN xs b ON a.s = b.s AND a.v <= b.v GROUP BY ALL"))
 def feature_gram(spark, sf_dir):
     x = normalize.standardized(fx.genotypes(spark, sf_dir)).persist()
-    gram, _ = pca.feature_gram(x, pca.dimensions(x)[0])
+    gram, _ = pca.feature_gram(x)
     x.unpersist()
     return upper(spark, gram / fx.VARIANTS)
 

@@ -70,3 +70,12 @@ def test_background_of_many_samples_sends_variants_by_variants(spark, duck, sent
     got = QUERIES["ld_cross_chr_mean"](spark, SF).first()
     assert tuple(got) == duck.execute(ORACLES["ld_cross_chr_mean"]).fetchone()
     assert sent and max(sent) <= 64 * 64
+
+
+@pytest.mark.parametrize("name", ["rsvd_vs_exact"])
+def test_iterations_send_vectors_of_the_smaller_side(spark, duck, sent, name):
+    df = QUERIES[name](spark, SF)
+    order = ", ".join(df.columns).replace("check", '"check"')
+    want = duck.execute(f"SELECT {order} FROM ({ORACLES[name]})").fetchall()
+    assert sorted(tuple(r) for r in df.collect()) == sorted(want)
+    assert sent and max(sent) <= 64 * 64  # 64 variants, 500 samples
