@@ -72,7 +72,7 @@ def test_background_of_many_samples_sends_variants_by_variants(spark, duck, sent
     assert sent and max(sent) <= 64 * 64
 
 
-@pytest.mark.parametrize("name", ["rsvd_vs_exact", "winsvd_vs_exact", "pca_pc1_power"])
+@pytest.mark.parametrize("name", ["rsvd_vs_exact", "winsvd_vs_exact", "pca_pc1_power", "lanczos_vs_exact"])
 def test_iterations_send_vectors_of_the_smaller_side(spark, duck, sent, name):
     df = QUERIES[name](spark, SF)
     order = ", ".join(df.columns).replace("check", '"check"')
