@@ -44,7 +44,7 @@ def pca(geno: DataFrame, k: int = DEFAULTS.components, method: str = "auto", sta
 
 def pca_likelihoods(gl: DataFrame, k: int = DEFAULTS.components, method: str = "auto", **options) -> PCAModel:
     """Components of genotype likelihoods (variant_idx, p0, p1)."""
-    return em.pcangsd(gl, k, method, DEFAULTS.max_iter, DEFAULTS.tol_em, **options)[0]
+    return em.pcangsd(gl, k, method, DEFAULTS.max_iter, DEFAULTS.tol_em, components=k, **options)[0]
 
 
 def pca_counts(counts: DataFrame, k: int = DEFAULTS.components, scale: int = 2, scale_factor: float = 1.0, method: str = "auto", **options) -> tuple[PCAModel, list[str]]:

@@ -8,11 +8,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from eigenloom.operators.matrix import batch_of, column_of, gram_cells, map_rows, rows_of, sum_arrays
+from eigenloom.operators.matrix import batch_of, column_of, gathered, gram_cells, map_rows, rows_of, sum_arrays, turned
 from eigenloom.operators.normalize import centred
 from eigenloom.operators.variants import with_each
-from eigenloom.operators.pca import PCAModel, decompose, dimensions, flip_signs, mev
+from eigenloom.operators.pca import PCAModel, decompose, dimensions, flip_signs, lanczos, mev, sample_gram
 
 #: Individual frequencies are kept this far from 0 and 1.
 EDGE = 1e-4
@@ -79,14 +80,15 @@ def individual_frequency(rows: DataFrame, model: PCAModel, dosage_scale: float =
     if model.scale == "standardized":
         raise ValueError("individual frequencies need components of values that are only centred")
     us = rows.sparkSession.sparkContext.broadcast(model.u * model.s)
-    joined = rows.join(model.packed_loadings, "variant_idx").select("variant_idx", "v", "af")
-    schema = "variant_idx long, pi array<double>"
+    joined = rows.join(model.packed_loadings, "variant_idx").select(*rows.columns, "v")
+    schema = StructType([*rows.schema.fields, StructField("pi", ArrayType(DoubleType()))])
 
     def fn(b: pa.RecordBatch) -> pa.RecordBatch:
-        pi = rows_of(b, "v") @ us.value.T / dosage_scale + column_of(b, "af")[:, None]
-        return batch_of(schema, column_of(b, "variant_idx"), np.clip(pi, EDGE, 1 - EDGE))
+        pi = np.clip(rows_of(b, "v") @ us.value.T / dosage_scale + column_of(b, "af")[:, None], EDGE, 1 - EDGE)
+        made = batch_of("pi array<double>", pi).column(0)
+        return pa.RecordBatch.from_arrays([*b.columns[:-1], made], [*b.schema.names[:-1], "pi"])
 
-    return rows.join(map_rows(joined, fn, schema), "variant_idx")
+    return map_rows(joined, fn, schema)
 
 
 def likelihood_rows(gl: DataFrame) -> DataFrame:
@@ -143,29 +145,34 @@ def emu(geno: DataFrame, k: int, method: str = "auto", max_iter: int = 100, tol:
         base.unpersist()
 
 
-def pcangsd(gl: DataFrame, k: int, method: str = "auto", max_iter: int = 100, tol: float = 1e-5, **options) -> tuple[PCAModel, np.ndarray]:
+def pcangsd(gl: DataFrame, k: int, method: str = "auto", max_iter: int = 100, tol: float = 1e-5, components: int | None = None, **options) -> tuple[PCAModel, np.ndarray | None]:
     """PCA of genotype likelihoods (variant_idx, p0, p1): individual frequencies and dosages in turn.
 
     Rows that have `af` keep it; else it is found by EM.
-    Returns the components of the final covariance of samples (all of them), and that covariance, whose
-    diagonal is corrected for the genotypes' uncertainty.
+    Returns the components of the final covariance of samples, whose diagonal is corrected for the genotypes'
+    uncertainty. Given the number of `components`, this covariance is never formed, and None is returned for it; else
+    all its components are returned and the covariance itself, which must have room on the driver.
     """
     rows = (gl if "af" in gl.columns else em_frequency(gl)).persist()
     try:
         base = likelihood_rows(rows)
-        model = decompose(base, k, method, "dosage", **options)
+        model, history = decompose(base, k, method, "dosage", **options), []
         for _ in range(max_iter):
             again = decompose(update_dosage(individual_frequency(rows, model)), k, method, "dosage", **options)
-            change = 1 - mev(again.u, model.u)
+            history.append(1 - mev(again.u, model.u))
             model = again
-            if change < tol:
+            if history[-1] < tol:
                 break
+        if components is not None:
+            n, m = dimensions(rows, "p0")
+            u, s = covariance_components(covariance_rows(individual_frequency(rows, model)), min(components, n), n, m)
+            return PCAModel(gl.sparkSession, u, s, model.packed_loadings, n, m, "standardized", history), None
         cov = gl_covariance(individual_frequency(rows, model))
         lam, vec = np.linalg.eigh(cov)
         top = np.argsort(-lam)
         (u,) = flip_signs(vec[:, top])
         n, m = dimensions(base)
-        return PCAModel(gl.sparkSession, u, np.sqrt(np.maximum(lam[top], 0) * m), model.packed_loadings, n, m, "standardized"), cov
+        return PCAModel(gl.sparkSession, u, np.sqrt(np.maximum(lam[top], 0) * m), model.packed_loadings, n, m, "standardized", history), cov
     finally:
         rows.unpersist()
 
@@ -223,6 +230,86 @@ def gl_covariance(rows: DataFrame) -> np.ndarray:
     return (sums["gram"] + np.diag(sums["excess"])) / sums["m"][0]
 
 
+def covariance_components(rows: DataFrame, k: int, n: int, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """First k eigenvectors of K = sum x x^T + diag(sum e) over rows (variant_idx, x, e), and roots of its eigenvalues.
+
+    With more samples than variants, K is a matrix of the variants' rank and a diagonal D. An eigenvalue above all of D
+    is that t at which S(t) = X (t - D)^-1 X^T, variants by variants, has the eigenvalue 1, and (t - D)^-1 X^T w its
+    vector, w being that of S. S is a sum over samples, and falls as t grows. Otherwise, and where eigenvalues lie among
+    D, products of K with a vector are summed over the rows.
+    """
+    if n > m:
+        turn = turned(rows, m, "x", "e").persist()
+        try:
+            found = _above_diagonal(turn, k, n)
+        finally:
+            turn.unpersist()
+        if found is not None:
+            return found
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray]:
+        total = None
+        for b in batches:
+            part = rows_of(b, "e").sum(axis=0)
+            total = part if total is None else total + part
+        return {} if total is None else {"e": total}
+
+    held = rows.persist()
+    try:
+        u, s, _ = lanczos(held, k, n, tol=1e-10, diagonal=sum_arrays(held.select("e"), partial)["e"])
+    finally:
+        held.unpersist()
+    (u,) = flip_signs(u)
+    return u, s
+
+
+def _above_diagonal(turn: DataFrame, k: int, n: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """The components if all k eigenvalues surely lie above the diagonal (variant_idx, x, e), else None."""
+    r = turn.agg(F.min("e").alias("low"), F.max("e").alias("high")).first()
+
+    plain = np.linalg.eigvalsh(sample_gram(turn))[::-1][:k]
+    if k > len(plain) or (plain + r.low <= max(r.high, 0.0)).any():
+        return None
+
+    def spectra(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """1 / mu - 1 of the j-th eigenvalue mu of S at the j-th place, and its vector."""
+
+        def partial(batches: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray]:
+            out: dict[str, np.ndarray] = {}
+            for b in batches:
+                x, e = rows_of(b, "x"), column_of(b, "e")
+                for j, t in enumerate(at):
+                    part = (x / (t - e)[:, None]).T @ x
+                    out[str(j)] = out[str(j)] + part if str(j) in out else part
+            return out
+
+        sums = sum_arrays(turn.select("x", "e"), partial)
+        lam, vec = zip(*(np.linalg.eigh(sums[str(j)]) for j in range(k)), strict=True)
+        return 1 / np.array([lam[j][-1 - j] for j in range(k)]) - 1, np.stack([vec[j][:, -1 - j] for j in range(k)], axis=1)
+
+    low, high = plain + r.low, plain + r.high  # an eigenvalue lies between these
+    f_low, f_high = spectra(low)[0], spectra(high)[0]  # close to linear, and rising
+    for _ in range(100):
+        spread = f_high - f_low
+        at = np.clip(np.where(spread > 0, low - f_low * (high - low) / np.where(spread > 0, spread, 1.0), high), low, high)
+        f, w = spectra(at)
+        if (np.abs(f) < 1e-12).all() or (high - low <= 1e-14 * high).all():
+            break
+        above = f > 0
+        # an end that stays counts half, so that both ends move
+        f_low, f_high = np.where(above, f_low / 2, f), np.where(above, f, f_high / 2)
+        low, high = np.where(above, low, at), np.where(above, at, high)
+    schema, shared = "variant_idx long, v array<double>", turn.sparkSession.sparkContext.broadcast((w, at))
+
+    def fn(b: pa.RecordBatch) -> pa.RecordBatch:
+        w, at = shared.value
+        return batch_of(schema, column_of(b, "variant_idx"), rows_of(b, "x") @ w / (at - column_of(b, "e")[:, None]))
+
+    u = gathered(map_rows(turn, fn, schema), n, k)
+    (u,) = flip_signs(u / np.linalg.norm(u, axis=0))
+    return u, np.sqrt(np.maximum(at, 0))
+
+
 def predict_missing(geno: DataFrame, u: np.ndarray) -> DataFrame:
     """Fill each variant's missing cells by its regression on U over the samples that have a value: adds `x`."""
     shared = geno.sparkSession.sparkContext.broadcast(u)

@@ -266,8 +266,11 @@ def align_to(old: np.ndarray, new: np.ndarray) -> np.ndarray:
     return align_signs(old, new) if old.shape == new.shape else new
 
 
-def lanczos(rows: DataFrame, k: int, n: int, *, ncv: int | None = None, max_restarts: int = 1000, tol: float = 1e-6, seed: int = 112) -> tuple[np.ndarray, np.ndarray, list[float]]:
-    """Thick-restart Lanczos on K = sum x x^T with a distributed product; max(20, 2k + 1) vectors between restarts."""
+def lanczos(rows: DataFrame, k: int, n: int, *, ncv: int | None = None, max_restarts: int = 1000, tol: float = 1e-6, seed: int = 112, diagonal: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, list[float]]:
+    """Thick-restart Lanczos on K = sum x x^T with a distributed product; max(20, 2k + 1) vectors between restarts.
+
+    `diagonal`, if given, is added to that of K.
+    """
     width = min(n, ncv or max(20, 2 * k + 1))
     basis, t = np.zeros((n, width + 1)), np.zeros((width, width))
     basis[:, 0] = orthonormal(random_start(n, 1, seed, "gaussian"))[:, 0]
@@ -276,6 +279,8 @@ def lanczos(rows: DataFrame, k: int, n: int, *, ncv: int | None = None, max_rest
         beta = 0.0
         for j in range(size, width):
             w = power_pass(rows, basis[:, j : j + 1])[0][:, 0]
+            if diagonal is not None:
+                w += diagonal * basis[:, j]
             t[: j + 1, j] = t[j, : j + 1] = basis[:, : j + 1].T @ w
             for _ in range(2):
                 w -= basis[:, : j + 1] @ (basis[:, : j + 1].T @ w)

@@ -621,11 +621,11 @@ def emu_pca(spark, sf_dir):
 @register(o.query([*o.BASE["lx"], *o.pcangsd(GL_ROUNDS, EM_STEPS)], "SELECT s::INTEGER AS sample_idx, 1::INTEGER AS pc, round(u, 6) AS u FROM gu"))
 def pcangsd_first_component(spark, sf_dir):
     rows = em.em_frequency(fx.likelihoods(spark, sf_dir), iterations=EM_STEPS)
-    model, _ = em.pcangsd(rows, 1, "full", max_iter=GL_ROUNDS, tol=-1)  # no early end
+    model, _ = em.pcangsd(rows, 1, "full", max_iter=GL_ROUNDS, tol=-1, components=1)  # no early end
     return model.scores().where("pc = 1").select("sample_idx", "pc", r6("u").alias("u"))
 
 
 @register()
 def pcangsd_pca(spark, sf_dir):
-    model, _ = em.pcangsd(fx.likelihoods(spark, sf_dir), 1, "full", max_iter=4)
+    model, _ = em.pcangsd(fx.likelihoods(spark, sf_dir), 1, "full", max_iter=4, components=2)
     return model.scores().where("pc <= 2").select("sample_idx", "pc", r6("u").alias("u"))

@@ -79,3 +79,23 @@ def test_iterations_send_vectors_of_the_smaller_side(spark, duck, sent, name):
     want = duck.execute(f"SELECT {order} FROM ({ORACLES[name]})").fetchall()
     assert sorted(tuple(r) for r in df.collect()) == sorted(want)
     assert sent and max(sent) <= 64 * 64  # 64 variants, 500 samples
+
+
+@pytest.mark.parametrize("m,n,high", [(12, 40, 1.0), (12, 40, 60.0), (40, 25, 1.0)])
+def test_components_of_a_covariance_that_is_not_formed(spark, sent, m, n, high):
+    rng = np.random.default_rng(5)
+    x, e = rng.standard_normal((m, n)), rng.random((m, n)) * high / m
+    x[:, : n // 2] += 2 * rng.choice([-1, 1], m)[:, None]
+    rows = spark.createDataFrame([(i, a.tolist(), b.tolist()) for i, (a, b) in enumerate(zip(x, e, strict=True))], "variant_idx long, x array<double>, e array<double>").repartition(3)
+    lam, vec = np.linalg.eigh(x.T @ x + np.diag(e.sum(axis=0)))
+    u, s = em.covariance_components(rows, 2, n, m)
+    assert np.allclose(s**2, lam[:-3:-1], rtol=1e-9)
+    assert np.allclose(np.abs(u.T @ vec[:, :-3:-1]), np.eye(2), atol=1e-8)
+    assert max(sent) < n * n
+
+
+def test_first_component_of_likelihoods_without_their_covariance(spark, duck, sent):
+    got = {r.sample_idx: r.u for r in QUERIES["pcangsd_first_component"](spark, SF).collect()}
+    want = dict(duck.execute(f"SELECT sample_idx, u FROM ({ORACLES['pcangsd_first_component']})").fetchall())
+    assert set(got) == set(want) and max(abs(got[i] - want[i]) for i in want) < 1.5e-6
+    assert max(sent) < 500 * 500
