@@ -99,3 +99,9 @@ def test_first_component_of_likelihoods_without_their_covariance(spark, duck, se
     want = dict(duck.execute(f"SELECT sample_idx, u FROM ({ORACLES['pcangsd_first_component']})").fetchall())
     assert set(got) == set(want) and max(abs(got[i] - want[i]) for i in want) < 1.5e-6
     assert max(sent) < 500 * 500
+
+
+def test_two_components_of_likelihoods(spark, sent):
+    rows = QUERIES["pcangsd_pca"](spark, SF).collect()
+    assert max(sent) < 500 * 500
+    assert sorted((r.sample_idx, r.pc) for r in rows) == [(i, pc) for i in range(500) for pc in (1, 2)]
