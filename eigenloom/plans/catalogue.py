@@ -627,5 +627,5 @@ def pcangsd_first_component(spark, sf_dir):
 
 @register()
 def pcangsd_pca(spark, sf_dir):
-    model, _ = em.pcangsd(fx.likelihoods(spark, sf_dir), 1, "full", max_iter=4, components=2)
+    model, _ = em.pcangsd(fx.likelihoods(spark, sf_dir), 1, "full", components=2)
     return model.scores().where("pc <= 2").select("sample_idx", "pc", r6("u").alias("u"))
