@@ -112,3 +112,17 @@ def test_two_components_of_likelihoods(spark, sent):
     whole, cov = em.pcangsd(gl, 1, "full")  # the operator's own end
     gl.unpersist()
     assert cov.shape == (500, 500) and np.abs(got - whole.u[:, :2]).max() < 1e-5
+
+
+def test_rows_come_in_slices(spark, duck, sent):
+    rows = spark.range(0, 40, 1, 1).selectExpr("id", "array_repeat(double(id), 100000) AS x")  # 32 MB
+
+    def height(b):
+        return mx.batch_of("id long, n long", mx.column_of(b, "id"), [b.num_rows] * b.num_rows)
+
+    seen = mx.map_rows(rows, height, "id long, n long").collect()
+    assert sorted(r.id for r in seen) == list(range(40)) and max(r.n for r in seen) <= 11
+    got = {r.variant_idx: r.v for r in QUERIES["pca_loadings"](spark, SF).collect()}
+    want = dict(duck.execute(f"SELECT variant_idx, v FROM ({ORACLES['pca_loadings']})").fetchall())
+    assert set(got) == set(want) and max(abs(got[i] - want[i]) for i in want) < 1.5e-6
+    assert max(sent) <= 64 * 64  # no sum over samples
