@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eigenloom.operators.em import EDGE, posterior_dosage
-from eigenloom.operators.matrix import rows_of, sum_arrays
+from eigenloom.operators.matrix import batch_of, cut, rows_of, sum_arrays
 from eigenloom.operators.normalize import genetic_scale
 from eigenloom.operators.variants import with_each
 
@@ -57,25 +58,61 @@ def normal_sums(x: np.ndarray, design: np.ndarray, weight: np.ndarray | None = N
 def solve(ata: np.ndarray, atx: np.ndarray, seen: np.ndarray) -> np.ndarray:
     """Least squares of every sample from its sums; NaN with fewer observations than components."""
     k = atx.shape[1]
-    out = np.full(atx.shape, np.nan)
-    for i in np.flatnonzero(seen >= k):
-        out[i] = np.linalg.lstsq(ata[i].reshape(k, k), atx[i], rcond=None)[0]
-    return out
+    u = (np.linalg.pinv(ata.reshape(-1, k, k), rcond=np.finfo(float).eps * k) @ atx[:, :, None])[:, :, 0]
+    return np.where((seen >= k)[:, None], u, np.nan)
+
+
+#: Numbers of the sums of one block of samples (8 MB), and variants whose part of these one task takes.
+AT_ONCE, VARIANTS_AT_ONCE = 1 << 20, 1024
+
+
+def solved(rows: DataFrame, k: int, sums: Callable, arrays: list[str], keep: list[str], replicates: int = 1, at_once: int = AT_ONCE) -> DataFrame:
+    """Least-squares scores by blocks of samples: (first, u), `u` the bytes of replicates by samples by components.
+
+    `sums(piece, first, r)` gives the normal sums of a piece of the rows: some variants, and samples from `first` on. Sums
+    of a block are added and solved in one task, which holds `at_once` numbers of them.
+    """
+    block = max(1, min(4096, at_once // (replicates * (k * k + k + 1))))
+    placed = rows.withColumn("c", F.floor(F.col("variant_idx") / VARIANTS_AT_ONCE))
+
+    def part(t: pa.Table) -> pa.Table:
+        t = t.sort_by("variant_idx")
+        first = t["b"][0].as_py() * block
+        each = [np.concatenate(sums(t, first, r), axis=1) for r in range(replicates)]
+        return pa.table({"b": t["b"][:1], "c": t["c"][:1], "data": pa.array([np.stack(each).tobytes()], pa.binary())})
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        records = ((b.column(0)[i].as_py(), b.column(2)[i].as_buffer()) for b in batches for i in range(b.num_rows))
+        for b, of_block in groupby(records, key=lambda r: r[0]):
+            total = None
+            for _, data in of_block:
+                total = np.frombuffer(data).copy() if total is None else np.add(total, np.frombuffer(data), out=total)
+            total = total.reshape(replicates, -1, k * k + k + 1)
+            u = np.stack([solve(x[:, : k * k], x[:, k * k : -1], x[:, -1]) for x in total])
+            yield pa.RecordBatch.from_arrays([pa.array([b * block], pa.int64()), pa.array([u.tobytes()], pa.binary())], ["first", "u"])
+
+    parts = cut(placed, block, arrays, ["variant_idx", "c", *keep]).groupBy("b", "c").applyInArrow(part, "b int, c long, data binary")
+    return parts.repartition("b").sortWithinPartitions("b", "c").mapInArrow(add, "first long, u binary")
+
+
+def weighted_sums(x: np.ndarray, design: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    ata, atx, seen = normal_sums(x, design, weight)
+    return ata, atx, seen[:, None]
+
+
+def on_driver(blocks: DataFrame, k: int) -> np.ndarray:
+    """Scores of `solved` without replicates, as one matrix."""
+    parts = sorted(blocks.collect(), key=lambda r: r.first)
+    return np.concatenate([np.frombuffer(r.u).reshape(-1, k) for r in parts]) if parts else np.zeros((0, k))
 
 
 def project_least_squares(rows: DataFrame, s: np.ndarray) -> np.ndarray:
-    """U that minimises |V S u - x| over each sample's observed values: K (K + 1) sums for each sample."""
+    """U that minimises |V S u - x| over each sample's observed values."""
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray]:
-        out: dict[str, np.ndarray] = {}
-        for b in batches:
-            if b.num_rows:
-                for name, part in zip(("ata", "atx", "seen"), normal_sums(rows_of(b, "x"), rows_of(b, "v")[:, : len(s)] * s), strict=True):
-                    out[name] = out[name] + part if name in out else part
-        return out
+    def sums(t: pa.Table, first: int, r: int) -> tuple[np.ndarray, ...]:
+        return weighted_sums(rows_of(t, "x"), rows_of(t, "v")[:, : len(s)] * s)
 
-    sums = sum_arrays(rows.select("x", "v"), partial)
-    return solve(sums["ata"], sums["atx"], sums["seen"])
+    return on_driver(solved(rows, len(s), sums, ["x"], ["v"]), len(s))
 
 
 def project_likelihoods(rows: DataFrame, s: np.ndarray, max_iter: int = 100, tol: float = 1e-5, iterations: int | None = None) -> np.ndarray:
@@ -88,30 +125,19 @@ def project_likelihoods(rows: DataFrame, s: np.ndarray, max_iter: int = 100, tol
     for _ in range(1 + (iterations if iterations is not None else max_iter)):
         shared = rows.sparkSession.sparkContext.broadcast(u)
 
-        def partial(batches: Iterator[pa.RecordBatch], shared=shared) -> dict[str, np.ndarray]:
-            out: dict[str, np.ndarray] = {}
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                design, f = rows_of(b, "v")[:, : len(s)] * s, rows_of_column(b, "af")
-                p0, p1 = rows_of(b, "p0"), rows_of(b, "p1")
-                pi = np.repeat(f, p0.shape[1], 1) if shared.value is None else np.clip(design @ shared.value.T / 2 + f, EDGE, 1 - EDGE)
-                x = posterior_dosage(p0, p1, pi) / 2 - f
-                for name, part in zip(("ata", "atx", "seen"), normal_sums(x, design), strict=True):
-                    out[name] = out[name] + part if name in out else part
-            return out
-
-        sums = sum_arrays(rows.select("p0", "p1", "af", "v"), partial)
-        before, u = u, solve(sums["ata"], sums["atx"], sums["seen"])
+        def sums(t: pa.Table, first: int, r: int, shared=shared) -> tuple[np.ndarray, ...]:
+            design, f = rows_of(t, "v")[:, : len(s)] * s, t["af"].to_numpy()[:, None]
+            p0, p1 = rows_of(t, "p0"), rows_of(t, "p1")
+            n = p0.shape[1]
+            pi = np.repeat(f, n, 1) if shared.value is None else np.clip(design @ shared.value[first : first + n].T / 2 + f, EDGE, 1 - EDGE)
+            return weighted_sums(posterior_dosage(p0, p1, pi) / 2 - f, design)
+
+        before, u = u, on_driver(solved(rows, len(s), sums, ["p0", "p1"], ["af", "v"]), len(s))
         if iterations is None and before is not None and np.linalg.norm(u - before) / max(np.linalg.norm(before), 1e-12) < tol:
             break
     return u
 
 
-def rows_of_column(b: pa.RecordBatch, name: str) -> np.ndarray:
-    return b.column(b.schema.get_field_index(name)).to_numpy(zero_copy_only=False)[:, None]
-
-
 def with_draws(rows: DataFrame, replicates: int, seed: int = 112, block: int = 4096) -> DataFrame:
     """Add `w`, how often each marker is drawn in each replicate of as many draws with replacement as markers.
 
@@ -136,39 +162,43 @@ def with_draws(rows: DataFrame, replicates: int, seed: int = 112, block: int = 4
     return rows.join(drawn, "variant_idx")
 
 
-def bootstrap(rows: DataFrame, s: np.ndarray, base: np.ndarray, replicates: int, at_once: int = 16_000_000) -> DataFrame:
+def bootstrap(rows: DataFrame, s: np.ndarray, base: np.ndarray, replicates: int, at_once: int = AT_ONCE) -> DataFrame:
     """Least-squares scores of every replicate: (replicate, sample_idx, pc, u), signs as in `base`; null if not solvable.
 
-    `rows` has x, v and w, each marker's weight in each replicate. Replicates are summed in groups so that a
-    task's sums stay below `at_once` numbers.
+    `rows` has x, v and w, each marker's weight in each replicate. Blocks of samples are solved in tasks that hold
+    `at_once` numbers of their sums; one pass finds the signs of all replicates, one makes the rows.
     """
     if replicates < 2:
         raise ValueError("a bootstrap needs two replicates or more")
-    n, k = base.shape
-    group = max(1, at_once // max(1, n * (k * k + k + 1)))
-    out = []
-    for first in range(0, replicates, group):
-        chosen = range(first, min(first + group, replicates))
-
-        def partial(batches: Iterator[pa.RecordBatch], chosen=chosen) -> dict[str, np.ndarray]:
-            sums: dict[str, np.ndarray] = {}
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                x, design, w = rows_of(b, "x"), rows_of(b, "v")[:, :k] * s, rows_of(b, "w")
-                for r in chosen:
-                    for name, part in zip(("ata", "atx", "seen"), normal_sums(x, design, w[:, r]), strict=True):
-                        key = f"{name}{r}"
-                        sums[key] = sums[key] + part if key in sums else part
-            return sums
-
-        sums = sum_arrays(rows.select("x", "v", "w"), partial)
-        for r in chosen:
-            u = solve(sums[f"ata{r}"], sums[f"atx{r}"], sums[f"seen{r}"])
-            sign = np.sign(np.nansum(u * base, axis=0))
-            u = u * np.where(sign == 0, 1, sign)
-            out += [(r, i, c + 1, None if np.isnan(u[i, c]) else float(u[i, c])) for i in range(n) for c in range(k)]
-    return rows.sparkSession.createDataFrame(out, "replicate int, sample_idx int, pc int, u double")
+    k = base.shape[1]
+    shared = rows.sparkSession.sparkContext.broadcast(base)
+
+    def sums(t: pa.Table, first: int, r: int) -> tuple[np.ndarray, ...]:
+        return weighted_sums(rows_of(t, "x"), rows_of(t, "v")[:, :k] * s, rows_of(t, "w")[:, r])
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+        for b in batches:
+            for i in range(b.num_rows):
+                yield b.column(0)[i].as_py(), np.frombuffer(b.column(1)[i].as_buffer()).reshape(replicates, -1, k)
+
+    def agreement(batches: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray]:
+        total = np.zeros((replicates, k))
+        for first, u in blocks(batches):
+            total += np.nansum(u * shared.value[first : first + u.shape[1]], axis=1)
+        return {"agreement": total}
+
+    scored = solved(rows, k, sums, ["x"], ["v", "w"], replicates, at_once)
+    sign = np.sign(sum_arrays(scored, agreement).get("agreement", np.zeros((replicates, k))))
+    sign[sign == 0] = 1
+    schema = "replicate int, sample_idx int, pc int, u double"
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for first, u in blocks(batches):
+            r, i, c = (x.ravel() for x in np.indices(u.shape))
+            u = (u * sign[:, None, :]).ravel()
+            yield batch_of(schema, r.astype(np.int32), (first + i).astype(np.int32), (c + 1).astype(np.int32), pa.array(u, mask=np.isnan(u)))
+
+    return scored.mapInArrow(made, schema)
 
 
 def bootstrap_summary(replicates: DataFrame, base: DataFrame) -> DataFrame:
@@ -196,5 +226,6 @@ def bootstrap_covariance(replicates: DataFrame) -> DataFrame:
 
 def scores_table(rows: DataFrame, u: np.ndarray) -> DataFrame:
     """Scores as rows; null where a sample could not be solved."""
-    data = [(i, c + 1, None if np.isnan(u[i, c]) else float(u[i, c])) for i in range(u.shape[0]) for c in range(u.shape[1])]
-    return rows.sparkSession.createDataFrame(data, "sample_idx int, pc int, u double")
+    n, k = u.shape
+    columns = {"sample_idx": np.repeat(np.arange(n, dtype=np.int32), k), "pc": np.tile(np.arange(1, k + 1, dtype=np.int32), n), "u": pa.array(u.ravel(), mask=np.isnan(u).ravel())}
+    return rows.sparkSession.createDataFrame(pa.table(columns))

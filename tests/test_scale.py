@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from eigenloom.operators import em, ld, pca
+from eigenloom.operators import em, ld, pca, project
 from eigenloom.operators import matrix as mx
 from eigenloom.plans import fixtures as fx
 from eigenloom.plans.catalogue import ORACLES, QUERIES
@@ -30,7 +30,7 @@ def sent(monkeypatch):
         sizes.extend(v.size for v in out.values())
         return out
 
-    for module in (mx, em, pca):
+    for module in (mx, em, pca, project):
         monkeypatch.setattr(module, "sum_arrays", watched)
     return sizes
 
@@ -126,3 +126,34 @@ def test_rows_come_in_slices(spark, duck, sent):
     want = dict(duck.execute(f"SELECT variant_idx, v FROM ({ORACLES['pca_loadings']})").fetchall())
     assert set(got) == set(want) and max(abs(got[i] - want[i]) for i in want) < 1.5e-6
     assert max(sent) <= 64 * 64  # no sum over samples
+
+
+def test_bootstrap_by_blocks_of_samples(spark, sent, monkeypatch):
+    monkeypatch.setattr(project, "VARIANTS_AT_ONCE", 5)
+    m, n, replicates = 17, 23, 3
+    rng = np.random.default_rng(3)
+    x, v, w, s = rng.standard_normal((m, n)), rng.standard_normal((m, 2)), rng.integers(0, 3, (m, replicates)).astype(float), np.array([2.0, 1.0])
+    x[rng.random((m, n)) < 0.2] = np.nan
+    x[1:, 4] = np.nan  # too few values for two components
+    data = [(i, [None if np.isnan(y) else float(y) for y in x[i]], v[i].tolist(), w[i].tolist()) for i in range(m)]
+    rows = spark.createDataFrame(data, "variant_idx long, x array<double>, v array<double>, w array<double>").repartition(4)
+
+    def fit(weight):
+        out = np.full((n, 2), np.nan)
+        for i in range(n):
+            seen = ~np.isnan(x[:, i])
+            if (weight * seen).sum() >= 2:
+                root = np.sqrt(weight[seen])[:, None]
+                out[i] = np.linalg.lstsq(root * v[seen] * s, root[:, 0] * x[seen, i], rcond=None)[0]
+        return out
+
+    base = project.project_least_squares(rows, s)
+    assert np.allclose(base, fit(np.ones(m)), equal_nan=True)
+    got = np.full((replicates, n, 2), np.nan)
+    reps = project.bootstrap(rows, s, base, replicates, at_once=replicates * 7 * 4).collect()  # four samples at a time
+    for r in reps:
+        got[r.replicate, r.sample_idx, r.pc - 1] = np.nan if r.u is None else r.u
+    want = np.stack([fit(w[:, r]) for r in range(replicates)])
+    sign = np.sign(np.nansum(want * base, axis=1, keepdims=True))
+    assert len(reps) == replicates * n * 2 and np.allclose(got, want * sign, equal_nan=True)
+    assert max(sent) <= replicates * 2  # of all sums, the driver gets those of the signs
